@@ -82,3 +82,126 @@ where source is not null and database is not null and collection is not null
 group by all""")
 def q_dt_map_source(spark, sf_dir):
     return dm.dt_map(obt(spark, sf_dir), code=False)
+
+
+# ---------------------------------------------------------------- C4-C7, C18
+from indicata.plans import coverage as cov  # noqa: E402
+from indicata.plans import metadata as meta  # noqa: E402
+from indicata.plans import stats as st  # noqa: E402
+
+# The sub-regions the derived table produces (TPC-H region
+# names, each split into a NORTH and a SOUTH half), in sorted order.
+SUB_REGIONS = tuple(f"{r} {h}" for r in ("AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST")
+                    for h in ("NORTH", "SOUTH"))
+
+def mean_sql(c: str) -> str:
+    """DuckDB text of ``exact_mean`` rounded half-up to 6 places, in integers."""
+    s = f"sum(cast(cast({c} as decimal(38, 9)) * 1000000000 as hugeint))"
+    n = f"nullif(count({c}), 0)"
+    return (f"cast(sign({s}) * ((abs({s}) * 2 + {n} * 1000) // (2 * {n} * 1000)) as double)"
+            " / 1000000")
+
+
+_NUNIQ = "count(distinct {c}) + coalesce(max(case when {c} is null then 1 else 0 end), 0)"
+_NUNIQ_WHERE = ("count(distinct case when {w} then {c} end)"
+                " + coalesce(max(case when ({w}) and {c} is null then 1 else 0 end), 0)")
+
+_BASE_STATS_SQL = f"""
+, g as (
+  select source, collection, indicator_label,
+    count(*) as count_rows,
+    count(*) filter (where value is null) as count_missing_value,
+    {_NUNIQ.format(c="country")} as num_countries_with_data,
+    {_NUNIQ_WHERE.format(c="year", w="value is not null")} as num_years_with_data,
+    {mean_sql('value')} as mean_value, min(value) as min_value, max(value) as max_value,
+    min(case when value is not null then year end) as min_year,
+    max(case when value is not null then year end) as max_year
+  from obt group by all)
+, r as (
+  select source, collection, indicator_label, value,
+    row_number() over (partition by source, collection, indicator_label order by value) - 1 as rk,
+    count(*) over (partition by source, collection, indicator_label) as n
+  from obt where value is not null)
+, q as (
+  select source, collection, indicator_label,
+    (max(case when rk = (n - 1) // 2 then value end)
+     + max(case when rk = n // 2 then value end)) / 2 as median_value,
+    max(case when rk = floor((n - 1) * 0.75 + 0.5) then value end)
+     - max(case when rk = floor((n - 1) * 0.25 + 0.5) then value end) as iqr_value
+  from r group by all)
+, base as (
+  select g.source, g.collection, g.indicator_label, count_rows, count_missing_value,
+    num_countries_with_data, num_years_with_data, mean_value, median_value,
+    min_value, max_value, iqr_value, min_year, max_year,
+    count_missing_value / count_rows * 100 as pct_missing_value
+  from g left join q
+    on g.source is not distinct from q.source
+   and g.collection is not distinct from q.collection
+   and g.indicator_label is not distinct from q.indicator_label)
+"""
+
+_COVERAGE_SQL = f"""
+, info as (
+  select sub_region_name, count(*) as total_countries, list(country order by country) as countries
+  from (select distinct country, sub_region_name from obt
+        where country is not null and sub_region_name is not null)
+  group by all)
+, cov_long as (
+  select c.indicator_label, c.sub_region_name,
+    round_even(c.k / i.total_countries * 100, 3) as pct
+  from (select indicator_label, sub_region_name, {_NUNIQ.format(c="country")} as k
+        from obt where value is not null group by all) c
+  join info i on c.sub_region_name = i.sub_region_name)
+, cov_wide as (
+  select indicator_label,
+  {", ".join(f"coalesce(max(pct) filter (where sub_region_name = '{r}'), 0) as pct_coverage_{r.replace(' ', '_')}" for r in SUB_REGIONS)}
+  from cov_long group by all)
+"""
+
+_PCT_COLS = [f"pct_coverage_{r.replace(' ', '_')}" for r in SUB_REGIONS]
+
+
+def _color_sql(c: str) -> str:
+    p = f"least(greatest({c}, 0.0), 100.0)"
+    return (f"case when {c} is null then null when {p} <= 50 then "
+            f"'rgb(255, ' || cast(trunc(195.0 * ({p} / 50)) as int) || ', 0)' else "
+            f"'rgb(' || cast(trunc(255.0 * (1 - ({p} - 50) / 50)) as int) || ', ' || "
+            f"cast(trunc(195.0 + 60 * (({p} - 50) / 50)) as int) || ', 0)' end")
+
+
+@register("sub_region_info", """
+select sub_region_name, count(*) as total_countries, list(country order by country) as countries
+from (select distinct country, sub_region_name from obt
+      where country is not null and sub_region_name is not null)
+group by all""")
+def q_sub_region_info(spark, sf_dir):
+    return cov.sub_region_info(obt(spark, sf_dir))
+
+
+@register("base_stats", _BASE_STATS_SQL + "select * from base")
+def q_base_stats(spark, sf_dir):
+    return st.base_stats(obt(spark, sf_dir))
+
+
+@register("sub_region_coverage", _COVERAGE_SQL + "select * from cov_wide")
+def q_sub_region_coverage(spark, sf_dir):
+    return cov.sub_region_coverage(obt(spark, sf_dir))
+
+
+@register("coverage_color", _COVERAGE_SQL + "select *, "
+          + ", ".join(f"{_color_sql(c)} as color_{c[len('pct_coverage_'):]}" for c in _PCT_COLS)
+          + " from cov_wide")
+def q_coverage_color(spark, sf_dir):
+    return cov.coverage_colors(cov.sub_region_coverage(obt(spark, sf_dir)))
+
+
+_GEO = "(" + " + ".join(f"w.{c}" for c in _PCT_COLS) + f") / {len(_PCT_COLS)}"
+
+
+@register("indicators_metadata", _BASE_STATS_SQL + _COVERAGE_SQL + f"""
+select b.*, {", ".join("w." + c for c in _PCT_COLS)},
+  (coalesce(b.num_years_with_data / (b.max_year - b.min_year + 1) * 100, 0) + {_GEO}) / 2
+    as completeness_score
+from base b left join cov_wide w on b.indicator_label = w.indicator_label""")
+def q_indicators_metadata(spark, sf_dir):
+    return meta.indicators_metadata(obt(spark, sf_dir))

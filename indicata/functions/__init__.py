@@ -1,5 +1,6 @@
 from indicata.functions.expressions import (  # noqa: F401
     coverage_color,
+    exact_mean,
     income_level,
     n_unique,
     n_unique_where,

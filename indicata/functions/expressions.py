@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DecimalType
 
 # Income flag texts and the level each one maps to, in the
 # order the classification tests them (first match wins).
@@ -33,6 +34,20 @@ def income_level() -> Column:
     return expr.otherwise(F.lit(None).cast("string"))
 
 
+# Scale of the exact decimal sum behind ``exact_mean``.
+MEAN_SCALE = 9
+
+
+def exact_mean(c: Column, scale: int = MEAN_SCALE) -> Column:
+    """Mean from an exact decimal sum (``scale`` fractional digits).
+
+    A double sum depends on the order rows arrive in, so it changes with
+    partitioning; the decimal sum does not, which makes the mean
+    reproducible across runs, cluster sizes and engines.
+    """
+    return F.avg(c.cast(DecimalType(38, scale))).cast("double")
+
+
 def safe_div(num: Column, den: Column) -> Column:
     """Division that yields null instead of raising on a zero divisor."""
     return F.try_divide(num, den)
