@@ -205,3 +205,219 @@ select b.*, {", ".join("w." + c for c in _PCT_COLS)},
 from base b left join cov_wide w on b.indicator_label = w.indicator_label""")
 def q_indicators_metadata(spark, sf_dir):
     return meta.indicators_metadata(obt(spark, sf_dir))
+
+
+# ---------------------------------------------------------------- C3, C14, C16, C17
+from indicata.plans import checks as ck  # noqa: E402
+from indicata.plans import pivot as pv  # noqa: E402
+from indicata.sources.tpch import ORDER_COLUMNS  # noqa: E402
+
+INDEX_COLS = ("iso3", "country", "year", "indicator_label", "value")
+_ORDER_SQL = ", ".join(ORDER_COLUMNS)
+
+
+def _first_pivot_sql(ind_col: str, where: str = "true") -> str:
+    return f"""
+, cells as (
+  select country, year, coalesce({ind_col}, 'null') as k,
+    first(value order by {_ORDER_SQL}) as v
+  from obt where {where} group by all)
+select * from (pivot cells on k using first(v) group by country, year)"""
+
+
+def _first_pivot(spark, sf_dir, ind, cond=None):
+    df = obt(spark, sf_dir, with_order=True)
+    if cond is not None:
+        df = df.where(cond)
+    return pv.filter_pivot(df, INDEX_COLS, ind=ind, order_cols=ORDER_COLUMNS)
+
+
+@register("pivot_label", _first_pivot_sql("indicator_label"))
+def q_pivot_label(spark, sf_dir):
+    return _first_pivot(spark, sf_dir, "label")
+
+
+@register("pivot_code", _first_pivot_sql("indicator_code"))
+def q_pivot_code(spark, sf_dir):
+    return _first_pivot(spark, sf_dir, "code")
+
+
+# Filter values of the chained-filter pivots: a source and a year, a source
+# and a region, one country (values that occur in the derived table).
+@register("pivot_source_year", _first_pivot_sql("indicator_label", "source = 'BUILDING' and year = 1997"))
+def q_pivot_source_year(spark, sf_dir):
+    return _first_pivot(spark, sf_dir, "label", (F.col("source") == "BUILDING") & (F.col("year") == 1997))
+
+
+@register("pivot_region", _first_pivot_sql("indicator_code", "source = 'AUTOMOBILE' and region_name = 'AFRICA'"))
+def q_pivot_region(spark, sf_dir):
+    return _first_pivot(spark, sf_dir, "code",
+                        (F.col("source") == "AUTOMOBILE") & (F.col("region_name") == "AFRICA"))
+
+
+@register("pivot_country", _first_pivot_sql("indicator_code", "country = 'NATION_7'"))
+def q_pivot_country(spark, sf_dir):
+    return _first_pivot(spark, sf_dir, "code", F.col("country") == "NATION_7")
+
+
+# The datamap rows a user picked: one source, two collections.
+_PICK_SQL = "source = 'HOUSEHOLD' and collection in ('1-URGENT', '5-LOW')"
+
+
+@register("pivot_selected", _first_pivot_sql(
+    "indicator_label",
+    "collection in (select collection from (select source, database, collection, count(*) as count "
+    f"from obt group by all) d where {_PICK_SQL})"))
+def q_pivot_selected(spark, sf_dir):
+    df = obt(spark, sf_dir, with_order=True)
+    picked = dm.datamap(df, PROFILE_SOURCE).where(
+        (F.col("source") == "HOUSEHOLD") & F.col("collection").isin("1-URGENT", "5-LOW"))
+    return pv.filter_pivot(pv.select_collections(picked, df), INDEX_COLS, ind="label",
+                           order_cols=ORDER_COLUMNS)
+
+
+def _exact_sum_sql(c: str) -> str:
+    return f"sum(cast(cast({c} as decimal(38, 9)) * 1000000000 as hugeint))"
+
+
+def _mean13_sql(c: str) -> str:
+    """DuckDB text of ``exact_mean`` (half-up at 13 places) as a double."""
+    s, n = _exact_sum_sql(c), f"nullif(count({c}), 0)"
+    return f"cast(sign({s}) * ((abs({s}) * 20000 + {n}) // (2 * {n})) as double) / 10000000000000"
+
+
+_SRC_CELLS_SQL = """
+, cells as (
+  select country, year, {ind} as k, {mean} as v
+  from obt
+  where country is not null and year is not null and {ind} is not null and value is not null
+  group by all)"""
+
+
+@register("src_tbl_mean", _SRC_CELLS_SQL.format(ind="indicator_code", mean=mean_sql("value"))
+          + "\nselect * from (pivot cells on k using first(v) group by country, year)")
+def q_src_tbl_mean(spark, sf_dir):
+    return pv.src_tbl(obt(spark, sf_dir), ind="code")
+
+
+@register("src_tbl_source", _SRC_CELLS_SQL.format(ind="indicator_label", mean=mean_sql("value"))
+          .replace("where country", "where source = 'FURNITURE' and country")
+          + "\nselect * from (pivot cells on k using first(v) group by country, year)")
+def q_src_tbl_source(spark, sf_dir):
+    # The table filtered by a SQL predicate string before the mean pivot.
+    return pv.src_tbl(obt(spark, sf_dir).filter("source = 'FURNITURE'"), ind="label")
+
+
+def _lin_sql(q: float) -> str:
+    lo = f"max(case when rk = floor((n - 1) * {q}) then v end)"
+    hi = f"max(case when rk = ceil((n - 1) * {q}) then v end)"
+    frac = f"((n - 1) * {q} - floor((n - 1) * {q}))"
+    return f"{lo} + ({hi} - {lo}) * {frac}"
+
+
+@register("describe_wide", _SRC_CELLS_SQL.format(ind="indicator_code", mean=_mean13_sql("value")) + f"""
+, r as (select k, v, row_number() over (partition by k order by v) - 1 as rk,
+               count(*) over (partition by k) as n from cells)
+, qs as (select k, {_lin_sql(0.25)} as "25%", {_lin_sql(0.5)} as "50%", {_lin_sql(0.75)} as "75%"
+         from r group by k, n)
+, b as (select k, count(v) as count, {mean_sql('v')} as mean, stddev_samp(v) as std,
+               min(v) as min, max(v) as max from cells group by k)
+select b.k as "column", count, mean, std, min, "25%", "50%", "75%", max
+from b left join qs on b.k = qs.k""")
+def q_describe_wide(spark, sf_dir):
+    return ck.describe_cells(pv.src_cells(obt(spark, sf_dir), "code"), "indicator_code")
+
+
+@register("info_wide", _SRC_CELLS_SQL.format(ind="indicator_code", mean=_mean13_sql("value")) + """
+select 'country' as "column", count(*) as non_null_count, 'string' as dtype
+  from (select distinct country, year from cells)
+union all
+select 'year', count(*), 'int' from (select distinct country, year from cells)
+union all
+select k, count(*), 'double' from cells group by k""")
+def q_info_wide(spark, sf_dir):
+    return ck.info_cells(pv.src_cells(obt(spark, sf_dir), "code"), "indicator_code")
+
+
+# ---------------------------------------------------------------- C8-C13, I2, I3, A11
+# Countries whose income level is checked (names of the derived table; the
+# last one has a null country, so it matches nothing).
+CHECK_COUNTRIES = ("NATION_1", "NATION_7", "NATION_13", "NATION_19", "NATION_24")
+
+
+@register("income_check", f"""
+select distinct country, income_level, high_income, upper_middle_income, lower_middle_income, low_income
+from obt where country in ({", ".join(repr(c) for c in CHECK_COUNTRIES)})""")
+def q_income_check(spark, sf_dir):
+    return ck.income_check(obt(spark, sf_dir), list(CHECK_COUNTRIES))
+
+
+@register("income_distribution", "select income_level, count(*) as count from obt group by all")
+def q_income_distribution(spark, sf_dir):
+    return ck.income_distribution(obt(spark, sf_dir))
+
+
+@register("null_income_count", f"""
+select {_NUNIQ.format(c="country")} as num_countries from obt where income_level is null""")
+def q_null_income_count(spark, sf_dir):
+    return ck.null_income_count(obt(spark, sf_dir))
+
+
+@register("null_income_countries", "select distinct country from obt where income_level is null")
+def q_null_income_countries(spark, sf_dir):
+    return ck.null_income_countries(obt(spark, sf_dir))
+
+
+METADATA_COLS = ("source", "database", "collection", "indicator_code", "value_meta",
+                 "region_name", "sub_region_name", "income_level")
+
+
+@register("distinct_counts", " union all ".join(
+    f"select '{c}' as \"column\", {_NUNIQ.format(c=c)} as distinct_count from obt"
+    for c in METADATA_COLS))
+def q_distinct_counts(spark, sf_dir):
+    from indicata.profile import DEFAULT_PROFILE
+    return ck.distinct_counts(obt(spark, sf_dir), DEFAULT_PROFILE.metadata_columns)
+
+
+@register("distinct_collection", f"select {_NUNIQ.format(c='collection')} as n_unique_collection from obt")
+def q_distinct_collection(spark, sf_dir):
+    return ck.n_unique_of(obt(spark, sf_dir), "collection")
+
+
+@register("top10_indicators", """
+select indicator_label, count, rank() over (order by count desc, indicator_label asc nulls first) as rank
+from (select indicator_label, count(*) as count from obt group by all)
+qualify rank <= 10""")
+def q_top10_indicators(spark, sf_dir):
+    return ck.top_indicators(obt(spark, sf_dir), 10)
+
+
+@register("obt_shape", f"select count(*) as rows, {len(OBT_OUT)} as columns from obt")
+def q_obt_shape(spark, sf_dir):
+    return ck.shape(obt(spark, sf_dir))
+
+
+def _nearest_sql(q: float) -> str:
+    return f"max(case when rk = floor((n - 1) * {q} + 0.5) then v end)"
+
+
+_DESCRIBE_NUM = ("year", "value")
+
+
+@register("describe_polars", " union all ".join(
+    f"select '{c}' as \"column\", count({c}) as count, count(*) filter (where {c} is null) as null_count, "
+    f"cast(min({c}) as varchar) as min, cast(max({c}) as varchar) as max from obt"
+    for c in OBT_OUT).join(["with base as (", ")"]).replace("with base as (", ", base as (", 1) + f"""
+, lv as (select 'year' as "column", cast(year as double) as v from obt
+         union all select 'value', value from obt)
+, r as (select "column", v, row_number() over (partition by "column" order by v) - 1 as rk,
+               count(*) over (partition by "column") as n from lv where v is not null)
+, qs as (select "column", {_nearest_sql(0.25)} as "25%", {_nearest_sql(0.5)} as "50%",
+                {_nearest_sql(0.75)} as "75%" from r group by all)
+, mo as (select "column", {mean_sql('v')} as mean, stddev_samp(v) as std from lv group by all)
+select b."column", count, null_count, mean, std, min, "25%", "50%", "75%", max
+from base b left join mo on b."column" = mo."column" left join qs on b."column" = qs."column"
+""")
+def q_describe_polars(spark, sf_dir):
+    return ck.describe(obt(spark, sf_dir).select(*OBT_OUT))
