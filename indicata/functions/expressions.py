@@ -85,4 +85,4 @@ def coverage_color(pct: Column) -> Column:
     high = F.format_string("rgb(%d, %d, 0)",
                            (F.lit(255.0) * (1 - t)).cast("int"),
                            (F.lit(195.0) + 60 * t).cast("int"))
-    return F.when(p.isNull(), F.lit(None).cast("string")).when(p <= 50, low).otherwise(high)
+    return F.when(pct.isNull(), F.lit(None).cast("string")).when(p <= 50, low).otherwise(high)
