@@ -210,7 +210,7 @@ def q_indicators_metadata(spark, sf_dir):
 # ---------------------------------------------------------------- C3, C14, C16, C17
 from indicata.plans import checks as ck  # noqa: E402
 from indicata.plans import pivot as pv  # noqa: E402
-from indicata.sources.tpch import ORDER_COLUMNS  # noqa: E402
+from indicata.sources.tpch import ORDER_COLUMNS, SEQ_COLUMN  # noqa: E402
 
 INDEX_COLS = ("iso3", "country", "year", "indicator_label", "value")
 _ORDER_SQL = ", ".join(ORDER_COLUMNS)
@@ -229,7 +229,7 @@ def _first_pivot(spark, sf_dir, ind, cond=None):
     df = obt(spark, sf_dir, with_order=True)
     if cond is not None:
         df = df.where(cond)
-    return pv.filter_pivot(df, INDEX_COLS, ind=ind, order_cols=ORDER_COLUMNS)
+    return pv.filter_pivot(df, INDEX_COLS, ind=ind, order_cols=[SEQ_COLUMN])
 
 
 @register("pivot_label", _first_pivot_sql("indicator_label"))
@@ -273,7 +273,7 @@ def q_pivot_selected(spark, sf_dir):
     picked = dm.datamap(df, PROFILE_SOURCE).where(
         (F.col("source") == "HOUSEHOLD") & F.col("collection").isin("1-URGENT", "5-LOW"))
     return pv.filter_pivot(pv.select_collections(picked, df), INDEX_COLS, ind="label",
-                           order_cols=ORDER_COLUMNS)
+                           order_cols=[SEQ_COLUMN])
 
 
 def _exact_sum_sql(c: str) -> str:

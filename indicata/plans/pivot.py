@@ -42,7 +42,11 @@ def filter_pivot(df: DataFrame, index_cols, ind: str = "label", order_cols=None,
     if "value" not in cols or ind_col not in cols:
         raise ValueError("index columns must include the indicator and 'value'")
     narrow = df.select(*dict.fromkeys([*cols, *order_cols]))
-    if order_cols:
+    if len(order_cols) == 1 and not narrow.schema[order_cols[0]].nullable:
+        agg = F.min_by("value", F.col(order_cols[0]))
+    elif order_cols:
+        # a struct keeps rows whose order columns are null (min_by skips a
+        # null ordering); slower, as struct buffers need sort aggregation
         agg = F.min_by("value", F.struct(*order_cols))
     else:
         agg = F.first("value")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from indicata.functions.expressions import exact_mean, n_unique, n_unique_where, safe_div
+from indicata.functions.expressions import exact_mean, safe_div
 from indicata.operators.order_stats import exact_quantiles
 
 STAT_KEYS = ("source", "collection", "indicator_label")
@@ -33,7 +33,7 @@ def base_stats(df: DataFrame, keys=STAT_KEYS, sort: bool = True) -> DataFrame:
     """One row per (source, collection, indicator_label) with 12 measures.
 
     Counts, means and extremes come from one hash aggregate with map-side
-    partial aggregation.  Median and inter-quartile range (nearest rank)
+    partial aggregation; the two distinct counts from dedup branches.  Median and inter-quartile range (nearest rank)
     come from the distributed order-statistics operator, which never puts a
     whole group into one task.  Sorted by the keys.
     """
@@ -43,24 +43,32 @@ def base_stats(df: DataFrame, keys=STAT_KEYS, sort: bool = True) -> DataFrame:
     main = df.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("count_rows"),
         F.count_if(v.isNull()).alias("count_missing_value"),
-        n_unique(F.col("country")).alias("num_countries_with_data"),
-        n_unique_where(F.col("year"), has).alias("num_years_with_data"),
         exact_mean(v).alias("mean_value"),
         F.min(v).alias("min_value"),
         F.max(v).alias("max_value"),
         F.min(F.when(has, F.col("year"))).alias("min_year"),
         F.max(F.when(has, F.col("year"))).alias("max_year"),
     )
+    # Distinct counts as separate dedup branches (map-side distinct, then a
+    # count per group) rather than several count-distincts in one
+    # aggregate, which Spark runs through an Expand that copies every row
+    # once per distinct column.  A null country / year is one distinct row,
+    # so ``count(*)`` counts it as a value.
+    countries = (df.select(*keys, "country").distinct()
+                   .groupBy(*keys).agg(F.count(F.lit(1)).alias("num_countries_with_data")))
+    years = (df.where(has).select(*keys, "year").distinct()
+               .groupBy(*keys).agg(F.count(F.lit(1)).alias("num_years_with_data")))
     qs = exact_quantiles(df.select(*keys, "value"), keys, "value", {
         "median_value": (0.5, "midpoint"),
         "_q25": (0.25, "nearest"),
         "_q75": (0.75, "nearest"),
     }).select(*keys, "median_value", (F.col("_q75") - F.col("_q25")).alias("iqr_value"))
-    out = join_null_safe(main, qs, keys)
+    out = join_null_safe(join_null_safe(join_null_safe(main, countries, keys), years, keys), qs, keys)
     out = (out.select(
                 *keys,
                 "count_rows", "count_missing_value", "num_countries_with_data",
-                "num_years_with_data", "mean_value", "median_value", "min_value",
+                F.coalesce(F.col("num_years_with_data"), F.lit(0)).alias("num_years_with_data"),
+                "mean_value", "median_value", "min_value",
                 "max_value", "iqr_value", "min_year", "max_year",
                 (safe_div(F.col("count_missing_value").cast("double"),
                           F.col("count_rows").cast("double")) * 100).alias("pct_missing_value")))

@@ -44,3 +44,11 @@ def test_describe_quartiles_bracket(spark):
     for r in ck.describe(t.select("year", "value", "source")).collect():
         if r["25%"] is not None:
             assert r["25%"] <= r["50%"] <= r["75%"]
+
+
+def test_row_sequence_follows_row_order(spark):
+    from indicata.sources.tpch import ORDER_COLUMNS, SEQ_COLUMN
+    t = obt(spark, SF_SMALL, with_order=True)
+    by_seq = [tuple(r) for r in t.orderBy(SEQ_COLUMN).select(*ORDER_COLUMNS).collect()]
+    assert by_seq == sorted(by_seq)
+    assert t.select(SEQ_COLUMN).distinct().count() == t.count()
