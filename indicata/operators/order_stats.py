@@ -15,7 +15,9 @@ task.  Here the work is spread by value range instead:
    checkpointed to the shared folder so partition numbers stay fixed for
    the next steps, even if executors are lost.
 4. Per (partition, group) totals are tiny (at most one row per group and
-   partition); a window over them gives each slice its offset.
+   partition); a window over them gives each slice its offset.  The window
+   is partitioned by group, but a group has at most one row per range
+   partition here, so even a hot group is a few thousand rows.
 5. Rows whose [start, end) rank interval contains a requested rank are
    kept and folded to one row per group with a partial aggregate.
 """
@@ -30,11 +32,6 @@ from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from indicata.session import checkpoint_dir
 
-# Offsets tables up to this many rows are broadcast; beyond it the join
-# stays a shuffle join on (partition, group), which splits a hot group.
-BROADCAST_OFFSET_ROWS = 2_000_000
-
-
 def _local_cumulative(key_cols: list[str], count_col: str):
     def run(batches):
         import numpy as np
@@ -104,9 +101,10 @@ def ranked_values(df: DataFrame, keys: list[str], value: str,
         "_pid", *keys,
         F.coalesce(F.sum("_tot").over(before), F.lit(0)).alias("_off"),
         F.sum("_tot").over(by_group).alias("n"))
-    if offs.count() <= BROADCAST_OFFSET_ROWS:
-        offs = F.broadcast(offs)
-
+    # No broadcast hint: the offsets table has at most one row per
+    # (partition, group); AQE measures it after it is built and turns the
+    # join into a broadcast when it is below the threshold, otherwise it
+    # stays a shuffle join on (partition, group), which splits a hot group.
     l, r = local.alias("l"), offs.alias("r")
     joined = l.join(r, _null_safe_on(l, r, ["_pid"] + keys))
     end = F.col("r._off") + F.col("l._lcum")

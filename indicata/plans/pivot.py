@@ -53,13 +53,22 @@ def filter_pivot(df: DataFrame, index_cols, ind: str = "label", order_cols=None,
     return _pivot(narrow, ind_col, agg, values)
 
 
+# Chosen collections up to this many are broadcast to the semi-join.
+BROADCAST_SELECTION_ROWS = 100_000
+
+
 def select_collections(datamap_rows: DataFrame, obt: DataFrame) -> DataFrame:
     """F8: keep the observations whose ``collection`` occurs in the chosen
-    datamap rows.  A left-semi join; the chosen rows are a grouped table
-    (one row per metadata group), so their distinct collections are few and
-    AQE broadcasts them when their measured size allows.
+    datamap rows (a left-semi join; null never matches).
+
+    The distinct chosen collections are counted first: up to
+    ``BROADCAST_SELECTION_ROWS`` they are broadcast, so the big table is not
+    shuffled and a hot collection costs nothing extra; beyond that the join
+    is a shuffle semi-join that AQE's skew handling splits.
     """
     chosen = datamap_rows.select("collection").where(F.col("collection").isNotNull()).distinct()
+    if chosen.count() <= BROADCAST_SELECTION_ROWS:
+        chosen = F.broadcast(chosen)
     return obt.join(chosen, "collection", "left_semi")
 
 

@@ -60,6 +60,12 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def derived_table_dir(spark: SparkSession, name: str) -> str:
-    """Folder (inside the shared checkpoint folder) for a derived table."""
-    root = checkpoint_dir(spark)
-    return os.path.join(root, "tables", name) if "://" not in root else f"{root}/tables/{name}"
+    """Folder for a derived table inside the shared checkpoint folder.
+
+    Keyed at the configured root (not the per-application subfolder Spark
+    adds for RDD checkpoints) so later applications find a table that was
+    already written; callers put an input signature into ``name``.
+    """
+    root = spark.sparkContext.getConf().get(_CKPT_KEY, None) or checkpoint_dir(spark)
+    root = root.rstrip("/")
+    return f"{root}/indicata/tables/{name}"

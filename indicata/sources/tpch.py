@@ -121,9 +121,7 @@ def obt_path(spark: SparkSession, sf_dir: str) -> str:
     if key in _MATERIALIZED:
         return _MATERIALIZED[key]
     path = derived_table_dir(spark, f"obt-{_signature(sf_dir)}")
-    local = path.startswith("/") or path.startswith("file:")
-    done = os.path.join(path.replace("file:", ""), "_SUCCESS")
-    if not (local and os.path.exists(done)):
+    if not _written(spark, path):
         # ``ord_seq``: one long that follows the row order, assigned once
         # after a global (range-partitioned) sort, so "first value in row
         # order" becomes a hash aggregate on a long instead of a struct
@@ -142,6 +140,14 @@ def obt_path(spark: SparkSession, sf_dir: str) -> str:
     return path
 
 
+def _written(spark: SparkSession, path: str) -> bool:
+    """True when a complete table (with its ``_SUCCESS`` marker) exists."""
+    jvm = spark.sparkContext._jvm
+    hpath = jvm.org.apache.hadoop.fs.Path(path + "/_SUCCESS")
+    fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return bool(fs.exists(hpath))
+
+
 def obt_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stored observation table as written (before classification)."""
     return spark.read.parquet(obt_path(spark, sf_dir))
