@@ -2,7 +2,14 @@
 
 ``F.median`` / ``F.percentile`` merge a value->count map for each group in
 one task, so a group holding a third of the table would land in a single
-task.  Here the work is spread by value range instead:
+task.  This operator first measures the groups (one small aggregate; only
+the number of big groups reaches the driver):
+
+* groups with at most ``small_group_rows`` non-null values are ranked with a
+  window partitioned by the group: one task sees at most that many rows of
+  a group;
+* larger groups (at most ``total / small_group_rows`` of them, so their key
+  list is bounded) are spread by value range:
 
 1. ``(keys, value) -> count`` with map-side combine: duplicates collapse
    and the shuffle is keyed by (keys, value), so one hot group is spread
@@ -74,8 +81,41 @@ def _null_safe_on(left: DataFrame, right: DataFrame, cols: list[str]) -> Column:
     return cond
 
 
+# Groups up to this many non-null values are ranked inside one task.
+SMALL_GROUP_ROWS = 1_000_000
+# Keys of big groups up to this many are broadcast to split the input.
+MAX_BROADCAST_KEYS = 1_000_000
+
+
+def _pick(rows: DataFrame, keys: list[str], value: str, start: Column, end: Column,
+          n: Column, ranks: dict[str, Callable[[Column], Column]]) -> DataFrame:
+    """Keep rows whose rank interval [start, end) holds a wanted rank and fold
+    them to one row per group (a partial aggregate)."""
+    hits, aggs = [], [F.max(n).alias("n")]
+    for name, rank_of in ranks.items():
+        rk = rank_of(n)
+        hit = (start <= rk) & (rk < end)
+        hits.append(hit)
+        aggs.append(F.max(F.when(hit, F.col(value))).alias(name))
+    any_hit = hits[0]
+    for h in hits[1:]:
+        any_hit = any_hit | h
+    return rows.where(any_hit).groupBy(*keys).agg(*aggs)
+
+
+def _ranked_small(nn: DataFrame, keys: list[str], value: str, ranks) -> DataFrame:
+    """Window ranks for groups known to be small (bounded rows per group)."""
+    by_group = Window.partitionBy(*keys)
+    ranked = nn.select(
+        *keys, value,
+        (F.row_number().over(by_group.orderBy(value)) - 1).alias("_rk"),
+        F.count(F.lit(1)).over(by_group).alias("_n"))
+    return _pick(ranked, keys, value, F.col("_rk"), F.col("_rk") + 1, F.col("_n"), ranks)
+
+
 def ranked_values(df: DataFrame, keys: list[str], value: str,
-                  ranks: dict[str, Callable[[Column], Column]]) -> DataFrame:
+                  ranks: dict[str, Callable[[Column], Column]],
+                  small_group_rows: int = SMALL_GROUP_ROWS) -> DataFrame:
     """Per group of ``keys``: ``n`` (non-null values) and, for each entry of
     ``ranks``, the value at that 0-based rank of the sorted non-null values.
 
@@ -83,9 +123,25 @@ def ranked_values(df: DataFrame, keys: list[str], value: str,
     the rank.  Groups without any non-null value have no row.
     """
     keys = list(keys)
+    nn = df.where(F.col(value).isNotNull()).select(*keys, value)
+    sizes = nn.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    big_count = sizes.agg(F.count_if(F.col("_n") > small_group_rows)).first()[0] or 0
+    if big_count == 0:
+        return _ranked_small(nn, keys, value, ranks)
+    big = sizes.where(F.col("_n") > small_group_rows).select(*keys)
+    if big_count <= MAX_BROADCAST_KEYS:
+        big = F.broadcast(big)
+    small_rows = nn.join(big, _null_safe_on(nn, big, keys), "left_anti")
+    big_rows = nn.join(big, _null_safe_on(nn, big, keys), "left_semi")
+    return (_ranked_small(small_rows, keys, value, ranks)
+            .unionByName(_ranked_large(big_rows, keys, value, ranks)))
+
+
+def _ranked_large(df: DataFrame, keys: list[str], value: str,
+                  ranks: dict[str, Callable[[Column], Column]]) -> DataFrame:
+    """The range-partitioned path for big groups (steps 1-5 above)."""
     checkpoint_dir(df.sparkSession)
-    vc = (df.where(F.col(value).isNotNull())
-            .groupBy(*keys, value)
+    vc = (df.groupBy(*keys, value)
             .agg(F.count(F.lit(1)).alias("_c")))
     order = [F.col(k).asc_nulls_first() for k in keys] + [F.col(value).asc()]
     ranged = vc.repartitionByRange(*order).sortWithinPartitions(*order)
@@ -106,23 +162,12 @@ def ranked_values(df: DataFrame, keys: list[str], value: str,
     # join into a broadcast when it is below the threshold, otherwise it
     # stays a shuffle join on (partition, group), which splits a hot group.
     l, r = local.alias("l"), offs.alias("r")
-    joined = l.join(r, _null_safe_on(l, r, ["_pid"] + keys))
-    end = F.col("r._off") + F.col("l._lcum")
-    start = end - F.col("l._c")
-    n = F.col("r.n")
-    hits = []
-    aggs = [F.max(n).alias("n")]
-    for name, rank_of in ranks.items():
-        rk = rank_of(n)
-        hit = (start <= rk) & (rk < end)
-        hits.append(hit)
-        aggs.append(F.max(F.when(hit, F.col(f"l.{value}"))).alias(name))
-    any_hit = hits[0]
-    for h in hits[1:]:
-        any_hit = any_hit | h
-    return (joined.where(any_hit)
-                  .groupBy(*[F.col(f"l.{k}").alias(k) for k in keys])
-                  .agg(*aggs))
+    joined = l.join(r, _null_safe_on(l, r, ["_pid"] + keys)).select(
+        *[F.col(f"l.{k}").alias(k) for k in keys], F.col(f"l.{value}").alias(value),
+        (F.col("r._off") + F.col("l._lcum") - F.col("l._c")).alias("_start"),
+        (F.col("r._off") + F.col("l._lcum")).alias("_end"),
+        F.col("r.n").alias("_n"))
+    return _pick(joined, keys, value, F.col("_start"), F.col("_end"), F.col("_n"), ranks)
 
 
 def nearest_rank(q: float) -> Callable[[Column], Column]:
@@ -139,7 +184,8 @@ def upper_rank(q: float) -> Callable[[Column], Column]:
 
 
 def exact_quantiles(df: DataFrame, keys: list[str], value: str,
-                    spec: dict[str, tuple[float, str]]) -> DataFrame:
+                    spec: dict[str, tuple[float, str]],
+                    small_group_rows: int = SMALL_GROUP_ROWS) -> DataFrame:
     """Exact quantiles per group.
 
     ``spec`` maps an output name to ``(q, method)`` with method one of
@@ -156,7 +202,7 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str,
             ranks[f"_{name}_hi"] = upper_rank(q)
         else:
             raise ValueError(f"unknown quantile method {method!r}")
-    rv = ranked_values(df, keys, value, ranks)
+    rv = ranked_values(df, keys, value, ranks, small_group_rows)
     outs = []
     for name, (q, method) in spec.items():
         if method == "nearest":
