@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, FloatType
 
+from indicata.functions.expressions import quote
 from indicata.plans import datamap as dm
 from indicata.sources.tpch import OBT_COLUMNS, obt, with_obt
 
@@ -23,11 +24,14 @@ OBT_OUT = tuple("country" if c == "country_or_area" else c for c in OBT_COLUMNS)
 
 
 def round_doubles(df: DataFrame, places: int = 6) -> DataFrame:
-    return df.select(*[
-        F.round(F.col(f"`{f.name}`"), places).alias(f.name)
-        if isinstance(f.dataType, (DoubleType, FloatType)) else F.col(f"`{f.name}`")
-        for f in df.schema.fields
-    ])
+    # one selectExpr call: wide pivots have hundreds of columns, and building
+    # one Column object per column costs a driver round trip each
+    exprs = []
+    for f in df.schema.fields:
+        q = quote(f.name)
+        exprs.append(f"round({q}, {places}) AS {q}"
+                     if isinstance(f.dataType, (DoubleType, FloatType)) else q)
+    return df.selectExpr(*exprs)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}

@@ -31,6 +31,11 @@ def build_session(master: str | None = None, app: str = "indicata",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         "spark.ui.showConsoleProgress": "false",
+        # Broadcast only from a measured size (AQE, at run time) or where a
+        # bound is proven (explicit hints); file-size estimates of joins can
+        # make a fact table look small.
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "32MB",
     }
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
