@@ -1,7 +1,7 @@
 """Benchmark the headline queries; prints one JSON line.
 
 Environment: BENCH_SF_DIR (default /root/testdata/sf0.1), BENCH_CPUS
-(default 8), BENCH_RUNS (default 3).  The derived observation table is
+(default 8), BENCH_RUNS (default 5).  The derived observation table is
 written once first (timed as ``setup_sec``); each query then runs one
 warm-up and BENCH_RUNS timed runs, the median is reported.  A run forces
 the full result through Spark's ``noop`` sink (no ``count()`` shortcut).
@@ -28,7 +28,7 @@ HEADLINE = ("datamap_source", "pivot_code", "base_stats", "sub_region_coverage",
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
-    runs = int(os.environ.get("BENCH_RUNS", "3"))
+    runs = int(os.environ.get("BENCH_RUNS", "5"))
     spark = build_session(f"local[{cpus}]", app="indicata-bench",
                           shuffle_partitions=max(8, 2 * cpus),
                           extra={"spark.driver.memory": "16g"})

@@ -32,44 +32,56 @@ def join_null_safe(left: DataFrame, right: DataFrame, keys, how: str = "left") -
 def base_stats(df: DataFrame, keys=STAT_KEYS, sort: bool = True) -> DataFrame:
     """One row per (source, collection, indicator_label) with 12 measures.
 
-    Counts, means and extremes come from one hash aggregate with map-side
-    partial aggregation; the two distinct counts from dedup branches.  Median and inter-quartile range (nearest rank)
-    come from the distributed order-statistics operator, which never puts a
-    whole group into one task.  Sorted by the keys.
+    Four branches produce rows keyed by the group: the observations
+    themselves (counts, exact mean, extremes, year span), the distinct
+    (group, country) pairs, the distinct (group, year) pairs with a value,
+    and one row per group from the exact order-statistics operator (median
+    and nearest-rank quartiles, never a whole hot group in one task).  They
+    are merged by a union and a single conditional aggregate on the keys:
+    null keys group natively, no join is needed, and every branch is
+    partially aggregated before the one shuffle that combines them.
+    Sorted by the keys.
     """
     keys = list(keys)
     v = F.col("value")
     has = v.isNotNull()
-    main = df.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("count_rows"),
-        F.count_if(v.isNull()).alias("count_missing_value"),
-        exact_mean(v).alias("mean_value"),
-        F.min(v).alias("min_value"),
-        F.max(v).alias("max_value"),
-        F.min(F.when(has, F.col("year"))).alias("min_year"),
-        F.max(F.when(has, F.col("year"))).alias("max_year"),
-    )
-    # Distinct counts as separate dedup branches (map-side distinct, then a
-    # count per group) rather than several count-distincts in one
-    # aggregate, which Spark runs through an Expand that copies every row
-    # once per distinct column.  A null country / year is one distinct row,
-    # so ``count(*)`` counts it as a value.
-    countries = (df.select(*keys, "country").distinct()
-                   .groupBy(*keys).agg(F.count(F.lit(1)).alias("num_countries_with_data")))
-    years = (df.where(has).select(*keys, "year").distinct()
-               .groupBy(*keys).agg(F.count(F.lit(1)).alias("num_years_with_data")))
+    null_d, null_i = F.lit(None).cast("double"), F.lit(None).cast("int")
+
+    def branch(frame: DataFrame, tag: int, value=null_d, year=null_i,
+               med=null_d, q25=null_d, q75=null_d) -> DataFrame:
+        return frame.select(*keys, F.lit(tag).alias("_t"), value.alias("value"),
+                            year.alias("year"), med.alias("_med"), q25.alias("_q25"),
+                            q75.alias("_q75"))
+
+    obs = branch(df, 0, value=v, year=F.col("year"))
+    # A null country / year is one distinct row, so it counts as a value.
+    countries = branch(df.select(*keys, "country").distinct(), 1)
+    years = branch(df.where(has).select(*keys, "year").distinct(), 2)
     qs = exact_quantiles(df.select(*keys, "value"), keys, "value", {
-        "median_value": (0.5, "midpoint"),
-        "_q25": (0.25, "nearest"),
-        "_q75": (0.75, "nearest"),
-    }).select(*keys, "median_value", (F.col("_q75") - F.col("_q25")).alias("iqr_value"))
-    out = join_null_safe(join_null_safe(join_null_safe(main, countries, keys), years, keys), qs, keys)
-    out = (out.select(
-                *keys,
-                "count_rows", "count_missing_value", "num_countries_with_data",
-                F.coalesce(F.col("num_years_with_data"), F.lit(0)).alias("num_years_with_data"),
-                "mean_value", "median_value", "min_value",
-                "max_value", "iqr_value", "min_year", "max_year",
-                (safe_div(F.col("count_missing_value").cast("double"),
-                          F.col("count_rows").cast("double")) * 100).alias("pct_missing_value")))
+        "m": (0.5, "midpoint"), "a": (0.25, "nearest"), "b": (0.75, "nearest")})
+    quart = branch(qs, 3, med=F.col("m"), q25=F.col("a"), q75=F.col("b"))
+
+    t = F.col("_t")
+    is_obs = t == 0
+    ov = F.when(is_obs, F.col("value"))
+    oyear = F.when(is_obs & F.col("value").isNotNull(), F.col("year"))
+    out = (obs.unionByName(countries).unionByName(years).unionByName(quart)
+              .groupBy(*keys).agg(
+                  F.count_if(is_obs).alias("count_rows"),
+                  F.count_if(is_obs & F.col("value").isNull()).alias("count_missing_value"),
+                  F.count_if(t == 1).alias("num_countries_with_data"),
+                  F.count_if(t == 2).alias("num_years_with_data"),
+                  exact_mean(ov).alias("mean_value"),
+                  F.max(F.when(t == 3, F.col("_med"))).alias("median_value"),
+                  F.min(ov).alias("min_value"),
+                  F.max(ov).alias("max_value"),
+                  F.max(F.when(t == 3, F.col("_q75") - F.col("_q25"))).alias("iqr_value"),
+                  F.min(oyear).alias("min_year"),
+                  F.max(oyear).alias("max_year")))
+    out = out.select(
+        *keys, "count_rows", "count_missing_value", "num_countries_with_data",
+        "num_years_with_data", "mean_value", "median_value", "min_value", "max_value",
+        "iqr_value", "min_year", "max_year",
+        (safe_div(F.col("count_missing_value").cast("double"),
+                  F.col("count_rows").cast("double")) * 100).alias("pct_missing_value"))
     return out.orderBy(*[F.col(k).asc_nulls_first() for k in keys]) if sort else out
