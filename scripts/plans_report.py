@@ -18,8 +18,11 @@ from indicata.session import build_session  # noqa: E402
 
 
 def summarize(plan: str) -> dict:
+    plan = plan.split("== Initial Plan ==")[0]
     lines = plan.splitlines()
-    ex = [re.sub(r"#\d+L?", "", l.strip(" :+-")) for l in lines if "Exchange" in l and "Reused" not in l]
+    ex = [re.sub(r"#\d+L?", "", l.strip(" :+-")) for l in lines
+          if re.search(r"\b(Exchange|BroadcastExchange)\b", l) and "Reused" not in l
+          and "ShuffleQueryStage" not in l and "BroadcastQueryStage" not in l]
     out = {
         "exchanges": [re.sub(r", \[plan_id=\d+\]", "", e)[:140] for e in ex],
         "joins": sorted({m for l in lines for m in re.findall(r"(BroadcastHashJoin|SortMergeJoin|ShuffledHashJoin|BroadcastNestedLoopJoin|CartesianProduct)[^\n]*?(Inner|LeftOuter|LeftSemi|LeftAnti|FullOuter)?", l) for m in [m[0] + (" " + m[1] if m[1] else "")]}),
@@ -42,7 +45,7 @@ def main():
           " (generated by `scripts/plans_report.py`).\n")
     for name, q in catalog.QUERIES.items():
         df = q(spark, sf_dir)
-        df.write.format("noop").mode("overwrite").save()
+        df.collect()  # runs this DataFrame's own plan, so AQE's final plan is recorded
         s = summarize(df._jdf.queryExecution().executedPlan().toString())
         print(f"## {name}\n")
         print(f"- shuffles: {len(s['exchanges'])}")
