@@ -64,6 +64,8 @@ def base_stats(df: DataFrame, keys=STAT_KEYS, sort: bool = True) -> DataFrame:
     t = F.col("_t")
     is_obs = t == 0
     ov = F.when(is_obs, F.col("value"))
+    # min / max skip NaN (Spark would return NaN as the largest double)
+    ov_num = F.when(is_obs & ~F.isnan(F.col("value")), F.col("value"))
     oyear = F.when(is_obs & F.col("value").isNotNull(), F.col("year"))
     out = (obs.unionByName(countries).unionByName(years).unionByName(quart)
               .groupBy(*keys).agg(
@@ -73,8 +75,8 @@ def base_stats(df: DataFrame, keys=STAT_KEYS, sort: bool = True) -> DataFrame:
                   F.count_if(t == 2).alias("num_years_with_data"),
                   exact_mean(ov).alias("mean_value"),
                   F.max(F.when(t == 3, F.col("_med"))).alias("median_value"),
-                  F.min(ov).alias("min_value"),
-                  F.max(ov).alias("max_value"),
+                  F.min(ov_num).alias("min_value"),
+                  F.max(ov_num).alias("max_value"),
                   F.max(F.when(t == 3, F.col("_q75") - F.col("_q25"))).alias("iqr_value"),
                   F.min(oyear).alias("min_year"),
                   F.max(oyear).alias("max_year")))
