@@ -125,9 +125,13 @@ def ranked_values(df: DataFrame, keys: list[str], value: str,
     keys = list(keys)
     nn = df.where(F.col(value).isNotNull()).select(*keys, value)
     sizes = nn.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    big_count = sizes.agg(F.count_if(F.col("_n") > small_group_rows)).first()[0] or 0
+    counts = sizes.agg(F.count_if(F.col("_n") > small_group_rows).alias("big"),
+                       F.count(F.lit(1)).alias("all")).first()
+    big_count, all_count = counts["big"] or 0, counts["all"] or 0
     if big_count == 0:
         return _ranked_small(nn, keys, value, ranks)
+    if big_count == all_count:
+        return _ranked_large(nn, keys, value, ranks)
     big = sizes.where(F.col("_n") > small_group_rows).select(*keys)
     if big_count <= MAX_BROADCAST_KEYS:
         big = F.broadcast(big)
