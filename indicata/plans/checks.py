@@ -137,18 +137,26 @@ def describe(df: DataFrame, columns=None, interpolation: str = "nearest") -> Dat
 def describe_cells(cells: DataFrame, ind_col: str) -> DataFrame:
     """C17 ``describe``: per indicator column of the mean table, pandas'
     count, mean, std (n-1), min, 25/50/75% (linear) and max, computed on
-    the long cells so the wide table is never materialised."""
-    base = cells.groupBy(ind_col).agg(
-        F.count("cell").alias("count"),
-        exact_mean(F.col("cell")).alias("mean"),
-        F.stddev_samp("cell").alias("std"),
-        F.min("cell").alias("min"),
-        F.max("cell").alias("max"))
+    the long cells so the wide table is never materialised.  The moments
+    and the quartiles (one row per indicator) are merged by a union and one
+    aggregate, not a join."""
+    null_d = F.lit(None).cast("double")
     qs = exact_quantiles(cells, [ind_col], "cell", {
-        "25%": (0.25, "linear"), "50%": (0.5, "linear"), "75%": (0.75, "linear")})
-    return (base.join(qs.drop("n"), ind_col, "left")
-                .select(F.col(ind_col).alias("column"), "count", "mean", "std", "min",
-                        "25%", "50%", "75%", "max"))
+        "p25": (0.25, "linear"), "p50": (0.5, "linear"), "p75": (0.75, "linear")})
+    rows = cells.select(ind_col, F.lit(0).alias("_t"), "cell",
+                        null_d.alias("p25"), null_d.alias("p50"), null_d.alias("p75"))
+    quart = qs.select(ind_col, F.lit(1).alias("_t"), null_d.alias("cell"), "p25", "p50", "p75")
+    q = F.col("_t") == 1
+    return (rows.unionByName(quart).groupBy(ind_col).agg(
+                F.count("cell").alias("count"),
+                exact_mean(F.col("cell")).alias("mean"),
+                F.stddev_samp("cell").alias("std"),
+                F.min("cell").alias("min"),
+                F.max(F.when(q, F.col("p25"))).alias("25%"),
+                F.max(F.when(q, F.col("p50"))).alias("50%"),
+                F.max(F.when(q, F.col("p75"))).alias("75%"),
+                F.max("cell").alias("max"))
+            .withColumnRenamed(ind_col, "column"))
 
 
 def info_cells(cells: DataFrame, ind_col: str) -> DataFrame:
