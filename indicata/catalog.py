@@ -390,7 +390,8 @@ def q_distinct_collection(spark, sf_dir):
 
 
 @register("top10_indicators", """
-select indicator_label, count, rank() over (order by count desc, indicator_label asc nulls first) as rank
+select indicator_label, count,
+  cast(rank() over (order by count desc, indicator_label asc nulls first) as integer) as rank
 from (select indicator_label, count(*) as count from obt group by all)
 qualify rank <= 10""")
 def q_top10_indicators(spark, sf_dir):
