@@ -48,6 +48,11 @@ def exact_mean(c: Column, scale: int = MEAN_SCALE) -> Column:
     return F.avg(c.cast(DecimalType(38, scale))).cast("double")
 
 
+def exact_mean_sql(expr: str, scale: int = MEAN_SCALE) -> str:
+    """``exact_mean`` as SQL text, for builders that emit expression strings."""
+    return f"cast(avg(cast({expr} AS decimal(38, {scale}))) AS double)"
+
+
 def safe_div(num: Column, den: Column) -> Column:
     """Division that yields null instead of raising on a zero divisor."""
     return F.try_divide(num, den)
@@ -72,6 +77,14 @@ def row_mean(cols: list[Column]) -> Column:
     return F.try_divide(total, F.size(nonnull).cast("double"))
 
 
+def row_mean_sql(names: list[str]) -> str:
+    """SQL text of ``row_mean`` over named columns (one driver call to use)."""
+    arr = "array(" + ", ".join(f"cast({quote(n)} AS double)" for n in names) + ")"
+    nonnull = f"filter({arr}, x -> x IS NOT NULL)"
+    return (f"try_divide(aggregate({nonnull}, 0D, (acc, x) -> acc + x), "
+            f"cast(size({nonnull}) AS double))")
+
+
 def coverage_color(pct: Column) -> Column:
     """Red -> yellow -> green text for a coverage percentage (clamped 0..100).
 

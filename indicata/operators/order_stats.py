@@ -37,6 +37,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
+from indicata.functions.expressions import quote
 from indicata.session import checkpoint_dir
 
 def _local_cumulative(key_cols: list[str], count_col: str):
@@ -87,40 +88,38 @@ SMALL_GROUP_ROWS = 1_000_000
 MAX_BROADCAST_KEYS = 1_000_000
 
 
-def _pick(rows: DataFrame, keys: list[str], value: str, start: Column, end: Column,
-          n: Column, ranks: dict[str, Callable[[Column], Column]]) -> DataFrame:
+def _pick(rows: DataFrame, keys: list[str], value: str, start: str, end: str,
+          n: str, ranks: dict[str, Callable[[str], str]]) -> DataFrame:
     """Keep rows whose rank interval [start, end) holds a wanted rank and fold
-    them to one row per group (a partial aggregate)."""
-    hits, aggs = [], [F.max(n).alias("n")]
+    them to one row per group (a partial aggregate).  ``start``, ``end`` and
+    ``n`` are column names; ``ranks`` build SQL text from the ``n`` name."""
+    hits, aggs = [], [f"max({n}) AS n"]
     for name, rank_of in ranks.items():
         rk = rank_of(n)
-        hit = (start <= rk) & (rk < end)
+        hit = f"({start} <= {rk} AND {rk} < {end})"
         hits.append(hit)
-        aggs.append(F.max(F.when(hit, F.col(value))).alias(name))
-    any_hit = hits[0]
-    for h in hits[1:]:
-        any_hit = any_hit | h
-    return rows.where(any_hit).groupBy(*keys).agg(*aggs)
+        aggs.append(f"max(CASE WHEN {hit} THEN {quote(value)} END) AS {quote(name)}")
+    return rows.where(" OR ".join(hits)).groupBy(*keys).agg(*[F.expr(x) for x in aggs])
 
 
 def _ranked_small(nn: DataFrame, keys: list[str], value: str, ranks) -> DataFrame:
     """Window ranks for groups known to be small (bounded rows per group)."""
-    by_group = Window.partitionBy(*keys)
-    ranked = nn.select(
-        *keys, value,
-        (F.row_number().over(by_group.orderBy(value)) - 1).alias("_rk"),
-        F.count(F.lit(1)).over(by_group).alias("_n"))
-    return _pick(ranked, keys, value, F.col("_rk"), F.col("_rk") + 1, F.col("_n"), ranks)
+    part = ", ".join(quote(k) for k in keys)
+    ranked = nn.selectExpr(
+        *[quote(k) for k in keys], quote(value),
+        f"row_number() OVER (PARTITION BY {part} ORDER BY {quote(value)}) - 1 AS _rk",
+        f"count(1) OVER (PARTITION BY {part}) AS _n")
+    return _pick(ranked, keys, value, "_rk", "(_rk + 1)", "_n", ranks)
 
 
 def ranked_values(df: DataFrame, keys: list[str], value: str,
-                  ranks: dict[str, Callable[[Column], Column]],
+                  ranks: dict[str, Callable[[str], str]],
                   small_group_rows: int = SMALL_GROUP_ROWS) -> DataFrame:
     """Per group of ``keys``: ``n`` (non-null values) and, for each entry of
     ``ranks``, the value at that 0-based rank of the sorted non-null values.
 
-    ``ranks`` maps an output name to a function of the ``n`` column giving
-    the rank.  Groups without any non-null value have no row.
+    ``ranks`` maps an output name to a function that, given the SQL name of
+    the ``n`` column, returns SQL text for the rank.  Groups without any non-null value have no row.
     """
     keys = list(keys)
     nn = df.where(F.col(value).isNotNull()).select(*keys, value)
@@ -142,7 +141,7 @@ def ranked_values(df: DataFrame, keys: list[str], value: str,
 
 
 def _ranked_large(df: DataFrame, keys: list[str], value: str,
-                  ranks: dict[str, Callable[[Column], Column]]) -> DataFrame:
+                  ranks: dict[str, Callable[[str], str]]) -> DataFrame:
     """The range-partitioned path for big groups (steps 1-5 above)."""
     checkpoint_dir(df.sparkSession)
     vc = (df.groupBy(*keys, value)
@@ -171,20 +170,20 @@ def _ranked_large(df: DataFrame, keys: list[str], value: str,
         (F.col("r._off") + F.col("l._lcum") - F.col("l._c")).alias("_start"),
         (F.col("r._off") + F.col("l._lcum")).alias("_end"),
         F.col("r.n").alias("_n"))
-    return _pick(joined, keys, value, F.col("_start"), F.col("_end"), F.col("_n"), ranks)
+    return _pick(joined, keys, value, "_start", "_end", "_n", ranks)
 
 
-def nearest_rank(q: float) -> Callable[[Column], Column]:
+def nearest_rank(q: float) -> Callable[[str], str]:
     """Rank of the ``nearest`` quantile: round((n - 1) * q), halves up."""
-    return lambda n: F.floor((n - 1) * F.lit(q) + F.lit(0.5)).cast("long")
+    return lambda n: f"cast(floor(({n} - 1) * {float(q)!r}D + 0.5D) AS bigint)"
 
 
-def lower_rank(q: float) -> Callable[[Column], Column]:
-    return lambda n: F.floor((n - 1) * F.lit(q)).cast("long")
+def lower_rank(q: float) -> Callable[[str], str]:
+    return lambda n: f"cast(floor(({n} - 1) * {float(q)!r}D) AS bigint)"
 
 
-def upper_rank(q: float) -> Callable[[Column], Column]:
-    return lambda n: F.ceil((n - 1) * F.lit(q)).cast("long")
+def upper_rank(q: float) -> Callable[[str], str]:
+    return lambda n: f"cast(ceil(({n} - 1) * {float(q)!r}D) AS bigint)"
 
 
 def exact_quantiles(df: DataFrame, keys: list[str], value: str,
@@ -210,13 +209,13 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str,
     outs = []
     for name, (q, method) in spec.items():
         if method == "nearest":
-            outs.append(F.col(f"_{name}_v").cast("double").alias(name))
+            outs.append(f"cast({quote(f'_{name}_v')} AS double) AS {quote(name)}")
             continue
-        lo, hi = F.col(f"_{name}_lo").cast("double"), F.col(f"_{name}_hi").cast("double")
+        lo = f"cast({quote(f'_{name}_lo')} AS double)"
+        hi = f"cast({quote(f'_{name}_hi')} AS double)"
         if method == "midpoint":
-            outs.append(((lo + hi) / 2).alias(name))
+            outs.append(f"({lo} + {hi}) / 2 AS {quote(name)}")
         else:
-            pos = (F.col("n") - 1) * F.lit(q)
-            frac = pos - F.floor(pos)
-            outs.append((lo + (hi - lo) * frac).alias(name))
-    return rv.select(*keys, "n", *outs)
+            pos = f"((n - 1) * {float(q)!r}D)"
+            outs.append(f"{lo} + ({hi} - {lo}) * ({pos} - floor({pos})) AS {quote(name)}")
+    return rv.selectExpr(*[quote(k) for k in keys], "n", *outs)

@@ -58,9 +58,9 @@ def coverage_wide(long: DataFrame, regions: list[str]) -> DataFrame:
     (explicit value list, so Spark runs no extra distinct job); a region
     without values for a label gets 0."""
     wide = long.groupBy("indicator_label").pivot("sub_region_name", regions).agg(F.max("pct"))
-    cols = [F.coalesce(F.col(quote(r)), F.lit(0.0)).alias(f"pct_coverage_{clean_name(r)}")
+    cols = [f"coalesce({quote(r)}, 0D) AS {quote('pct_coverage_' + clean_name(r))}"
             for r in regions]
-    return wide.select("indicator_label", *cols)
+    return wide.selectExpr("indicator_label", *cols)
 
 
 def sub_region_coverage(df: DataFrame, info: DataFrame | None = None) -> DataFrame:

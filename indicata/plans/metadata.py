@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from indicata.functions.expressions import row_mean, safe_div
+from indicata.functions.expressions import quote, row_mean_sql, safe_div
 from indicata.plans.coverage import (clean_name, coverage_long, coverage_wide,
                                      region_names, sub_region_info)
 from indicata.plans.stats import base_stats
@@ -37,8 +37,9 @@ def indicators_metadata(df: DataFrame) -> DataFrame:
     wide = coverage_wide(coverage_long(df, info), regions)
     pct_cols = [f"pct_coverage_{clean_name(r)}" for r in regions]
     joined = base.join(wide, "indicator_label", "left")
-    geo = row_mean([F.col(c) for c in pct_cols])
-    out = joined.select(
-        *base.columns, *pct_cols,
-        ((temporal_completeness() + geo) / 2).alias("completeness_score"))
+    temporal = ("coalesce(try_divide(cast(num_years_with_data AS double), "
+                "cast(max_year - min_year + 1 AS double)) * 100, 0D)")
+    out = joined.selectExpr(
+        *[quote(c) for c in base.columns], *[quote(c) for c in pct_cols],
+        f"({temporal} + {row_mean_sql(pct_cols)}) / 2 AS completeness_score")
     return out.orderBy(F.col("completeness_score").desc_nulls_first())

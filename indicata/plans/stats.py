@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from indicata.functions.expressions import exact_mean, safe_div
+from indicata.functions.expressions import exact_mean_sql, quote
 from indicata.operators.order_stats import exact_quantiles
 
 STAT_KEYS = ("source", "collection", "indicator_label")
@@ -17,18 +17,6 @@ BASE_STAT_COLUMNS = (
 )
 
 
-def join_null_safe(left: DataFrame, right: DataFrame, keys, how: str = "left") -> DataFrame:
-    """Join on ``keys`` where a null key matches a null key; keeps left's keys."""
-    l, r = left.alias("_l"), right.alias("_r")
-    cond = None
-    for k in keys:
-        e = F.col(f"_l.{k}").eqNullSafe(F.col(f"_r.{k}"))
-        cond = e if cond is None else cond & e
-    rest = [c for c in right.columns if c not in keys]
-    return l.join(r, cond, how).select(*[F.col(f"_l.{c}") for c in left.columns],
-                                       *[F.col(f"_r.{c}") for c in rest])
-
-
 def base_stats(df: DataFrame, keys=STAT_KEYS, sort: bool = True) -> DataFrame:
     """One row per (source, collection, indicator_label) with 12 measures.
 
@@ -43,47 +31,44 @@ def base_stats(df: DataFrame, keys=STAT_KEYS, sort: bool = True) -> DataFrame:
     Sorted by the keys.
     """
     keys = list(keys)
-    v = F.col("value")
-    has = v.isNotNull()
-    null_d, null_i = F.lit(None).cast("double"), F.lit(None).cast("int")
 
-    def branch(frame: DataFrame, tag: int, value=null_d, year=null_i,
-               med=null_d, q25=null_d, q75=null_d) -> DataFrame:
-        return frame.select(*keys, F.lit(tag).alias("_t"), value.alias("value"),
-                            year.alias("year"), med.alias("_med"), q25.alias("_q25"),
-                            q75.alias("_q75"))
+    # Each branch is one projection to the same columns (written as SQL
+    # expressions: one driver call per projection, however many columns).
+    def branch(frame: DataFrame, tag: int, value="null", year="null",
+               med="null", q25="null", q75="null") -> DataFrame:
+        return frame.selectExpr(
+            *[quote(k) for k in keys], f"{tag} AS _t", f"cast({value} AS double) AS value",
+            f"cast({year} AS int) AS year", f"cast({med} AS double) AS _med",
+            f"cast({q25} AS double) AS _q25", f"cast({q75} AS double) AS _q75")
 
-    obs = branch(df, 0, value=v, year=F.col("year"))
+    obs = branch(df, 0, value="value", year="year")
     # A null country / year is one distinct row, so it counts as a value.
     countries = branch(df.select(*keys, "country").distinct(), 1)
-    years = branch(df.where(has).select(*keys, "year").distinct(), 2)
+    years = branch(df.where("value IS NOT NULL").select(*keys, "year").distinct(), 2)
     qs = exact_quantiles(df.select(*keys, "value"), keys, "value", {
         "m": (0.5, "midpoint"), "a": (0.25, "nearest"), "b": (0.75, "nearest")})
-    quart = branch(qs, 3, med=F.col("m"), q25=F.col("a"), q75=F.col("b"))
+    quart = branch(qs, 3, med="m", q25="a", q75="b")
 
-    t = F.col("_t")
-    is_obs = t == 0
-    ov = F.when(is_obs, F.col("value"))
     # min / max skip NaN (Spark would return NaN as the largest double)
-    ov_num = F.when(is_obs & ~F.isnan(F.col("value")), F.col("value"))
-    oyear = F.when(is_obs & F.col("value").isNotNull(), F.col("year"))
+    measures = [
+        "count_if(_t = 0) AS count_rows",
+        "count_if(_t = 0 AND value IS NULL) AS count_missing_value",
+        "count_if(_t = 1) AS num_countries_with_data",
+        "count_if(_t = 2) AS num_years_with_data",
+        f"{exact_mean_sql('CASE WHEN _t = 0 THEN value END')} AS mean_value",
+        "max(CASE WHEN _t = 3 THEN _med END) AS median_value",
+        "min(CASE WHEN _t = 0 AND NOT isnan(value) THEN value END) AS min_value",
+        "max(CASE WHEN _t = 0 AND NOT isnan(value) THEN value END) AS max_value",
+        "max(CASE WHEN _t = 3 THEN _q75 - _q25 END) AS iqr_value",
+        "min(CASE WHEN _t = 0 AND value IS NOT NULL THEN year END) AS min_year",
+        "max(CASE WHEN _t = 0 AND value IS NOT NULL THEN year END) AS max_year",
+    ]
     out = (obs.unionByName(countries).unionByName(years).unionByName(quart)
-              .groupBy(*keys).agg(
-                  F.count_if(is_obs).alias("count_rows"),
-                  F.count_if(is_obs & F.col("value").isNull()).alias("count_missing_value"),
-                  F.count_if(t == 1).alias("num_countries_with_data"),
-                  F.count_if(t == 2).alias("num_years_with_data"),
-                  exact_mean(ov).alias("mean_value"),
-                  F.max(F.when(t == 3, F.col("_med"))).alias("median_value"),
-                  F.min(ov_num).alias("min_value"),
-                  F.max(ov_num).alias("max_value"),
-                  F.max(F.when(t == 3, F.col("_q75") - F.col("_q25"))).alias("iqr_value"),
-                  F.min(oyear).alias("min_year"),
-                  F.max(oyear).alias("max_year")))
-    out = out.select(
-        *keys, "count_rows", "count_missing_value", "num_countries_with_data",
+              .groupBy(*keys).agg(*[F.expr(m) for m in measures]))
+    out = out.selectExpr(
+        *[quote(k) for k in keys], "count_rows", "count_missing_value", "num_countries_with_data",
         "num_years_with_data", "mean_value", "median_value", "min_value", "max_value",
         "iqr_value", "min_year", "max_year",
-        (safe_div(F.col("count_missing_value").cast("double"),
-                  F.col("count_rows").cast("double")) * 100).alias("pct_missing_value"))
+        "try_divide(cast(count_missing_value AS double), cast(count_rows AS double)) * 100"
+        " AS pct_missing_value")
     return out.orderBy(*[F.col(k).asc_nulls_first() for k in keys]) if sort else out

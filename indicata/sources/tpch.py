@@ -117,7 +117,7 @@ _MATERIALIZED: dict[tuple, str] = {}
 
 def obt_path(spark: SparkSession, sf_dir: str) -> str:
     """Write the observation table once (per input signature) and return its path."""
-    key = (id(spark.sparkContext), os.path.abspath(sf_dir))
+    key = (id(spark), id(spark.sparkContext), os.path.abspath(sf_dir))
     if key in _MATERIALIZED:
         return _MATERIALIZED[key]
     path = derived_table_dir(spark, f"obt-{_signature(sf_dir)}")
@@ -148,16 +148,27 @@ def _written(spark: SparkSession, path: str) -> bool:
     return bool(fs.exists(hpath))
 
 
+_FRAMES: dict[tuple, DataFrame] = {}
+
+
 def obt_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stored observation table as written (before classification)."""
     return spark.read.parquet(obt_path(spark, sf_dir))
 
 
 def obt(spark: SparkSession, sf_dir: str, with_order: bool = False) -> DataFrame:
-    """C1 over the stored table: ``country`` renamed, ``income_level`` added."""
-    df = classify(obt_raw(spark, sf_dir))
-    if not with_order:
-        df = df.drop(*ORDER_COLUMNS, SEQ_COLUMN)
+    """C1 over the stored table: ``country`` renamed, ``income_level`` added.
+
+    The lazy frame is kept per session and input, so the file listing and
+    footer read happen once; no data is cached.
+    """
+    key = (id(spark), os.path.abspath(sf_dir), with_order)
+    df = _FRAMES.get(key)
+    if df is None:
+        df = classify(obt_raw(spark, sf_dir))
+        if not with_order:
+            df = df.drop(*ORDER_COLUMNS, SEQ_COLUMN)
+        _FRAMES[key] = df
     return df
 
 
