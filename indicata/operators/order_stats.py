@@ -114,7 +114,7 @@ def _ranked_small(nn: DataFrame, keys: list[str], value: str, ranks) -> DataFram
 
 def ranked_values(df: DataFrame, keys: list[str], value: str,
                   ranks: dict[str, Callable[[str], str]],
-                  small_group_rows: int = SMALL_GROUP_ROWS) -> DataFrame:
+                  small_group_rows: int | None = None) -> DataFrame:
     """Per group of ``keys``: ``n`` (non-null values) and, for each entry of
     ``ranks``, the value at that 0-based rank of the sorted non-null values.
 
@@ -122,6 +122,8 @@ def ranked_values(df: DataFrame, keys: list[str], value: str,
     the ``n`` column, returns SQL text for the rank.  Groups without any non-null value have no row.
     """
     keys = list(keys)
+    if small_group_rows is None:
+        small_group_rows = SMALL_GROUP_ROWS
     nn = df.where(F.col(value).isNotNull()).select(*keys, value)
     sizes = nn.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     counts = sizes.agg(F.count_if(F.col("_n") > small_group_rows).alias("big"),
@@ -188,7 +190,7 @@ def upper_rank(q: float) -> Callable[[str], str]:
 
 def exact_quantiles(df: DataFrame, keys: list[str], value: str,
                     spec: dict[str, tuple[float, str]],
-                    small_group_rows: int = SMALL_GROUP_ROWS) -> DataFrame:
+                    small_group_rows: int | None = None) -> DataFrame:
     """Exact quantiles per group.
 
     ``spec`` maps an output name to ``(q, method)`` with method one of

@@ -66,3 +66,18 @@ def test_multi_key_with_null_keys_on_range_path(spark):
     for key in {(a, b) for a, b, _ in rows}:
         vals = [v for a, b, v in rows if (a, b) == key]
         assert got[key] == pytest.approx(_brute(vals, 0.5, "midpoint")), key
+
+
+def test_base_stats_same_on_both_paths(spark, monkeypatch):
+    from indicata.operators import order_stats
+    from indicata.plans.stats import base_stats
+    from indicata.sources.tpch import obt
+    from conftest import SF_SMALL
+
+    t = obt(spark, SF_SMALL)
+    window = {tuple(r) for r in base_stats(t).collect()}
+    monkeypatch.setattr(order_stats, "SMALL_GROUP_ROWS", 50)   # most groups are "big"
+    mixed = {tuple(r) for r in base_stats(t).collect()}
+    monkeypatch.setattr(order_stats, "SMALL_GROUP_ROWS", 0)    # every group is "big"
+    ranged = {tuple(r) for r in base_stats(t).collect()}
+    assert window == mixed == ranged
