@@ -21,10 +21,6 @@ def quote(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
-def col(name: str) -> Column:
-    return F.col(quote(name))
-
-
 def income_level() -> Column:
     """Searched CASE over the four income flags; a null flag falls through."""
     expr = None

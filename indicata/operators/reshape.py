@@ -24,11 +24,6 @@ def distinct_values(df: DataFrame, column: str, limit: int = MAX_PIVOT_VALUES) -
     return [r["v"] for r in rows]
 
 
-def pivot_name(v) -> str:
-    """Column name Spark gives a pivot value (``null`` for a null value)."""
-    return "null" if v is None else str(v)
-
-
 def transpose_row(df: DataFrame, name_col: str = "column",
                   value_col: str = "value") -> DataFrame:
     """A one-row table -> one row per column (``name_col``, ``value_col``)."""

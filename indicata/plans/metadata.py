@@ -5,18 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from indicata.functions.expressions import quote, row_mean_sql, safe_div
+from indicata.functions.expressions import quote, row_mean_sql
 from indicata.plans.coverage import (clean_name, coverage_long, coverage_wide,
                                      region_names, sub_region_info)
 from indicata.plans.stats import base_stats
 
 
-def temporal_completeness() -> F.Column:
-    span = F.col("max_year") - F.col("min_year") + 1
-    return F.coalesce(safe_div(F.col("num_years_with_data").cast("double"),
-                               span.cast("double")) * 100, F.lit(0.0))
-
-
 def indicators_metadata(df: DataFrame) -> DataFrame:
     """Base statistics + sub-region coverage + ``completeness_score``.
 

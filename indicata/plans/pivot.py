@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from indicata.functions.expressions import exact_mean, quote
+from indicata.functions.expressions import exact_mean
 from indicata.operators.reshape import MAX_PIVOT_VALUES, distinct_values
 
 INDEX = ("country", "year")
@@ -93,8 +93,4 @@ def src_cells(df: DataFrame, ind: str = "code") -> DataFrame:
               .agg(exact_mean(F.col("value")).alias("cell")))
 
 
-def pivot_columns(df: DataFrame) -> list[str]:
-    return [c for c in df.columns if c not in INDEX]
-
-
-__all__ = ["filter_pivot", "select_collections", "src_tbl", "src_cells", "quote"]
+__all__ = ["filter_pivot", "select_collections", "src_tbl", "src_cells"]

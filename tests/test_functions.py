@@ -40,3 +40,11 @@ def test_exact_mean_is_order_free(spark):
     a = df.repartition(7).agg(exact_mean(F.col("v"))).first()[0]
     b = df.coalesce(1).agg(exact_mean(F.col("v"))).first()[0]
     assert a == b == 0.15
+
+
+def test_n_unique_where_counts_null_only_under_condition(spark):
+    from indicata.functions.expressions import n_unique_where
+    df = spark.createDataFrame([(2000, 1.0), (2001, None), (None, 2.0), (None, None), (2000, 3.0)],
+                               "year int, value double")
+    got = df.agg(n_unique_where(F.col("year"), F.col("value").isNotNull())).first()[0]
+    assert got == 2   # 2000 and the null year, both with a value
