@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
-from indicata.functions.expressions import exact_mean, n_unique, quote
+from indicata.functions.expressions import exact_mean, exact_mean_sql, n_unique, quote
 from indicata.operators.order_stats import exact_quantiles
 
 INCOME_FLAGS = ("high_income", "upper_middle_income", "lower_middle_income", "low_income")
@@ -102,36 +102,44 @@ def describe(df: DataFrame, columns=None, interpolation: str = "nearest") -> Dat
     """
     cols = list(columns or df.columns)
     num = [c for c in _numeric_cols(df) if c in cols]
+    # one aggregate over all columns, written as SQL text (one driver call
+    # per expression instead of a tree of Column calls per column)
     aggs = []
     for i, c in enumerate(cols):
-        q = F.col(quote(c))
-        aggs += [F.count(q).alias(f"_{i}_count"),
-                 F.count_if(q.isNull()).alias(f"_{i}_null_count"),
-                 F.min(q).cast("string").alias(f"_{i}_min"),
-                 F.max(q).cast("string").alias(f"_{i}_max")]
-    one = df.agg(*aggs)
-    rows = one.select(F.explode(F.array(*[
-        F.struct(F.lit(c).alias("column"),
-                 F.col(f"_{i}_count").alias("count"),
-                 F.col(f"_{i}_null_count").alias("null_count"),
-                 F.col(f"_{i}_min").alias("min"),
-                 F.col(f"_{i}_max").alias("max"))
-        for i, c in enumerate(cols)])).alias("s")).select("s.*")
+        q = quote(c)
+        aggs += [f"count({q}) AS _{i}_count", f"count_if({q} IS NULL) AS _{i}_null_count",
+                 f"cast(min({q}) AS string) AS _{i}_min", f"cast(max({q}) AS string) AS _{i}_max"]
+    one = df.agg(*[F.expr(a) for a in aggs])
+    structs = ", ".join(
+        f"named_struct('column', {_sql_str(c)}, 'count', _{i}_count, 'null_count', _{i}_null_count, "
+        f"'min', _{i}_min, 'max', _{i}_max)" for i, c in enumerate(cols))
+    rows = one.selectExpr(f"inline(array({structs}))")
     if not num:
-        return rows.select("column", "count", "null_count",
-                           *[F.lit(None).cast("double").alias(n) for n in ("mean", "std", "25%", "50%", "75%")],
-                           "min", "max")
-    long = (df.select(*[F.col(quote(c)).cast("double").alias(c) for c in num])
+        return rows.selectExpr("column", "count", "null_count",
+                               *[f"cast(null AS double) AS `{n}`" for n in ("mean", "std", "25%", "50%", "75%")],
+                               "min", "max")
+    long = (df.selectExpr(*[f"cast({quote(c)} AS double) AS {quote(c)}" for c in num])
               .unpivot([], num, "column", "v"))
-    moments = long.groupBy("column").agg(exact_mean(F.col("v")).alias("mean"),
-                                         F.stddev_samp("v").alias("std"))
     method = "nearest" if interpolation == "nearest" else "linear"
     qs = exact_quantiles(long, ["column"], "v", {
-        "25%": (0.25, method), "50%": (0.5, method), "75%": (0.75, method)})
-    out = (rows.join(moments, "column", "left")
-               .join(qs.drop("n"), "column", "left"))
-    return out.select("column", "count", "null_count", "mean", "std", "min",
-                      "25%", "50%", "75%", "max")
+        "p25": (0.25, method), "p50": (0.5, method), "p75": (0.75, method)})
+    # moments and quartiles (one row per column) merged by union + one aggregate
+    null_d = "cast(null AS double)"
+    stats = (long.selectExpr("column", "0 AS _t", "v", f"{null_d} AS p25", f"{null_d} AS p50",
+                             f"{null_d} AS p75")
+             .unionByName(qs.selectExpr("column", "1 AS _t", f"{null_d} AS v", "p25", "p50", "p75"))
+             .groupBy("column").agg(*[F.expr(x) for x in (
+                 f"{exact_mean_sql('v')} AS mean", "stddev_samp(v) AS std",
+                 "max(CASE WHEN _t = 1 THEN p25 END) AS `25%`",
+                 "max(CASE WHEN _t = 1 THEN p50 END) AS `50%`",
+                 "max(CASE WHEN _t = 1 THEN p75 END) AS `75%`")]))
+    return (rows.join(stats, "column", "left")
+                .select("column", "count", "null_count", "mean", "std", "min",
+                        "25%", "50%", "75%", "max"))
+
+
+def _sql_str(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
 def describe_cells(cells: DataFrame, ind_col: str) -> DataFrame:
