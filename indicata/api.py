@@ -47,6 +47,7 @@ top_indicators = checks.top_indicators
 shape = checks.shape
 schema = checks.schema_table
 describe = checks.describe
+info = checks.info
 
 
 def metadata_distinct_counts(df: DataFrame, profile: ColumnProfile = DEFAULT_PROFILE) -> DataFrame:

@@ -407,6 +407,17 @@ def _nearest_sql(q: float) -> str:
     return f"max(case when rk = floor((n - 1) * {q} + 0.5) then v end)"
 
 
+# Spark type names of the table's columns (the dtype column of ``info``).
+_OBT_TYPES = {"year": "int", "value": "double"}
+
+
+@register("info_obt", " union all ".join(
+    f"select '{c}' as \"column\", count({c}) as non_null_count, '{_OBT_TYPES.get(c, 'string')}' as dtype "
+    "from obt" for c in OBT_OUT))
+def q_info_obt(spark, sf_dir):
+    return ck.info(obt(spark, sf_dir).select(*OBT_OUT))
+
+
 _DESCRIBE_NUM = ("year", "value")
 
 

@@ -138,6 +138,16 @@ def describe(df: DataFrame, columns=None, interpolation: str = "nearest") -> Dat
                         "25%", "50%", "75%", "max"))
 
 
+def info(df: DataFrame) -> DataFrame:
+    """(column, non_null_count, dtype) for every column, from one
+    aggregate (each count is partial-aggregated per task)."""
+    counts = df.agg(*[F.expr(f"count({quote(c)}) AS _{i}") for i, c in enumerate(df.columns)])
+    structs = ", ".join(
+        f"named_struct('column', {_sql_str(c)}, 'non_null_count', _{i}, 'dtype', {_sql_str(t)})"
+        for i, (c, t) in enumerate(df.dtypes))
+    return counts.selectExpr(f"inline(array({structs}))")
+
+
 def _sql_str(text: str) -> str:
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
