@@ -246,8 +246,13 @@ def q_pivot_code(spark, sf_dir):
     return _first_pivot(spark, sf_dir, "code")
 
 
-# Filter values of the chained-filter pivots: a source and a year, a source
-# and a region, one country (values that occur in the derived table).
+# Filter values of the chained-filter pivots: one source, a source and a
+# year, a source and a region, one country (values of the derived table).
+@register("pivot_source", _first_pivot_sql("indicator_label", "source = 'MACHINERY'"))
+def q_pivot_source(spark, sf_dir):
+    return _first_pivot(spark, sf_dir, "label", F.col("source") == "MACHINERY")
+
+
 @register("pivot_source_year", _first_pivot_sql("indicator_label", "source = 'BUILDING' and year = 1997"))
 def q_pivot_source_year(spark, sf_dir):
     return _first_pivot(spark, sf_dir, "label", (F.col("source") == "BUILDING") & (F.col("year") == 1997))
