@@ -60,7 +60,8 @@ class ColumnProfile:
             source_metadata_columns=tuple(q.get("source_metadata_columns", cls.source_metadata_columns)),
             indicator_metadata_columns=tuple(
                 q.get("indicator_metadata_columns", cls.indicator_metadata_columns)),
-            data_path=cfg.get("data", {}).get("nexus_path"),
+            data_path=next((v for k, v in (cfg.get("data") or {}).items()
+                            if str(k).endswith("_path")), None),
         )
 
 

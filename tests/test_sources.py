@@ -30,7 +30,7 @@ def test_profile_from_yaml():
     d = tempfile.mkdtemp(prefix="indicata-test-")
     p = os.path.join(d, "config.yaml")
     with open(p, "w") as f:
-        f.write("data:\n  nexus_path: x.parquet\nquery:\n  source_metadata_columns:\n    - source\n")
+        f.write("data:\n  table_path: x.parquet\nquery:\n  source_metadata_columns:\n    - source\n")
     prof = ColumnProfile.from_yaml(p)
     assert prof.source_metadata_columns == ("source",)
     assert prof.index_columns == DEFAULT_PROFILE.index_columns
