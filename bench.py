@@ -1,6 +1,7 @@
 """Benchmark the headline queries; prints one JSON line.
 
-Environment: BENCH_SF_DIR (default /root/testdata/sf0.1), BENCH_CPUS
+Environment: BENCH_SF_DIR (default /root/testdata/sf0.1), BENCH_SHUFFLE_PARTITIONS
+(default: BENCH_CPUS), BENCH_CPUS
 (default 8), BENCH_RUNS (default 5).  The derived observation table is
 built from the TPC-H tables into a fresh folder first (timed as
 ``setup_sec``) and the queries read that copy; each query then runs one
@@ -33,7 +34,7 @@ def main() -> None:
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
     runs = int(os.environ.get("BENCH_RUNS", "5"))
     spark = build_session(f"local[{cpus}]", app="indicata-bench",
-                          shuffle_partitions=max(8, 2 * cpus),
+                          shuffle_partitions=int(os.environ.get("BENCH_SHUFFLE_PARTITIONS", cpus)),
                           extra={"spark.driver.memory": "16g"})
     spark.range(1000).selectExpr("sum(id)").collect()  # JVM start-up, not the build
     # setup: derive the observation table from the TPC-H tables (five joins,
@@ -63,7 +64,7 @@ def main() -> None:
         "setup_sec": round(setup, 4),
         "sf": float(sf) if sf.replace(".", "").isdigit() else sf,
         "cpus": cpus,
-        "shuffle_partitions": max(8, 2 * cpus),
+        "shuffle_partitions": spark.conf.get("spark.sql.shuffle.partitions"),
         "runs": runs,
     }))
     spark.stop()
