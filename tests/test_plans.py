@@ -51,3 +51,26 @@ def test_no_row_at_a_time_python(spark, name):
 def test_top_k_is_take_ordered(spark):
     plan = _plan(catalog.QUERIES["top10_indicators"](spark, SF_SMALL))
     assert "TakeOrderedAndProject" in plan or "limit" in plan.lower()
+
+
+def test_build_broadcasts_only_bounded_dimensions(spark):
+    from indicata.sources.tpch import mapped_obt
+    plan = mapped_obt(spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
+    plan = plan.split("== Initial Plan ==")[0]
+    # the fact-side joins are shuffle joins; only nation/region are broadcast up front
+    for line in plan.splitlines():
+        if "BroadcastExchange" in line:
+            assert "l_orderkey" not in line and "o_orderkey" not in line
+    assert plan.count("SortMergeJoin") >= 2
+
+
+def test_base_stats_merges_without_joins(spark, table):
+    from indicata.plans.stats import base_stats
+    plan = _plan(base_stats(table))
+    assert "Join" not in plan
+    assert "Union" in plan
+
+
+def test_pivot_first_uses_hash_aggregate_on_long_order(spark):
+    plan = _plan(catalog.QUERIES["pivot_code"](spark, SF_SMALL))
+    assert "min_by(value" in plan and "ord_seq" in plan
