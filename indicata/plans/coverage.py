@@ -26,7 +26,8 @@ def clean_name(region: str) -> str:
 
 
 def region_names(info: DataFrame) -> list[str]:
-    """Sorted sub-region names (the only data collected to the driver)."""
+    """Sorted sub-region names: a short list collected to the driver (it names
+    the pivot columns), checked against ``MAX_PIVOT_VALUES``."""
     names = distinct_values(info, "sub_region_name", MAX_PIVOT_VALUES)
     cleaned = [clean_name(n) for n in names]
     if len(set(cleaned)) != len(cleaned):

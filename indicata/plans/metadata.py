@@ -20,10 +20,13 @@ def indicators_metadata(df: DataFrame) -> DataFrame:
     no value at all has no coverage row, so its score is null; it sorts
     first (descending, nulls first).
 
-    Plan: the table is scanned three times with different column pruning
-    (totals, coverage, statistics); every intermediate is aggregated to
-    one row per group before it is joined, so the joins are between
-    group-sized tables.
+    Plan: narrowly pruned scans feed the branches (observations, distinct
+    countries, distinct years and quantiles for the statistics; coverage;
+    sub-region totals).  Every branch is reduced to one row per group before
+    it meets another: a union + one aggregate for the statistics, one left
+    join on the label for coverage, so nothing proportional to the data is
+    joined.  Two small lookups run first: the sorted sub-region names (pivot
+    columns) and the count of groups too big for one task (quantile path).
     """
     info = sub_region_info(df)
     regions = region_names(info)
