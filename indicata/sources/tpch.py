@@ -41,18 +41,31 @@ ORDER_COLUMNS = ("ord_orderkey", "ord_linenumber", "ord_partkey",
 
 SEQ_COLUMN = "ord_seq"
 
-_VERSION = "obt-v2"
+_VERSION = "obt-v3"
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
-def mapped_obt(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lazy observation table (columns ``OBT_COLUMNS + ORDER_COLUMNS``)."""
+def mapped_obt(spark: SparkSession, sf_dir: str, with_seq: bool = False) -> DataFrame:
+    """Lazy observation table (columns ``OBT_COLUMNS + ORDER_COLUMNS``, and
+    ``ord_seq`` when ``with_seq``)."""
     li = _read(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber",
         "l_extendedprice", "l_discount", "l_linestatus", "l_shipdate")
+    if with_seq:
+        # ``ord_seq``: one long that follows the row order, so "first value
+        # in row order" is a hash aggregate on a long instead of a struct
+        # comparison.  Every order column comes from lineitem, so the global
+        # range sort runs on this narrow scan before the joins (its sampling
+        # pass re-reads only these columns).  The ids grow with the
+        # partition index and the position inside it, so they keep the sort
+        # order; a retried task sees the same sorted partition and gives the
+        # same ids.
+        li = (li.orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
+                         "l_shipdate", "l_extendedprice")
+                .withColumn(SEQ_COLUMN, F.monotonically_increasing_id()))
     orders = _read(spark, sf_dir, "orders").select(
         "o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority")
     cust = _read(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
@@ -99,6 +112,7 @@ def mapped_obt(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_suppkey").alias("ord_suppkey"),
         F.col("l_shipdate").alias("ord_shipdate"),
         F.col("l_extendedprice").alias("ord_price"),
+        *([F.col(SEQ_COLUMN)] if with_seq else []),
     )
 
 
@@ -118,18 +132,11 @@ _MATERIALIZED: dict[tuple, str] = {}
 def write_obt(spark: SparkSession, sf_dir: str, path: str) -> None:
     """Derive the observation table from ``sf_dir`` and write it to ``path``.
 
-    ``ord_seq``: one long that follows the row order, assigned once after a
-    global (range-partitioned) sort, so "first value in row order" becomes a
-    hash aggregate on a long instead of a struct comparison.  The ids grow
-    with the partition index and the position inside it, so they keep the
-    sort order; a retried task sees the same sorted partition and gives the
-    same ids.  Then each write task clusters its rows by the columns most
-    queries group or filter on (row-group statistics let the reader skip
-    data); that local sort does not move rows between tasks.
+    Each write task clusters its rows by the columns most queries group or
+    filter on (row-group statistics let the reader skip data); that local
+    sort does not move rows between tasks.
     """
-    (mapped_obt(spark, sf_dir)
-     .orderBy(*ORDER_COLUMNS)
-     .withColumn(SEQ_COLUMN, F.monotonically_increasing_id())
+    (mapped_obt(spark, sf_dir, with_seq=True)
      .sortWithinPartitions("source", "collection", "indicator_label")
      .write.mode("overwrite").parquet(path))
 
