@@ -81,3 +81,31 @@ def test_base_stats_same_on_both_paths(spark, monkeypatch):
     monkeypatch.setattr(order_stats, "SMALL_GROUP_ROWS", 0)    # every group is "big"
     ranged = {tuple(r) for r in base_stats(t).collect()}
     assert window == mixed == ranged
+
+
+def test_hot_group_is_split_by_the_range_partitioner(spark):
+    from pyspark.sql import functions as F
+
+    from indicata.sources.tpch import obt
+    from conftest import SF_SMALL
+
+    t = obt(spark, SF_SMALL)
+    # a third of the observations become one group
+    hot = t.withColumn("indicator_label", F.when(
+        F.xxhash64("iso3", "year", "value", "collection") % 3 == 0, F.lit("HOT"))
+        .otherwise(F.col("indicator_label")))
+    prev = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        vc = (hot.where("value IS NOT NULL").groupBy("indicator_label", "value")
+                 .agg(F.count(F.lit(1)).alias("_c")))
+        ranged = vc.repartitionByRange("indicator_label", "value")
+        parts = (ranged.where("indicator_label = 'HOT'")
+                       .select(F.spark_partition_id().alias("p")).distinct().count())
+        assert parts >= 2
+        spec = {"m": (0.5, "midpoint"), "q": (0.25, "nearest")}
+        a = exact_quantiles(hot, ["indicator_label"], "value", spec).collect()
+        b = exact_quantiles(hot, ["indicator_label"], "value", spec, small_group_rows=100).collect()
+        assert {tuple(r) for r in a} == {tuple(r) for r in b}
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", prev)
