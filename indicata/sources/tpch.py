@@ -22,6 +22,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from indicata.session import derived_table_dir
 from indicata.sources.parquet import classify
@@ -41,7 +42,7 @@ ORDER_COLUMNS = ("ord_orderkey", "ord_linenumber", "ord_partkey",
 
 SEQ_COLUMN = "ord_seq"
 
-_VERSION = "obt-v3"
+_VERSION = "obt-v4"
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -132,13 +133,17 @@ _MATERIALIZED: dict[tuple, str] = {}
 def write_obt(spark: SparkSession, sf_dir: str, path: str) -> None:
     """Derive the observation table from ``sf_dir`` and write it to ``path``.
 
-    Each write task clusters its rows by the columns most queries group or
-    filter on (row-group statistics let the reader skip data); that local
-    sort does not move rows between tasks.
+    Partitioned by ``source`` (a handful of values; filtering by source is
+    the most common first step, and a folder per source lets the reader
+    skip the others without opening their files).  Inside each write task
+    rows are clustered by (source, collection, indicator_label), so
+    row-group statistics skip data for the other filters; that local sort
+    does not move rows between tasks and is the order the partitioned
+    writer needs anyway.
     """
     (mapped_obt(spark, sf_dir, with_seq=True)
      .sortWithinPartitions("source", "collection", "indicator_label")
-     .write.mode("overwrite").parquet(path))
+     .write.mode("overwrite").partitionBy("source").parquet(path))
 
 
 def obt_path(spark: SparkSession, sf_dir: str, path: str | None = None) -> str:
@@ -171,9 +176,20 @@ def _written(spark: SparkSession, path: str) -> bool:
 _FRAMES: dict[tuple, DataFrame] = {}
 
 
+def obt_schema(spark: SparkSession, sf_dir: str) -> StructType:
+    """Schema of the stored table, in derivation order (analysis only)."""
+    return mapped_obt(spark, sf_dir, with_seq=True).schema
+
+
 def obt_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stored observation table as written (before classification)."""
-    return spark.read.parquet(obt_path(spark, sf_dir))
+    """The stored observation table (before classification).
+
+    Read with the derivation's schema: column order is kept and the
+    ``source`` folder names stay strings (no type guessing from values).
+    """
+    schema = obt_schema(spark, sf_dir)
+    df = spark.read.schema(schema).parquet(obt_path(spark, sf_dir))
+    return df.select(*schema.fieldNames())   # the folder column back in place
 
 
 def obt(spark: SparkSession, sf_dir: str, with_order: bool = False) -> DataFrame:

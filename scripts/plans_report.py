@@ -34,7 +34,11 @@ def summarize(plan: str) -> dict:
         if "FileScan parquet" in l or "Scan parquet" in l:
             rs = re.search(r"ReadSchema: (struct<[^>]*>)", l)
             pf = re.search(r"PushedFilters: \[([^\]]*)\]", l)
-            out["scans"].append(((rs.group(1) if rs else "?")[:160], (pf.group(1) if pf else "")[:160]))
+            pt = re.search(r"PartitionFilters: \[([^\]]*)\]", l)
+            filt = (pf.group(1) if pf else "")[:160]
+            if pt and pt.group(1):
+                filt = (filt + "; folders: " + re.sub(r"#\d+", "", pt.group(1)))[:240]
+            out["scans"].append(((rs.group(1) if rs else "?")[:160], filt))
     return out
 
 

@@ -32,9 +32,11 @@ def test_datamap_reads_only_its_columns(spark, table):
 def test_filter_chain_pushed_to_scan(spark):
     df = catalog.QUERIES["pivot_source_year"](spark, SF_SMALL)
     plan = _plan(df)
-    assert "PushedFilters" in plan
+    # the source test prunes folders; the year test reaches the Parquet reader
+    parts = plan.split("PartitionFilters: [")[1].split("]")[0]
+    assert "source" in parts and "BUILDING" in parts
     pushed = plan.split("PushedFilters: [")[1].split("]")[0]
-    assert "EqualTo(source,BUILDING)" in pushed and "EqualTo(year,1997)" in pushed
+    assert "EqualTo(year,1997)" in pushed
 
 
 def test_coverage_broadcasts_region_totals(spark, table):
