@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,8 +31,12 @@ def indicators_metadata(df: DataFrame) -> DataFrame:
     columns) and the count of groups too big for one task (quantile path).
     """
     info = sub_region_info(df)
-    regions = region_names(info)
-    base = base_stats(df, sort=False)
+    # the two small lookups (region names here, the big-group count inside
+    # base_stats) are independent jobs: run them side by side
+    with ThreadPoolExecutor(max_workers=1) as pool:
+        pending = pool.submit(region_names, info)
+        base = base_stats(df, sort=False)
+        regions = pending.result()
     wide = coverage_wide(coverage_long(df, info), regions)
     pct_cols = [f"pct_coverage_{clean_name(r)}" for r in regions]
     joined = base.join(wide, "indicator_label", "left")
