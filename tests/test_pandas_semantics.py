@@ -1,0 +1,77 @@
+"""The pandas-derived operators against pandas itself on random tables."""
+
+import math
+
+import numpy as np
+import pandas as pd
+import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
+
+from indicata.plans.checks import describe_cells, info_cells
+from indicata.plans.datamap import dt_map
+from indicata.plans.pivot import src_cells, src_tbl
+
+row = st.tuples(
+    st.sampled_from(["A", "B", None]),              # country
+    st.sampled_from([2000, 2001, None]),            # year
+    st.sampled_from(["I.1", "I.2", "I.3", None]),   # indicator_code
+    st.one_of(st.none(), st.integers(-20, 20).map(lambda x: x / 2)),  # value
+    st.sampled_from(["S1", "S2", None]),            # source
+    st.sampled_from(["D1", None]),                  # database
+    st.sampled_from(["C1", "C2"]),                  # collection
+)
+SCHEMA = ("country string, year int, indicator_code string, value double, "
+          "source string, database string, collection string")
+COLS = ["country", "year", "indicator_code", "value", "source", "database", "collection"]
+
+
+def _pdf(rows):
+    pdf = pd.DataFrame(rows, columns=COLS)
+    pdf["value"] = pdf["value"].astype("float64")
+    return pdf
+
+
+def _same(a, b):
+    if a is None or (isinstance(a, float) and math.isnan(a)):
+        return b is None or (isinstance(b, float) and math.isnan(b))
+    return b is not None and a == pytest.approx(b)
+
+
+@settings(max_examples=10, deadline=None, suppress_health_check=list(HealthCheck))
+@given(st.lists(row, min_size=1, max_size=30))
+def test_against_pandas(spark, rows):
+    df = spark.createDataFrame(rows, SCHEMA)
+    pdf = _pdf(rows)
+
+    # value_counts over the present columns (rows with a null dropped)
+    cols = ["source", "database", "collection", "indicator_code"]
+    want = pdf[cols].value_counts().reset_index(name="count")
+    got = dt_map(df, code=True).toPandas()
+    assert sorted(map(tuple, got.values.tolist())) == sorted(map(tuple, want.values.tolist()))
+
+    # pivot_table mean (null keys and all-null rows / columns dropped)
+    have = pdf.dropna(subset=["country", "year", "indicator_code"])
+    if have["value"].notna().any():
+        want = have.pivot_table(index=["country", "year"], columns="indicator_code", values="value")
+        got = src_tbl(df, ind="code").toPandas().set_index(["country", "year"])
+        got.index = got.index.set_levels([got.index.levels[0], got.index.levels[1].astype("float64")])
+        want.index = want.index.set_levels([want.index.levels[0], want.index.levels[1].astype("float64")])
+        assert list(got.columns) == list(want.columns)
+        assert list(got.index) == list(want.index)
+        for c in want.columns:
+            for a, b in zip(got[c].tolist(), want[c].tolist()):
+                assert _same(a, b)
+
+        # C17: describe / info of that table, one row per indicator column
+        desc = {r.column: r for r in describe_cells(src_cells(df, "code"), "indicator_code").collect()}
+        pdesc = want.describe()
+        for c in want.columns:
+            for stat, name in [("count", "count"), ("mean", "mean"), ("std", "std"), ("min", "min"),
+                               ("25%", "25%"), ("50%", "50%"), ("75%", "75%"), ("max", "max")]:
+                assert _same(float(desc[c][name]) if desc[c][name] is not None else None,
+                             float(pdesc.loc[stat, c])), (c, stat)
+        info = {r.column: r.non_null_count for r in info_cells(src_cells(df, "code"), "indicator_code").collect()}
+        for c in want.columns:
+            assert info[c] == int(want[c].notna().sum())
+        assert info["country"] == len(want)
