@@ -442,3 +442,35 @@ from base b left join mo on b."column" = mo."column" left join qs on b."column"
 """)
 def q_describe_polars(spark, sf_dir):
     return ck.describe(obt(spark, sf_dir).select(*OBT_OUT))
+
+
+# ---------------------------------------------------------------- rounding
+# queries() round every double column to 6 places (``round_doubles``); the
+# oracles round the same columns, so the two results are equal value for
+# value, not only within a tolerance.
+_BASE_DOUBLES = ("mean_value", "median_value", "min_value", "max_value", "iqr_value",
+                 "pct_missing_value")
+_ORACLE_DOUBLES = {
+    "scan_classify": ("value",),
+    "base_stats": _BASE_DOUBLES,
+    "sub_region_coverage": tuple(_PCT_COLS),
+    "coverage_color": tuple(_PCT_COLS),
+    "indicators_metadata": _BASE_DOUBLES + tuple(_PCT_COLS) + ("completeness_score",),
+    "describe_wide": ("mean", "std", "min", "25%", "50%", "75%", "max"),
+    "describe_polars": ("mean", "std", "25%", "50%", "75%"),
+}
+# wide results: every column but the (country, year) index is a double
+_ORACLE_WIDE = ("pivot_label", "pivot_code", "pivot_source", "pivot_source_year", "pivot_region",
+                "pivot_country", "pivot_selected", "src_tbl_mean", "src_tbl_source")
+
+
+def _dq(name: str) -> str:
+    return '"' + name.replace('"', '""') + '"'
+
+
+for _name, _cols in _ORACLE_DOUBLES.items():
+    _rep = ", ".join(f"round({_dq(c)}, 6) AS {_dq(c)}" for c in _cols)
+    ORACLE[_name] = f"select * replace ({_rep}) from (\n{ORACLE[_name]}\n) q"
+for _name in _ORACLE_WIDE:
+    ORACLE[_name] = ("select country, year, round(COLUMNS(* EXCLUDE (country, year)), 6) "
+                     f"from (\n{ORACLE[_name]}\n) q")
