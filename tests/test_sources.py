@@ -35,3 +35,15 @@ def test_profile_from_yaml():
     assert prof.source_metadata_columns == ("source",)
     assert prof.index_columns == DEFAULT_PROFILE.index_columns
     assert prof.data_path == "x.parquet"
+
+
+def test_derived_tables_live_under_the_shared_checkpoint_root(spark):
+    from indicata.session import checkpoint_dir, derived_table_dir
+
+    conf_root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    path = derived_table_dir(spark, "probe")
+    assert path.endswith("/indicata/tables/probe")
+    if conf_root:
+        # keyed at the configured root, not the per-application folder
+        assert path.startswith(conf_root.rstrip("/"))
+    assert checkpoint_dir(spark)   # RDD checkpoints have a folder too
