@@ -34,3 +34,18 @@ def test_describe_src_linear(spark, edge):
     assert tax["25%"] == 3.25           # 1 + (4 - 1) * 0.75
     info = {r.column: r.non_null_count for r in api.info_src(edge, "label").collect()}
     assert info == {"country": 5, "year": 5, "Tax": 4, "Aid": 2}
+
+
+def test_metadata_distinct_counts_and_info(spark):
+    from indicata.sources.tpch import obt
+
+    t = obt(spark, SF_SMALL)
+    counts = {r.column: r.distinct_count for r in api.metadata_distinct_counts(t).collect()}
+    # only the profile's columns that the table has, null counted as a value
+    assert set(counts) == {"source", "database", "collection", "indicator_code", "value_meta",
+                           "region_name", "sub_region_name", "income_level"}
+    assert counts["income_level"] == t.select("income_level").distinct().count()
+    info = {r.column: (r.non_null_count, r.dtype) for r in api.info(t.select("year", "value")).collect()}
+    assert info["year"][1] == "int" and info["value"][1] == "double"
+    assert info["value"][0] == t.where("value IS NOT NULL").count()
+    assert api.session() is spark
