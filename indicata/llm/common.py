@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import os
+import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
-from indicata.session import checkpoint_dir
+from indicata.session import checkpoint_dir, derived_table_dir
 
 #: Characters that one numpy pass holds at a time (a longer text passes alone).
 SLICE_CHARS = 1 << 19
@@ -58,3 +59,10 @@ def fresh_name(taken: list[str], wanted: str) -> str:
     while wanted.lower() in used:
         wanted += "_"
     return wanted
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as Parquet to a folder of its own below the shared one, and read again."""
+    path = derived_table_dir(df.sparkSession, f"{name}-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

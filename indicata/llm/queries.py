@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from indicata.llm.common import table
 from indicata.llm.language_id import language_id
+from indicata.llm.packing import packed_documents
+from indicata.llm.pii import personal_data
 from indicata.llm.simhash import simhash_groups
 
 
@@ -16,13 +18,24 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(table(spark, sf_dir, "documents"))
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document."""
+    return personal_data(table(spark, sf_dir, "documents"))
+
+
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate component of every document."""
     return simhash_groups(table(spark, sf_dir, "documents"))
 
 
+def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Place of every document's pieces in sequences of 4096 tokens."""
+    return packed_documents(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_language_id, op8_simhash_near_dedup)}
+    f.__name__: f for f in (
+        op3_language_id, op4_pii, op8_simhash_near_dedup, op10_best_fit_packing)}
 
 #: Operators whose method is learned or hashed in Python have no SQL twin;
 #: tests/llm holds them against brute force.
