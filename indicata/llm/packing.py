@@ -39,6 +39,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from indicata.llm.common import cut, slices
+from indicata.llm.forms import FormMemory
 
 CAPACITY = 4096
 END_ID = 1
@@ -75,10 +76,7 @@ class WordTokenizer:
     """A ``tokenizers`` file whose merges never cross white space.
 
     Such a vocabulary gives a text the concatenated ids of its space-separated
-    forms.  A slice of texts is split and its distinct forms are numbered by
-    Arrow; each distinct form is encoded once and remembered (at most
-    ``CACHE_FORMS``, then the memory starts anew); numpy puts the ids of all
-    forms back in text order.  Letters A-Z may be lowered before, as the file's
+    forms, each of which is encoded once (``FormMemory``).  Letters A-Z may be lowered before, as the file's
     normaliser lowers them anyway; texts that may hold a special token
     (``<|``) are encoded as they are.
     """
@@ -93,7 +91,7 @@ class WordTokenizer:
         self._encoder = Tokenizer.from_str(json.dumps(spec))
         # the merges alone, for forms that normaliser and splitter leave whole
         self._merges = Tokenizer.from_str(json.dumps(spec | {"normalizer": None, "pre_tokenizer": None}))
-        self._forms: dict[str, bytes] = {"": b""}
+        self._memory = FormMemory(self._learn, CACHE_FORMS, CACHE_CHARS)
 
     @classmethod
     def of(cls, path: str) -> "WordTokenizer":
@@ -107,7 +105,7 @@ class WordTokenizer:
 
     def _learn(self, forms: list[str]) -> dict[str, bytes]:
         """Ids of forms that are not remembered; ``word,`` is ``word`` and ``,``."""
-        known, out, tailed, whole, rest = self._forms, {}, [], set(), set()
+        known, out, tailed, whole, rest = self._memory.known, {}, [], set(), set()
         for f in forms:
             stem = f[:-1]
             if f[-1] in _TAILS and _PLAIN.fullmatch(stem):
@@ -125,34 +123,17 @@ class WordTokenizer:
         for f in tailed:
             stem, tail = f[:-1], f[-1]
             out[f] = (out[stem] if stem in out else known[stem]) + (out[tail] if tail in out else known[tail])
-        known.update((f, v) for f, v in out.items() if len(f) <= CACHE_CHARS)
         return out
 
     def __call__(self, texts: pa.Array) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit."""
-        if len(self._forms) > CACHE_FORMS:
-            self._forms = {"": b""}
         special = pc.match_substring(texts, "<|").to_numpy(zero_copy_only=False)
         low = pc.ascii_lower(pc.if_else(pa.array(special), "", texts))
         for white in "\n\t\r":
             low = pc.replace_substring(low, white, " ")
-        split = pc.split_pattern(low, " ")
-        coded = split.flatten().dictionary_encode()
-        forms = coded.dictionary.to_pylist()
-        known = self._forms
-        new = self._learn([f for f in forms if f not in known])
-        ids = [known[f] if f in known else new[f] for f in forms]
-        blob = np.frombuffer(b"".join(ids), "<u4")
-        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        at = np.cumsum(size) - size
-        index = coded.indices.to_numpy()
-        sizes = size[index]
-        ends = np.cumsum(sizes)
-        move = np.repeat((at[index] - (ends - sizes)).astype(np.int32 if ends[-1:].sum() < 1 << 31 else np.int64), sizes)
-        move += np.arange(move.size, dtype=move.dtype)
-        flat = blob[move]
-        of_text = np.append(0, ends)[split.offsets.to_numpy() - split.offsets[0].as_py()].tolist()
-        out = [flat[x:y].tobytes() for x, y in zip(of_text, of_text[1:])]
+        flat, starts = self._memory.ids(low)
+        starts = starts.tolist()
+        out = [flat[x:y].tobytes() for x, y in zip(starts, starts[1:])]
         for k in np.flatnonzero(special):
             out[k] = self._batch(self._encoder, [texts[int(k)].as_py()])[0]
         return out
