@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from indicata.llm.common import SLICE_CHARS, fresh_name, slices
 
@@ -183,7 +184,8 @@ def predict(docs: DataFrame, model: Model, text: str = "text", label_col: str =
     """``docs`` with the predicted label and its probability appended, in one narrow pass."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
     name = fresh_name(docs.columns, "_text")
-    schema = docs.schema.add(label_col, "string").add(score_col, "double")
+    schema = T.StructType([*docs.schema.fields, T.StructField(label_col, T.StringType()),
+                           T.StructField(score_col, T.DoubleType())])
     names = [f.name for f in schema]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

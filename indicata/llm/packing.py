@@ -37,6 +37,7 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from indicata.llm.common import cut, slices
 from indicata.llm.forms import FormMemory
@@ -364,7 +365,8 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text: str = "text", capacity:
     within = F.row_number().over(Window.partitionBy("task", "length").orderBy("id", "piece", "ids_crc32"))
     numbered = (found.withColumn("nth", within - 1).join(before, ["task", "length"])
                 .withColumn("nth", F.col("nth") + F.col("before")).drop("before", "task"))
-    schema = numbered.drop("nth").schema.add("sequence_id", "long").add("offset", "long")
+    schema = T.StructType([*numbered.drop("nth").schema.fields, T.StructField("sequence_id", T.LongType()),
+                           T.StructField("offset", T.LongType())])
     names = [f.name for f in schema]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
