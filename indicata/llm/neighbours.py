@@ -229,11 +229,14 @@ def search(queries: DataFrame, rows: DataFrame, id_col: str = "vec_id", vector:
     """(query_id, rank, vec_id, score): the nearest rows found for each query."""
     spark = rows.sparkSession
     rows, queries = usable(rows, id_col, vector), usable(queries, id_col, vector)
-    chosen = (rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).toPandas())
+    total = rows.count()
+    # thinned in the tasks first, so that all tasks together send about ``sample`` rows
+    thin = F.pmod(F.xxhash64("vec_id"), F.lit(max(1, total // sample))) == 0
+    chosen = rows.where(thin).orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).toPandas()
     sizes = chosen["v"].map(len)
     dim = int(sizes.mode().iloc[0]) if len(chosen) else 1
     x = np.stack(chosen["v"][sizes == dim].to_numpy()) if len(chosen) else np.zeros((0, 1))
-    router = spark.sparkContext.broadcast(fit(x, rows.count(), parts))
+    router = spark.sparkContext.broadcast(fit(x, total, parts))
     schema = "vec_id long, v array<double>, part int"
     same = F.size("v") == dim
     homed = rows.where(same).mapInArrow(_routed(router, True), schema)

@@ -13,7 +13,7 @@ last row of each task are matched by a join of two rows per task.
 
 Edge cases: a null text counts as empty; a text shorter than a k-mer is one
 k-mer, an empty one has the fingerprint of no k-mer; documents are ordered by
-descending doc_id, nulls last, ties by text; a single document follows itself;
+descending doc_id, nulls last, ties by the text's hash; a single document follows itself;
 an empty table gives no rows; other columns are not read.
 """
 
@@ -151,9 +151,10 @@ def edit_report(docs: DataFrame) -> DataFrame:
     """Fingerprints of every text and its edited text, and their likeness."""
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    order = [F.col("doc_id").desc_nulls_last(), F.col("t")]
+    # the range bounds that Spark samples to the driver hold an id and a hash, never a text
+    order = [F.col("doc_id").desc_nulls_last(), F.xxhash64("t")]
     rows = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("t"))
-            .repartitionByRange(parts, *order).sortWithinPartitions(*order))
+            .repartitionByRange(parts, *order).sortWithinPartitions(*order, "t"))
     schema = T.StructType([T.StructField(n, t) for n, t in _REPORT + (
         ("task", T.IntegerType()), ("edge", T.StringType()), ("t", T.StringType()))])
 
