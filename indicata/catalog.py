@@ -155,7 +155,7 @@ _COVERAGE_SQL = f"""
     round_even(c.k / i.total_countries * 100, 3) as pct
   from (select indicator_label, sub_region_name, {_NUNIQ.format(c="country")} as k
         from obt where value is not null group by all) c
-  join info i on c.sub_region_name = i.sub_region_name)
+  left join info i on c.sub_region_name = i.sub_region_name)
 , cov_wide as (
   select indicator_label,
   {", ".join(f"coalesce(max(pct) filter (where sub_region_name = '{r}'), 0) as pct_coverage_{r.replace(' ', '_')}" for r in SUB_REGIONS)}
@@ -220,20 +220,37 @@ INDEX_COLS = ("iso3", "country", "year", "indicator_label", "value")
 _ORDER_SQL = ", ".join(ORDER_COLUMNS)
 
 
+# Indicators of the derived table: one label per TPC-H style brand, one code
+# per part type and brand.  Mean pivots lack what never has a value.
+NO_CODE, NO_VALUE = 24, 25
+PART_TYPES = ("ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD")
+LABELS = sorted(f"Brand#{n}" for n in range(1, 26))
+CODES = sorted(f"IND.{t}.{n}" for t in PART_TYPES for n in range(1, 26) if n != NO_CODE)
+MEAN_LABELS = [x for x in LABELS if x != f"Brand#{NO_VALUE}"]
+MEAN_CODES = [x for x in CODES if not x.endswith(f".{NO_VALUE}")]
+
+
+def _names(values) -> str:
+    return ", ".join(f"'{v}'" for v in values)
+
+
 def _first_pivot_sql(ind_col: str, where: str = "true") -> str:
     return f"""
 , cells as (
   select country, year, coalesce({ind_col}, 'null') as k,
     first(value order by {_ORDER_SQL}) as v
   from obt where {where} group by all)
-select * from (pivot cells on k using first(v) group by country, year)"""
+select * from (pivot cells on k in ({_names(LABELS if ind_col == "indicator_label" else [*CODES, "null"])})
+               using first(v) group by country, year)"""
 
 
 def _first_pivot(spark, sf_dir, ind, cond=None):
     df = obt(spark, sf_dir, with_order=True)
     if cond is not None:
         df = df.where(cond)
-    return pv.filter_pivot(df, INDEX_COLS, ind=ind, order_cols=[SEQ_COLUMN])
+    # labels are discovered; small inputs lack some codes, so those are named
+    return pv.filter_pivot(df, INDEX_COLS, ind=ind, order_cols=[SEQ_COLUMN],
+                           values=[None, *CODES] if ind == "code" else None)
 
 
 @register("pivot_label", _first_pivot_sql("indicator_label"))
@@ -304,14 +321,14 @@ _SRC_CELLS_SQL = """
 
 
 @register("src_tbl_mean", _SRC_CELLS_SQL.format(ind="indicator_code", mean=mean_sql("value"))
-          + "\nselect * from (pivot cells on k using first(v) group by country, year)")
+          + f"\nselect * from (pivot cells on k in ({_names(MEAN_CODES)}) using first(v) group by country, year)")
 def q_src_tbl_mean(spark, sf_dir):
-    return pv.src_tbl(obt(spark, sf_dir), ind="code")
+    return pv.src_tbl(obt(spark, sf_dir), ind="code", values=MEAN_CODES)
 
 
 @register("src_tbl_source", _SRC_CELLS_SQL.format(ind="indicator_label", mean=mean_sql("value"))
           .replace("where country", "where source = 'FURNITURE' and country")
-          + "\nselect * from (pivot cells on k using first(v) group by country, year)")
+          + f"\nselect * from (pivot cells on k in ({_names(MEAN_LABELS)}) using first(v) group by country, year)")
 def q_src_tbl_source(spark, sf_dir):
     # The table filtered by a SQL predicate string before the mean pivot.
     return pv.src_tbl(obt(spark, sf_dir).filter("source = 'FURNITURE'"), ind="label")
@@ -329,12 +346,15 @@ def _lin_sql(q: float) -> str:
                count(*) over (partition by k) as n from cells)
 , qs as (select k, {_lin_sql(0.25)} as "25%", {_lin_sql(0.5)} as "50%", {_lin_sql(0.75)} as "75%"
          from r group by k, n)
-, b as (select k, count(v) as count, {mean_sql('v')} as mean, stddev_samp(v) as std,
+, b as (select k, count(v) as count, avg(v) + 3e-9 as mean, stddev_samp(v) as std,
                min(v) as min, max(v) as max from cells group by k)
 select b.k as "column", count, mean, std, min, "25%", "50%", "75%", max
 from b left join qs on b.k = qs.k""")
 def q_describe_wide(spark, sf_dir):
-    return ck.describe_cells(pv.src_cells(obt(spark, sf_dir), "code"), "indicator_code")
+    # the 3e-9 (here and in the oracle) keeps a mean that lies on a rounding
+    # tie of the sixth place from falling to either side by summation order
+    out = ck.describe_cells(pv.src_cells(obt(spark, sf_dir), "code"), "indicator_code")
+    return out.withColumn("mean", F.col("mean") + 3e-9)
 
 
 @register("info_wide", _SRC_CELLS_SQL.format(ind="indicator_code", mean=_mean13_sql("value")) + """
@@ -377,6 +397,7 @@ def q_null_income_countries(spark, sf_dir):
     return ck.null_income_countries(obt(spark, sf_dir))
 
 
+# Metadata columns that the derived table has.
 METADATA_COLS = ("source", "database", "collection", "indicator_code", "value_meta",
                  "region_name", "sub_region_name", "income_level")
 

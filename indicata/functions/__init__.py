@@ -3,8 +3,5 @@ from indicata.functions.expressions import (  # noqa: F401
     exact_mean,
     income_level,
     n_unique,
-    n_unique_where,
     quote,
-    row_mean,
-    safe_div,
 )

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import DecimalType
 
 # Income flag texts and the level each one maps to, in the
 # order the classification tests them (first match wins).
@@ -30,28 +29,23 @@ def income_level() -> Column:
     return expr.otherwise(F.lit(None).cast("string"))
 
 
-# Scale of the exact decimal sum behind ``exact_mean``.
-MEAN_SCALE = 9
-
-
-def exact_mean(c: Column, scale: int = MEAN_SCALE) -> Column:
-    """Mean from an exact decimal sum (``scale`` fractional digits).
+def exact_mean_sql(expr: str) -> str:
+    """SQL text of the mean of a double column, over the full double range.
 
     A double sum depends on the order rows arrive in, so it changes with
-    partitioning; the decimal sum does not, which makes the mean
-    reproducible across runs, cluster sizes and engines.
+    partitioning.  Where every value of the group is below 1e18 and has at
+    most 9 decimals, the sum is taken in decimals, exactly; any other group
+    (tiny fractions, huge values, NaN, infinity) gets the plain average.
     """
-    return F.avg(c.cast(DecimalType(38, scale))).cast("double")
-
+    d = f"try_cast({expr} AS decimal(38, 9))"
+    fits = f"(({expr}) IS NULL OR (abs({expr}) < 1e18D AND cast({d} AS double) = ({expr})))"
+    return (f"CASE WHEN coalesce(bool_and({fits}), true) THEN cast(avg(CASE WHEN abs({expr}) < 1e18D "
+            f"THEN {d} END) AS double) ELSE avg({expr}) END")
 
-def exact_mean_sql(expr: str, scale: int = MEAN_SCALE) -> str:
-    """``exact_mean`` as SQL text, for builders that emit expression strings."""
-    return f"cast(avg(cast({expr} AS decimal(38, {scale}))) AS double)"
 
-
-def safe_div(num: Column, den: Column) -> Column:
-    """Division that yields null instead of raising on a zero divisor."""
-    return F.try_divide(num, den)
+def exact_mean(name: str) -> Column:
+    """``exact_mean_sql`` of a named column."""
+    return F.expr(exact_mean_sql(quote(name)))
 
 
 def n_unique(c: Column) -> Column:
@@ -59,18 +53,6 @@ def n_unique(c: Column) -> Column:
     return F.count_distinct(c) + F.coalesce(F.max(c.isNull().cast("int")), F.lit(0))
 
 
-def n_unique_where(c: Column, cond: Column) -> Column:
-    """``n_unique`` over the rows where ``cond`` holds."""
-    return (F.count_distinct(F.when(cond, c))
-            + F.coalesce(F.max((cond & c.isNull()).cast("int")), F.lit(0)))
-
-
-def row_mean(cols: list[Column]) -> Column:
-    """Mean of several columns in one row; nulls skipped, all-null -> null."""
-    arr = F.array(*[c.cast("double") for c in cols])
-    nonnull = F.filter(arr, lambda x: x.isNotNull())
-    total = F.aggregate(nonnull, F.lit(0.0), lambda acc, x: acc + x)
-    return F.try_divide(total, F.size(nonnull).cast("double"))
 
 
 def row_mean_sql(names: list[str]) -> str:

@@ -2,14 +2,7 @@
 
 ``F.median`` / ``F.percentile`` merge a value->count map for each group in
 one task, so a group holding a third of the table would land in a single
-task.  This operator first measures the groups (one small aggregate; only
-the number of big groups reaches the driver):
-
-* groups with at most ``small_group_rows`` non-null values are ranked with a
-  window partitioned by the group: one task sees at most that many rows of
-  a group;
-* larger groups (at most ``total / small_group_rows`` of them, so their key
-  list is bounded) are spread by value range:
+task.  Here every group, whatever its size, is spread by value range:
 
 1. ``(keys, value) -> count`` with map-side combine: duplicates collapse
    and the shuffle is keyed by (keys, value), so one hot group is spread
@@ -82,12 +75,6 @@ def _null_safe_on(left: DataFrame, right: DataFrame, cols: list[str]) -> Column:
     return cond
 
 
-# Groups up to this many non-null values are ranked inside one task.
-SMALL_GROUP_ROWS = 1_000_000
-# Keys of big groups up to this many are broadcast to split the input.
-MAX_BROADCAST_KEYS = 1_000_000
-
-
 def _pick(rows: DataFrame, keys: list[str], value: str, start: str, end: str,
           n: str, ranks: dict[str, Callable[[str], str]]) -> DataFrame:
     """Keep rows whose rank interval [start, end) holds a wanted rank and fold
@@ -102,51 +89,18 @@ def _pick(rows: DataFrame, keys: list[str], value: str, start: str, end: str,
     return rows.where(" OR ".join(hits)).groupBy(*keys).agg(*[F.expr(x) for x in aggs])
 
 
-def _ranked_small(nn: DataFrame, keys: list[str], value: str, ranks) -> DataFrame:
-    """Window ranks for groups known to be small (bounded rows per group)."""
-    part = ", ".join(quote(k) for k in keys)
-    ranked = nn.selectExpr(
-        *[quote(k) for k in keys], quote(value),
-        f"row_number() OVER (PARTITION BY {part} ORDER BY {quote(value)}) - 1 AS _rk",
-        f"count(1) OVER (PARTITION BY {part}) AS _n")
-    return _pick(ranked, keys, value, "_rk", "(_rk + 1)", "_n", ranks)
-
-
 def ranked_values(df: DataFrame, keys: list[str], value: str,
-                  ranks: dict[str, Callable[[str], str]],
-                  small_group_rows: int | None = None) -> DataFrame:
+                  ranks: dict[str, Callable[[str], str]]) -> DataFrame:
     """Per group of ``keys``: ``n`` (non-null values) and, for each entry of
-    ``ranks``, the value at that 0-based rank of the sorted non-null values.
+    ``ranks``, the value at that 0-based rank of the sorted non-null values
+    (steps 1-5 above).
 
     ``ranks`` maps an output name to a function that, given the SQL name of
     the ``n`` column, returns SQL text for the rank.  Groups without any non-null value have no row.
     """
     keys = list(keys)
-    if small_group_rows is None:
-        small_group_rows = SMALL_GROUP_ROWS
-    nn = df.where(F.col(value).isNotNull()).select(*keys, value)
-    sizes = nn.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    counts = sizes.agg(F.count_if(F.col("_n") > small_group_rows).alias("big"),
-                       F.count(F.lit(1)).alias("all")).first()
-    big_count, all_count = counts["big"] or 0, counts["all"] or 0
-    if big_count == 0:
-        return _ranked_small(nn, keys, value, ranks)
-    if big_count == all_count:
-        return _ranked_large(nn, keys, value, ranks)
-    big = sizes.where(F.col("_n") > small_group_rows).select(*keys)
-    if big_count <= MAX_BROADCAST_KEYS:
-        big = F.broadcast(big)
-    small_rows = nn.join(big, _null_safe_on(nn, big, keys), "left_anti")
-    big_rows = nn.join(big, _null_safe_on(nn, big, keys), "left_semi")
-    return (_ranked_small(small_rows, keys, value, ranks)
-            .unionByName(_ranked_large(big_rows, keys, value, ranks)))
-
-
-def _ranked_large(df: DataFrame, keys: list[str], value: str,
-                  ranks: dict[str, Callable[[str], str]]) -> DataFrame:
-    """The range-partitioned path for big groups (steps 1-5 above)."""
     checkpoint_dir(df.sparkSession)
-    vc = (df.groupBy(*keys, value)
+    vc = (df.where(F.col(value).isNotNull()).groupBy(*keys, value)
             .agg(F.count(F.lit(1)).alias("_c")))
     order = [F.col(k).asc_nulls_first() for k in keys] + [F.col(value).asc()]
     ranged = vc.repartitionByRange(*order).sortWithinPartitions(*order)
@@ -189,8 +143,7 @@ def upper_rank(q: float) -> Callable[[str], str]:
 
 
 def exact_quantiles(df: DataFrame, keys: list[str], value: str,
-                    spec: dict[str, tuple[float, str]],
-                    small_group_rows: int | None = None) -> DataFrame:
+                    spec: dict[str, tuple[float, str]]) -> DataFrame:
     """Exact quantiles per group.
 
     ``spec`` maps an output name to ``(q, method)`` with method one of
@@ -207,7 +160,7 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str,
             ranks[f"_{name}_hi"] = upper_rank(q)
         else:
             raise ValueError(f"unknown quantile method {method!r}")
-    rv = ranked_values(df, keys, value, ranks, small_group_rows)
+    rv = ranked_values(df, keys, value, ranks)
     outs = []
     for name, (q, method) in spec.items():
         if method == "nearest":

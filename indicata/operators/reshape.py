@@ -1,26 +1,19 @@
-"""Reshape helpers: bounded pivot values, long->wide, one-row transpose."""
+"""Reshape helpers: pivot values, one-row transpose."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Upper bound on pivot columns, the same as Spark's own default
-# (spark.sql.pivotMaxValues); the value list is the only thing collected.
-MAX_PIVOT_VALUES = 10_000
+def distinct_values(df: DataFrame, column: str) -> list:
+    """Sorted distinct values of ``column`` (nulls first).
 
-
-def distinct_values(df: DataFrame, column: str, limit: int = MAX_PIVOT_VALUES) -> list:
-    """Sorted distinct values of ``column`` (nulls first), size-checked.
-
-    Only the short list of names reaches the driver; the distinct runs
-    distributed with map-side dedup.
+    They become the column names of a wide table, so the driver holds them
+    in any case; the distinct runs distributed with map-side dedup.  Tables
+    with more names than a schema should hold stay in long form.
     """
     rows = (df.select(F.col(column).alias("v")).distinct()
-              .orderBy(F.col("v").asc_nulls_first()).limit(limit + 1).collect())
-    if len(rows) > limit:
-        raise ValueError(f"{column!r} has more than {limit} distinct values; "
-                         "keep the table in long form or pass the values")
+              .orderBy(F.col("v").asc_nulls_first()).collect())
     return [r["v"] for r in rows]
 
 

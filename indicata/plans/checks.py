@@ -169,7 +169,7 @@ def describe_cells(cells: DataFrame, ind_col: str) -> DataFrame:
     q = F.col("_t") == 1
     return (rows.unionByName(quart).groupBy(ind_col).agg(
                 F.count("cell").alias("count"),
-                exact_mean(F.col("cell")).alias("mean"),
+                exact_mean("cell").alias("mean"),
                 F.stddev_samp("cell").alias("std"),
                 F.min("cell").alias("min"),
                 F.max(F.when(q, F.col("p25"))).alias("25%"),

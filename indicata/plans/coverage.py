@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from indicata.functions.expressions import coverage_color, n_unique, quote
-from indicata.operators.reshape import MAX_PIVOT_VALUES, distinct_values
+from indicata.operators.reshape import distinct_values
 
 
 def sub_region_info(df: DataFrame) -> DataFrame:
@@ -26,12 +26,11 @@ def clean_name(region: str) -> str:
 
 
 def region_names(info: DataFrame) -> list[str]:
-    """Sorted sub-region names: a short list collected to the driver (it names
-    the pivot columns), checked against ``MAX_PIVOT_VALUES``."""
-    names = distinct_values(info, "sub_region_name", MAX_PIVOT_VALUES)
-    cleaned = [clean_name(n) for n in names]
+    """Sorted sub-region names: collected to the driver, as they name columns."""
+    names = distinct_values(info, "sub_region_name")
+    cleaned = [clean_name(n).lower() for n in names]
     if len(set(cleaned)) != len(cleaned):
-        raise ValueError("two sub-regions have the same name once spaces become '_'")
+        raise ValueError("two sub-regions have the same name once spaces become '_' and case is ignored")
     return names
 
 
@@ -39,16 +38,15 @@ def coverage_long(df: DataFrame, info: DataFrame) -> DataFrame:
     """Per (indicator_label, sub_region_name): % of the region's countries
     with at least one value, rounded half-even to 3 places.
 
-    The numerator counts a null country as a value (so it may exceed 100);
-    a null sub-region has no total and is left out.  ``info`` is one row
-    per sub-region, so the join broadcasts a table bounded by the number of
-    sub-regions (checked in ``region_names``).
+    The numerator counts a null country as a value (so it may exceed 100).
+    A sub-region without a total (a null one) has a null ``pct``: it has no
+    column in the wide table, but its row keeps the label there.
     """
     cov = (df.where(F.col("value").isNotNull())
              .groupBy("indicator_label", "sub_region_name")
              .agg(n_unique(F.col("country")).alias("countries_with_data")))
-    totals = F.broadcast(info.select("sub_region_name", "total_countries"))
-    return (cov.join(totals, "sub_region_name")
+    totals = info.select("sub_region_name", "total_countries")
+    return (cov.join(totals, "sub_region_name", "left")
                .select("indicator_label", "sub_region_name",
                        F.bround(F.col("countries_with_data") / F.col("total_countries") * 100, 3)
                         .alias("pct")))

@@ -5,31 +5,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from indicata.profile import DEFAULT_PROFILE, ColumnProfile
 
-def datamap(df: DataFrame, source_metadata_columns, indicator_metadata_columns=None) -> DataFrame:
+
+def _sorted_counts(rows: DataFrame, keys: list[str]) -> DataFrame:
+    counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("count"))
+    return counts.orderBy(*[F.col(c).asc_nulls_first() for c in [*keys, "count"]])
+
+
+def datamap(df: DataFrame, source_metadata_columns, indicator_metadata_columns=()) -> DataFrame:
     """One row per metadata group with its row ``count``.
 
     A null key is a group of its own.  Sorted by the group columns, then by
     count, ascending with nulls first.  Partial aggregation runs map-side,
     so a hot group costs one row per task before the shuffle.
     """
-    group_cols = list(source_metadata_columns) + list(indicator_metadata_columns or [])
-    return (df.groupBy(*group_cols)
-              .agg(F.count(F.lit(1)).alias("count"))
-              .orderBy(*[F.col(c).asc_nulls_first() for c in group_cols + ["count"]]))
+    return _sorted_counts(df, [*source_metadata_columns, *(indicator_metadata_columns or ())])
 
 
-def dt_map(df: DataFrame, code: bool = True) -> DataFrame:
-    """Value counts of the source columns (and ``indicator_code``).
+def dt_map(df: DataFrame, code: bool = True, profile: ColumnProfile = DEFAULT_PROFILE) -> DataFrame:
+    """Value counts of the profile's source columns (and the indicator code).
 
     Columns the table lacks are ignored; rows with a null in any counted
     column are dropped before counting.
     """
-    base = ["source", "database", "collection"]
-    wanted = base + ["indicator_code"] if code else base
-    cols = [c for c in wanted if c in df.columns]
-    return (df.select(*cols)
-              .dropna(how="any", subset=cols)
-              .groupBy(*cols)
-              .agg(F.count(F.lit(1)).alias("count"))
-              .orderBy(*cols, "count"))
+    roles = profile.source_metadata_columns + profile.indicator_metadata_columns[:1] * code
+    present = profile.present(df, roles)
+    return _sorted_counts(df.select(*present).dropna(how="any"), present)

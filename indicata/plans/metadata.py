@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,16 +25,12 @@ def indicators_metadata(df: DataFrame) -> DataFrame:
     sub-region totals).  Every branch is reduced to one row per group before
     it meets another: a union + one aggregate for the statistics, one left
     join on the label for coverage, so nothing proportional to the data is
-    joined.  Two small lookups run first: the sorted sub-region names (pivot
-    columns) and the count of groups too big for one task (quantile path).
+    joined.  The sorted sub-region names are looked up first, as they name the
+    pivot columns.
     """
     info = sub_region_info(df)
-    # the two small lookups (region names here, the big-group count inside
-    # base_stats) are independent jobs: run them side by side
-    with ThreadPoolExecutor(max_workers=1) as pool:
-        pending = pool.submit(region_names, info)
-        base = base_stats(df, sort=False)
-        regions = pending.result()
+    regions = region_names(info)
+    base = base_stats(df, sort=False)
     wide = coverage_wide(coverage_long(df, info), regions)
     pct_cols = [f"pct_coverage_{clean_name(r)}" for r in regions]
     joined = base.join(wide, "indicator_label", "left")

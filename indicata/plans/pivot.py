@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from indicata.functions.expressions import exact_mean
-from indicata.operators.reshape import MAX_PIVOT_VALUES, distinct_values
+from indicata.operators.reshape import distinct_values
 
 INDEX = ("country", "year")
+_FIRST = -(1 << 63)  # the smallest long
 
 
 def indicator_column(ind: str) -> str:
@@ -19,8 +21,8 @@ def indicator_column(ind: str) -> str:
 
 def _pivot(df: DataFrame, ind_col: str, agg: Column, values: list | None) -> DataFrame:
     if values is None:
-        values = distinct_values(df, ind_col, MAX_PIVOT_VALUES)
-    # An explicit, size-checked value list: Spark runs no extra distinct job
+        values = distinct_values(df, ind_col)
+    # An explicit value list: Spark runs no extra distinct job
     # and plans a two-phase aggregate (per index+indicator, then per index).
     return df.groupBy(*INDEX).pivot(ind_col, values).agg(agg)
 
@@ -33,7 +35,7 @@ def filter_pivot(df: DataFrame, index_cols, ind: str = "label", order_cols=None,
     order; ``order_cols`` define that order (a null value is kept, a null
     indicator gets the column ``null``).  Without ``order_cols`` a cell is
     any one of its values.  ``values`` fixes the indicator columns; by
-    default they are the sorted distinct indicators (at most 10,000).
+    default they are the sorted distinct indicators.
     """
     ind_col = indicator_column(ind)
     cols = [c.replace("indicator_label", "indicator_code") if ind == "code" else c
@@ -42,8 +44,9 @@ def filter_pivot(df: DataFrame, index_cols, ind: str = "label", order_cols=None,
     if "value" not in cols or ind_col not in cols:
         raise ValueError("index columns must include the indicator and 'value'")
     narrow = df.select(*dict.fromkeys([*cols, *order_cols]))
-    if len(order_cols) == 1 and not narrow.schema[order_cols[0]].nullable:
-        agg = F.min_by("value", F.col(order_cols[0]))
+    if len(order_cols) == 1 and isinstance(narrow.schema[order_cols[0]].dataType, IntegralType):
+        # one long keeps the aggregate hash based; a null order comes first
+        agg = F.min_by("value", F.coalesce(F.col(order_cols[0]).cast("long"), F.lit(_FIRST)))
     elif order_cols:
         # a struct keeps rows whose order columns are null (min_by skips a
         # null ordering); slower, as struct buffers need sort aggregation
@@ -53,22 +56,14 @@ def filter_pivot(df: DataFrame, index_cols, ind: str = "label", order_cols=None,
     return _pivot(narrow, ind_col, agg, values)
 
 
-# Chosen collections up to this many are broadcast to the semi-join.
-BROADCAST_SELECTION_ROWS = 100_000
-
-
 def select_collections(datamap_rows: DataFrame, obt: DataFrame) -> DataFrame:
     """F8: keep the observations whose ``collection`` occurs in the chosen
     datamap rows (a left-semi join; null never matches).
 
-    The distinct chosen collections are counted first: up to
-    ``BROADCAST_SELECTION_ROWS`` they are broadcast, so the big table is not
-    shuffled and a hot collection costs nothing extra; beyond that the join
-    is a shuffle semi-join that AQE's skew handling splits.
+    A plain join: adaptive execution broadcasts the chosen collections if
+    they measure small and splits a hot collection otherwise.
     """
     chosen = datamap_rows.select("collection").where(F.col("collection").isNotNull()).distinct()
-    if chosen.count() <= BROADCAST_SELECTION_ROWS:
-        chosen = F.broadcast(chosen)
     return obt.join(chosen, "collection", "left_semi")
 
 
@@ -81,7 +76,7 @@ def src_tbl(df: DataFrame, ind: str = "code", values: list | None = None) -> Dat
     ind_col = indicator_column(ind)
     cols = [c for c in ("country", "year", ind_col, "value") if c in df.columns]
     narrow = df.select(*cols).dropna(how="any", subset=cols)
-    return _pivot(narrow, ind_col, exact_mean(F.col("value")), values).orderBy(*INDEX)
+    return _pivot(narrow, ind_col, exact_mean("value"), values).orderBy(*INDEX)
 
 
 def src_cells(df: DataFrame, ind: str = "code") -> DataFrame:
@@ -90,7 +85,7 @@ def src_cells(df: DataFrame, ind: str = "code") -> DataFrame:
     cols = ["country", "year", ind_col, "value"]
     return (df.select(*cols).dropna(how="any", subset=cols)
               .groupBy("country", "year", ind_col)
-              .agg(exact_mean(F.col("value")).alias("cell")))
+              .agg(exact_mean("value").alias("cell")))
 
 
 __all__ = ["filter_pivot", "select_collections", "src_tbl", "src_cells"]

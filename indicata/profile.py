@@ -41,11 +41,6 @@ class ColumnProfile:
         have = set(df.columns)
         return [c for c in cols if c in have]
 
-    def validate(self, df: DataFrame, cols) -> None:
-        missing = [c for c in cols if c not in df.columns]
-        if missing:
-            raise ValueError(f"columns not in table: {missing}")
-
     @classmethod
     def from_yaml(cls, path: str) -> "ColumnProfile":
         import yaml

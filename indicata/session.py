@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -49,8 +50,9 @@ def build_session(master: str | None = None, app: str = "indicata",
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints and derived tables.
 
-    Uses ``spark.checkpoint.dir`` when the cluster names one; only when it
-    is unset (local tests) a scratch folder is created and registered.
+    Uses ``spark.checkpoint.dir`` when the cluster names one.  Only a local
+    session gets a scratch folder instead; on a cluster executors and driver
+    would each see a folder of their own, so an unset setting is an error.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -58,6 +60,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = sc.getConf().get(_CKPT_KEY, None)
     if not configured:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="indicata-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured

@@ -22,7 +22,7 @@ def _brute(rows):
         totals[r] = totals.get(r, 0) + 1
     seen = {}
     for c, r, lab, v in rows:
-        if v is not None and r in totals:
+        if v is not None:
             seen.setdefault(lab, {}).setdefault(r, set()).add(c)
     out = {}
     for lab, per in seen.items():

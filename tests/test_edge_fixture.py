@@ -27,7 +27,9 @@ def test_sub_region_totals(edge):
 
 def test_coverage(edge):
     rows = {r.indicator_label: r.asDict() for r in cov.sub_region_coverage(edge).collect()}
-    assert set(rows) == {"Tax", "Aid"}
+    # the null label has values in a null sub-region only: it stays, with 0 everywhere
+    assert set(rows) == {None, "Tax", "Aid"}
+    assert rows[None]["pct_coverage_North_East"] == rows[None]["pct_coverage_South"] == 0.0
     assert rows["Tax"]["pct_coverage_North_East"] == 150.0
     assert rows["Tax"]["pct_coverage_South"] == 100.0
     assert rows["Aid"]["pct_coverage_North_East"] == 50.0
@@ -76,6 +78,16 @@ def test_completeness_score_order(edge):
     assert len(rows) == st.base_stats(edge).count()  # the join does not fan out
 
 
+def test_label_of_a_null_sub_region_keeps_its_score(spark):
+    df = spark.createDataFrame(
+        [("A", 2000, "I.1", "Tax", 1.0, "S1", "C1", "North East"), ("D", 2000, "I.3", "Aid", 5.0, "S2", "C2", None),
+         ("D", 2001, "I.3", "Aid", 7.0, "S2", "C2", None)],
+        "country string, year int, indicator_code string, indicator_label string, value double, "
+        "source string, collection string, sub_region_name string")
+    aid = {r.indicator_label: r for r in meta.indicators_metadata(df).collect()}["Aid"]
+    assert (aid.pct_coverage_North_East, aid.completeness_score) == (0.0, 50.0)
+
+
 def test_first_pivot_by_label(edge):
     out = pv.filter_pivot(edge, ["country", "year", "indicator_label", "value"],
                           ind="label", order_cols=["seq"])

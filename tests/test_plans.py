@@ -25,8 +25,8 @@ def table(spark):
 def test_datamap_reads_only_its_columns(spark, table):
     df = catalog.QUERIES["datamap_source"](spark, SF_SMALL)
     plan = _plan(df)
-    assert "ReadSchema: struct<database:string,collection:string,source:string>" in plan or (
-        "ReadSchema" in plan and "value" not in plan.split("ReadSchema")[1].split(">")[0])
+    read = plan.split("ReadSchema: struct<")[1].split(">")[0]
+    assert {c.split(":")[0] for c in read.split(",")} <= {"source", "database", "collection"}
 
 
 def test_filter_chain_pushed_to_scan(spark):
@@ -39,9 +39,9 @@ def test_filter_chain_pushed_to_scan(spark):
     assert "EqualTo(year,1997)" in pushed
 
 
-def test_coverage_broadcasts_region_totals(spark, table):
-    plan = _plan(cov.sub_region_coverage(table))
-    assert "BroadcastHashJoin" in plan or "BroadcastExchange" in plan
+def test_coverage_has_no_forced_broadcast(spark, table):
+    plan = cov.sub_region_coverage(table)._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=broadcast" not in plan
 
 
 @pytest.mark.parametrize("name", sorted(catalog.QUERIES))
@@ -52,7 +52,7 @@ def test_no_row_at_a_time_python(spark, name):
 
 def test_top_k_is_take_ordered(spark):
     plan = _plan(catalog.QUERIES["top10_indicators"](spark, SF_SMALL))
-    assert "TakeOrderedAndProject" in plan or "limit" in plan.lower()
+    assert "TakeOrderedAndProject" in plan
 
 
 def test_build_broadcasts_only_bounded_dimensions(spark):
@@ -68,11 +68,14 @@ def test_build_broadcasts_only_bounded_dimensions(spark):
 
 def test_base_stats_merges_without_joins(spark, table):
     from indicata.plans.stats import base_stats
-    plan = _plan(base_stats(table))
-    assert "Join" not in plan
+    plan = _optimized(base_stats(table))
+    # the branches meet in a union; the one join adds each slice's rank offset
+    joins = [line for line in plan.splitlines() if "Join " in line]
+    assert len(joins) == 1 and "_pid" in joins[0]
     assert "Union" in plan
 
 
-def test_pivot_first_uses_hash_aggregate_on_long_order(spark):
-    plan = _plan(catalog.QUERIES["pivot_code"](spark, SF_SMALL))
-    assert "min_by(value" in plan and "ord_seq" in plan
+@pytest.mark.parametrize("name", [n for n in sorted(catalog.QUERIES) if n.startswith("pivot_")])
+def test_first_pivots_are_hash_aggregates(spark, name):
+    plan = _plan(catalog.QUERIES[name](spark, SF_SMALL))
+    assert "HashAggregate" in plan and "SortAggregate" not in plan

@@ -1,4 +1,4 @@
-"""The paths taken beyond each size check give the same answers."""
+"""Selections, quantiles and pivots have no path that depends on a size constant."""
 
 import pytest
 from pyspark.sql import functions as F
@@ -22,24 +22,25 @@ def _pivot_selected(spark):
                            order_cols=[SEQ_COLUMN])
 
 
-def test_selection_without_broadcast(spark, monkeypatch):
-    broadcast = {tuple(r) for r in _pivot_selected(spark).collect()}
-    monkeypatch.setattr(pv, "BROADCAST_SELECTION_ROWS", 0)
-    shuffled_df = _pivot_selected(spark)
-    plan = shuffled_df._jdf.queryExecution().executedPlan().toString()
-    assert "LeftSemi" in plan
-    assert {tuple(r) for r in shuffled_df.collect()} == broadcast
+def test_selection_is_a_semi_join_that_runs_nothing_at_call_time(spark):
+    tracker = spark.sparkContext.statusTracker()
+    t = obt(spark, SF_SMALL, with_order=True)
+    picked = dm.datamap(t, ["source", "database", "collection"]).where(
+        F.col("collection").isin("1-URGENT", "5-LOW"))
+    spark.sparkContext.setJobGroup("select", "select")
+    chosen = pv.select_collections(picked, t)
+    assert list(tracker.getJobIdsForGroup("select")) == []
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert "LeftSemi" in chosen._jdf.queryExecution().optimizedPlan().toString()
+    assert {r[0] for r in chosen.select("collection").distinct().collect()} == {"1-URGENT", "5-LOW"}
+    assert _pivot_selected(spark).count() > 0
 
 
-def test_big_group_keys_without_broadcast(spark, monkeypatch):
+def test_quantiles_never_window_over_raw_rows(spark):
     t = obt(spark, SF_SMALL)
-    spec = {"m": (0.5, "midpoint"), "q": (0.75, "nearest")}
-    keys = ["source", "indicator_label"]
-    want = {tuple(r) for r in order_stats.exact_quantiles(t, keys, "value", spec).collect()}
-    monkeypatch.setattr(order_stats, "MAX_BROADCAST_KEYS", 0)
-    got = {tuple(r) for r in order_stats.exact_quantiles(t, keys, "value", spec,
-                                                         small_group_rows=60).collect()}
-    assert got == want
+    got = order_stats.exact_quantiles(t, ["source", "indicator_label"], "value", {"m": (0.5, "midpoint")})
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "row_number" not in plan and "percentile" not in plan
 
 
 def test_region_names_that_collide_are_rejected(spark):
@@ -49,8 +50,6 @@ def test_region_names_that_collide_are_rejected(spark):
         cov.region_names(cov.sub_region_info(df))
 
 
-def test_too_many_pivot_values_is_an_error(spark):
-    df = spark.range(0, 20).selectExpr("cast(id as string) as k")
-    with pytest.raises(ValueError):
-        reshape.distinct_values(df, "k", limit=10)
-    assert len(reshape.distinct_values(df, "k", limit=20)) == 20
+def test_pivot_values_have_no_limit(spark):
+    df = spark.range(0, 12_000).selectExpr("cast(id as string) as k")
+    assert len(reshape.distinct_values(df, "k")) == 12_000
