@@ -1,8 +1,10 @@
 """Entry points under the names users of the original notebooks know.
 
-Each is a ``DataFrame -> DataFrame`` function (lazy; nothing is collected
-except short lists of names), so results can be chained, filtered further,
-written with any Spark sink, or shown.
+Each is a ``DataFrame -> DataFrame`` function, so results can be chained,
+filtered further, written with any Spark sink, or shown.  Nothing is collected
+except the names of new columns.  Jobs run at call time only where a checkpoint
+or those names are needed: quantiles (``calculate_base_stats``, ``describe``),
+coverage, metadata, and pivots without ``values``.
 """
 
 from __future__ import annotations
@@ -51,7 +53,7 @@ info = checks.info
 
 
 def metadata_distinct_counts(df: DataFrame, profile: ColumnProfile = DEFAULT_PROFILE) -> DataFrame:
-    """C12 over the profile's metadata columns that the table has."""
+    """C12 over the profile's metadata columns; one the table lacks is an error."""
     return checks.distinct_counts(df, profile.metadata_columns)
 
 

@@ -3,19 +3,25 @@
 Every query reads the driver's tables through the derived observation
 table (``sources.tpch``) and runs over all of it.  Double columns are
 rounded to 6 places in both the Spark result and the oracle, because the
-order of floating-point summation differs between engines.
+order of floating-point summation differs between engines.  Means get
+``OFF_TIE`` added before that, on both sides: of values with two decimals many
+lie on a tie of the sixth place, where the last bit of a sum would decide.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, FloatType
 
 from indicata.functions.expressions import quote
 from indicata.plans import datamap as dm
+from indicata.profile import DEFAULT_PROFILE
+from indicata.session import derived_table_dir
+from indicata.sources.parquet import write_csv
 from indicata.sources.tpch import OBT_COLUMNS, obt, with_obt
 
 PROFILE_SOURCE = ("source", "database", "collection")
@@ -23,13 +29,24 @@ PROFILE_INDICATOR = ("indicator_code", "value_meta")
 OBT_OUT = tuple("country" if c == "country_or_area" else c for c in OBT_COLUMNS) + ("income_level",)
 
 
-def round_doubles(df: DataFrame, places: int = 6) -> DataFrame:
+OFF_TIE = "3e-9"
+#: Columns made of means, by query; None is every double column.
+MEANS = {"base_stats": ("mean_value",), "indicators_metadata": ("mean_value",), "describe_polars": ("mean",),
+         "describe_wide": None, "src_tbl_mean": None, "src_tbl_source": None}
+
+
+def _off_tie(query: str, column: str) -> str:
+    means = MEANS.get(query, ())
+    return f" + {OFF_TIE}" if means is None or column in means else ""
+
+
+def round_doubles(df: DataFrame, query: str = "", places: int = 6) -> DataFrame:
     # one selectExpr call: wide pivots have hundreds of columns, and building
     # one Column object per column costs a driver round trip each
     exprs = []
     for f in df.schema.fields:
         q = quote(f.name)
-        exprs.append(f"round({q}, {places}) AS {q}"
+        exprs.append(f"round({q}{_off_tie(query, f.name)}, {places}) AS {q}"
                      if isinstance(f.dataType, (DoubleType, FloatType)) else q)
     return df.selectExpr(*exprs)
 
@@ -40,7 +57,7 @@ ORACLE: dict[str, str] = {}
 
 def register(name: str, sql: str | None = None):
     def deco(fn):
-        QUERIES[name] = lambda spark, sf_dir: round_doubles(fn(spark, sf_dir))
+        QUERIES[name] = lambda spark, sf_dir: round_doubles(fn(spark, sf_dir), name)
         if sql is not None:
             ORACLE[name] = with_obt(sql)
         return fn
@@ -98,14 +115,6 @@ from indicata.plans import stats as st  # noqa: E402
 SUB_REGIONS = tuple(f"{r} {h}" for r in ("AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST")
                     for h in ("NORTH", "SOUTH"))
 
-def mean_sql(c: str) -> str:
-    """DuckDB text of ``exact_mean`` rounded half-up to 6 places, in integers."""
-    s = f"sum(cast(cast({c} as decimal(38, 9)) * 1000000000 as hugeint))"
-    n = f"nullif(count({c}), 0)"
-    return (f"cast(sign({s}) * ((abs({s}) * 2 + {n} * 1000) // (2 * {n} * 1000)) as double)"
-            " / 1000000")
-
-
 _NUNIQ = "count(distinct {c}) + coalesce(max(case when {c} is null then 1 else 0 end), 0)"
 _NUNIQ_WHERE = ("count(distinct case when {w} then {c} end)"
                 " + coalesce(max(case when ({w}) and {c} is null then 1 else 0 end), 0)")
@@ -117,7 +126,7 @@ _BASE_STATS_SQL = f"""
     count(*) filter (where value is null) as count_missing_value,
     {_NUNIQ.format(c="country")} as num_countries_with_data,
     {_NUNIQ_WHERE.format(c="year", w="value is not null")} as num_years_with_data,
-    {mean_sql('value')} as mean_value, min(value) as min_value, max(value) as max_value,
+    avg(value) as mean_value, min(value) as min_value, max(value) as max_value,
     min(case when value is not null then year end) as min_year,
     max(case when value is not null then year end) as max_year
   from obt group by all)
@@ -302,31 +311,21 @@ def q_pivot_selected(spark, sf_dir):
                            order_cols=[SEQ_COLUMN])
 
 
-def _exact_sum_sql(c: str) -> str:
-    return f"sum(cast(cast({c} as decimal(38, 9)) * 1000000000 as hugeint))"
-
-
-def _mean13_sql(c: str) -> str:
-    """DuckDB text of ``exact_mean`` (half-up at 13 places) as a double."""
-    s, n = _exact_sum_sql(c), f"nullif(count({c}), 0)"
-    return f"cast(sign({s}) * ((abs({s}) * 20000 + {n}) // (2 * {n})) as double) / 10000000000000"
-
-
 _SRC_CELLS_SQL = """
 , cells as (
-  select country, year, {ind} as k, {mean} as v
+  select country, year, {ind} as k, avg(value) as v
   from obt
   where country is not null and year is not null and {ind} is not null and value is not null
   group by all)"""
 
 
-@register("src_tbl_mean", _SRC_CELLS_SQL.format(ind="indicator_code", mean=mean_sql("value"))
+@register("src_tbl_mean", _SRC_CELLS_SQL.format(ind="indicator_code")
           + f"\nselect * from (pivot cells on k in ({_names(MEAN_CODES)}) using first(v) group by country, year)")
 def q_src_tbl_mean(spark, sf_dir):
     return pv.src_tbl(obt(spark, sf_dir), ind="code", values=MEAN_CODES)
 
 
-@register("src_tbl_source", _SRC_CELLS_SQL.format(ind="indicator_label", mean=mean_sql("value"))
+@register("src_tbl_source", _SRC_CELLS_SQL.format(ind="indicator_label")
           .replace("where country", "where source = 'FURNITURE' and country")
           + f"\nselect * from (pivot cells on k in ({_names(MEAN_LABELS)}) using first(v) group by country, year)")
 def q_src_tbl_source(spark, sf_dir):
@@ -341,29 +340,21 @@ def _lin_sql(q: float) -> str:
     return f"{lo} + ({hi} - {lo}) * {frac}"
 
 
-@register("describe_wide", _SRC_CELLS_SQL.format(ind="indicator_code", mean=_mean13_sql("value")) + f"""
+@register("describe_wide", _SRC_CELLS_SQL.format(ind="indicator_code") + f"""
 , r as (select k, v, row_number() over (partition by k order by v) - 1 as rk,
                count(*) over (partition by k) as n from cells)
 , qs as (select k, {_lin_sql(0.25)} as "25%", {_lin_sql(0.5)} as "50%", {_lin_sql(0.75)} as "75%"
          from r group by k, n)
-, b as (select k, count(v) as count, avg(v) + 3e-9 as mean, stddev_samp(v) as std,
+, b as (select k, count(v) as count, avg(v) as mean, stddev_samp(v) as std,
                min(v) as min, max(v) as max from cells group by k)
 select b.k as "column", count, mean, std, min, "25%", "50%", "75%", max
 from b left join qs on b.k = qs.k""")
 def q_describe_wide(spark, sf_dir):
-    # the 3e-9 (here and in the oracle) keeps a mean that lies on a rounding
-    # tie of the sixth place from falling to either side by summation order
-    out = ck.describe_cells(pv.src_cells(obt(spark, sf_dir), "code"), "indicator_code")
-    return out.withColumn("mean", F.col("mean") + 3e-9)
-
-
-@register("info_wide", _SRC_CELLS_SQL.format(ind="indicator_code", mean=_mean13_sql("value")) + """
-select 'country' as "column", count(*) as non_null_count, 'string' as dtype
-  from (select distinct country, year from cells)
-union all
-select 'year', count(*), 'int' from (select distinct country, year from cells)
-union all
-select k, count(*), 'double' from cells group by k""")
+    return ck.describe_cells(pv.src_cells(obt(spark, sf_dir), "code"), "indicator_code")
+
+
+@register("info_wide", _SRC_CELLS_SQL.format(ind="indicator_code") + """
+select k as "column", count(*) as non_null_count, 'double' as dtype from cells group by k""")
 def q_info_wide(spark, sf_dir):
     return ck.info_cells(pv.src_cells(obt(spark, sf_dir), "code"), "indicator_code")
 
@@ -397,16 +388,18 @@ def q_null_income_countries(spark, sf_dir):
     return ck.null_income_countries(obt(spark, sf_dir))
 
 
-# Metadata columns that the derived table has.
+# The 14 metadata columns of the default profile.
 METADATA_COLS = ("source", "database", "collection", "indicator_code", "value_meta",
-                 "region_name", "sub_region_name", "income_level")
+                 "region_name", "sub_region_name", "intermediate_region_name",
+                 "least_developed_countries_ldc", "land_locked_developing_countries_lldc",
+                 "small_island_developing_states_sids", "income_level", "oecd_member",
+                 "fragile_and_conflict_affected_situations")
 
 
 @register("distinct_counts", " union all ".join(
     f"select '{c}' as \"column\", {_NUNIQ.format(c=c)} as distinct_count from obt"
     for c in METADATA_COLS))
 def q_distinct_counts(spark, sf_dir):
-    from indicata.profile import DEFAULT_PROFILE
     return ck.distinct_counts(obt(spark, sf_dir), DEFAULT_PROFILE.metadata_columns)
 
 
@@ -429,6 +422,25 @@ def q_obt_shape(spark, sf_dir):
     return ck.shape(obt(spark, sf_dir))
 
 
+# ---------------------------------------------------------------- S4, I1, I6
+@register("csv_round_trip", f"select {', '.join(OBT_OUT)} from obt")
+def q_csv_round_trip(spark, sf_dir):
+    """The table written as CSV below the shared folder and read again."""
+    rows = obt(spark, sf_dir).select(*OBT_OUT)
+    path = derived_table_dir(spark, f"csv-{uuid.uuid4().hex}")
+    write_csv(rows, path)
+    return spark.read.schema(rows.schema).option("header", True).csv(path)
+
+
+@register("observed_rows", "select count(*) as rows from obt")
+def q_observed_rows(spark, sf_dir):
+    """Rows that an observation saw while the table was read."""
+    seen = Observation()
+    rows = obt(spark, sf_dir).observe(seen, F.count(F.lit(1)).alias("rows"))
+    rows.write.format("noop").mode("overwrite").save()
+    return spark.createDataFrame([(seen.get["rows"],)], "rows long")
+
+
 def _nearest_sql(q: float) -> str:
     return f"max(case when rk = floor((n - 1) * {q} + 0.5) then v end)"
 
@@ -437,6 +449,12 @@ def _nearest_sql(q: float) -> str:
 _OBT_TYPES = {"year": "int", "value": "double"}
 
 
+@register("schema_obt", " union all ".join(
+    f"select '{c}' as \"column\", '{_OBT_TYPES.get(c, 'string')}' as dtype" for c in OBT_OUT))
+def q_schema_obt(spark, sf_dir):
+    return ck.schema_table(obt(spark, sf_dir).select(*OBT_OUT))
+
+
 @register("info_obt", " union all ".join(
     f"select '{c}' as \"column\", count({c}) as non_null_count, '{_OBT_TYPES.get(c, 'string')}' as dtype "
     "from obt" for c in OBT_OUT))
@@ -457,7 +475,7 @@ _DESCRIBE_NUM = ("year", "value")
                count(*) over (partition by "column") as n from lv where v is not null)
 , qs as (select "column", {_nearest_sql(0.25)} as "25%", {_nearest_sql(0.5)} as "50%",
                 {_nearest_sql(0.75)} as "75%" from r group by all)
-, mo as (select "column", {mean_sql('v')} as mean, stddev_samp(v) as std from lv group by all)
+, mo as (select "column", avg(v) as mean, stddev_samp(v) as std from lv group by all)
 select b."column", count, null_count, mean, std, min, "25%", "50%", "75%", max
 from base b left join mo on b."column" = mo."column" left join qs on b."column" = qs."column"
 """)
@@ -473,6 +491,7 @@ _BASE_DOUBLES = ("mean_value", "median_value", "min_value", "max_value", "iqr_va
                  "pct_missing_value")
 _ORACLE_DOUBLES = {
     "scan_classify": ("value",),
+    "csv_round_trip": ("value",),
     "base_stats": _BASE_DOUBLES,
     "sub_region_coverage": tuple(_PCT_COLS),
     "coverage_color": tuple(_PCT_COLS),
@@ -490,8 +509,8 @@ def _dq(name: str) -> str:
 
 
 for _name, _cols in _ORACLE_DOUBLES.items():
-    _rep = ", ".join(f"round({_dq(c)}, 6) AS {_dq(c)}" for c in _cols)
+    _rep = ", ".join(f"round({_dq(c)}{_off_tie(_name, c)}, 6) AS {_dq(c)}" for c in _cols)
     ORACLE[_name] = f"select * replace ({_rep}) from (\n{ORACLE[_name]}\n) q"
 for _name in _ORACLE_WIDE:
-    ORACLE[_name] = ("select country, year, round(COLUMNS(* EXCLUDE (country, year)), 6) "
+    ORACLE[_name] = (f"select country, year, round(COLUMNS(* EXCLUDE (country, year)){_off_tie(_name, '')}, 6) "
                      f"from (\n{ORACLE[_name]}\n) q")

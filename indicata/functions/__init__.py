@@ -1,6 +1,5 @@
 from indicata.functions.expressions import (  # noqa: F401
     coverage_color,
-    exact_mean,
     income_level,
     n_unique,
     quote,

@@ -29,34 +29,14 @@ def income_level() -> Column:
     return expr.otherwise(F.lit(None).cast("string"))
 
 
-def exact_mean_sql(expr: str) -> str:
-    """SQL text of the mean of a double column, over the full double range.
-
-    A double sum depends on the order rows arrive in, so it changes with
-    partitioning.  Where every value of the group is below 1e18 and has at
-    most 9 decimals, the sum is taken in decimals, exactly; any other group
-    (tiny fractions, huge values, NaN, infinity) gets the plain average.
-    """
-    d = f"try_cast({expr} AS decimal(38, 9))"
-    fits = f"(({expr}) IS NULL OR (abs({expr}) < 1e18D AND cast({d} AS double) = ({expr})))"
-    return (f"CASE WHEN coalesce(bool_and({fits}), true) THEN cast(avg(CASE WHEN abs({expr}) < 1e18D "
-            f"THEN {d} END) AS double) ELSE avg({expr}) END")
-
-
-def exact_mean(name: str) -> Column:
-    """``exact_mean_sql`` of a named column."""
-    return F.expr(exact_mean_sql(quote(name)))
-
-
 def n_unique(c: Column) -> Column:
     """Exact distinct count in which null counts as one more value."""
     return F.count_distinct(c) + F.coalesce(F.max(c.isNull().cast("int")), F.lit(0))
 
 
 
-
 def row_mean_sql(names: list[str]) -> str:
-    """SQL text of ``row_mean`` over named columns (one driver call to use)."""
+    """SQL text of the mean over named columns of a row, nulls skipped (all null: null)."""
     arr = "array(" + ", ".join(f"cast({quote(n)} AS double)" for n in names) + ")"
     nonnull = f"filter({arr}, x -> x IS NOT NULL)"
     return (f"try_divide(aggregate({nonnull}, 0D, (acc, x) -> acc + x), "

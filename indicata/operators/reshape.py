@@ -1,10 +1,11 @@
-"""Reshape helpers: pivot values, one-row transpose."""
+"""Pivot values."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+
 def distinct_values(df: DataFrame, column: str) -> list:
     """Sorted distinct values of ``column`` (nulls first).
 
@@ -15,9 +16,3 @@ def distinct_values(df: DataFrame, column: str) -> list:
     rows = (df.select(F.col(column).alias("v")).distinct()
               .orderBy(F.col("v").asc_nulls_first()).collect())
     return [r["v"] for r in rows]
-
-
-def transpose_row(df: DataFrame, name_col: str = "column",
-                  value_col: str = "value") -> DataFrame:
-    """A one-row table -> one row per column (``name_col``, ``value_col``)."""
-    return df.unpivot([], df.columns, name_col, value_col)

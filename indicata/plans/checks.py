@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import NumericType
+from pyspark.sql.types import DecimalType, FractionalType, NumericType
 
-from indicata.functions.expressions import exact_mean, exact_mean_sql, n_unique, quote
+from indicata.functions.expressions import n_unique, quote
 from indicata.operators.order_stats import exact_quantiles
 
+# The income flag columns, highest level first.
 INCOME_FLAGS = ("high_income", "upper_middle_income", "lower_middle_income", "low_income")
 
 
@@ -50,9 +51,9 @@ def distinct_counts(df: DataFrame, columns) -> DataFrame:
     factor as the Expand Spark plans for several count-distincts), dedup
     map-side, then count per column.  Null stays a value of its own, so no
     separate null test is needed; the plan has the same shape for any
-    number of columns.
+    number of columns.  A column the table lacks is an error.
     """
-    cols = [c for c in columns if c in df.columns]
+    cols = list(columns)
     long = df.select(*[F.col(quote(c)).cast("string").alias(c) for c in cols]) \
              .unpivot([], cols, "column", "value")
     return (long.distinct().groupBy("column")
@@ -83,9 +84,9 @@ def shape(df: DataFrame) -> DataFrame:
         "rows", F.lit(len(df.columns)).alias("columns"))
 
 
-def schema_table(df: DataFrame) -> list[tuple[str, str]]:
-    """(column, type) pairs, read from the Parquet footer (no job)."""
-    return list(df.dtypes)
+def schema_table(df: DataFrame) -> DataFrame:
+    """(column, dtype) rows from the schema alone (no scan of the data)."""
+    return df.sparkSession.createDataFrame(df.dtypes, "column string, dtype string")
 
 
 def _numeric_cols(df: DataFrame) -> list[str]:
@@ -104,13 +105,17 @@ def describe(df: DataFrame, columns=None, interpolation: str = "nearest") -> Dat
     """
     cols = list(columns or df.columns)
     num = [c for c in _numeric_cols(df) if c in cols]
+    floats = {f.name for f in df.schema.fields if isinstance(f.dataType, FractionalType)
+              and not isinstance(f.dataType, DecimalType)}
     # one aggregate over all columns, written as SQL text (one driver call
     # per expression instead of a tree of Column calls per column)
     aggs = []
     for i, c in enumerate(cols):
         q = quote(c)
+        # extremes skip NaN, which Spark would return as the largest value
+        seen = f"FILTER (WHERE NOT isnan({q}))" if c in floats else ""
         aggs += [f"count({q}) AS _{i}_count", f"count_if({q} IS NULL) AS _{i}_null_count",
-                 f"cast(min({q}) AS string) AS _{i}_min", f"cast(max({q}) AS string) AS _{i}_max"]
+                 f"cast(min({q}) {seen} AS string) AS _{i}_min", f"cast(max({q}) {seen} AS string) AS _{i}_max"]
     one = df.agg(*[F.expr(a) for a in aggs])
     structs = ", ".join(
         f"named_struct('column', {_sql_str(c)}, 'count', _{i}_count, 'null_count', _{i}_null_count, "
@@ -131,7 +136,7 @@ def describe(df: DataFrame, columns=None, interpolation: str = "nearest") -> Dat
                              f"{null_d} AS p75")
              .unionByName(qs.selectExpr("column", "1 AS _t", f"{null_d} AS v", "p25", "p50", "p75"))
              .groupBy("column").agg(*[F.expr(x) for x in (
-                 f"{exact_mean_sql('v')} AS mean", "stddev_samp(v) AS std",
+                 "avg(v) AS mean", "stddev_samp(v) AS std",
                  "max(CASE WHEN _t = 1 THEN p25 END) AS `25%`",
                  "max(CASE WHEN _t = 1 THEN p50 END) AS `50%`",
                  "max(CASE WHEN _t = 1 THEN p75 END) AS `75%`")]))
@@ -169,7 +174,7 @@ def describe_cells(cells: DataFrame, ind_col: str) -> DataFrame:
     q = F.col("_t") == 1
     return (rows.unionByName(quart).groupBy(ind_col).agg(
                 F.count("cell").alias("count"),
-                exact_mean("cell").alias("mean"),
+                F.avg("cell").alias("mean"),
                 F.stddev_samp("cell").alias("std"),
                 F.min("cell").alias("min"),
                 F.max(F.when(q, F.col("p25"))).alias("25%"),
@@ -180,13 +185,7 @@ def describe_cells(cells: DataFrame, ind_col: str) -> DataFrame:
 
 
 def info_cells(cells: DataFrame, ind_col: str) -> DataFrame:
-    """C17 ``info``: (column, non_null_count, dtype) of the mean table."""
-    rows = cells.select("country", "year").distinct().agg(F.count(F.lit(1)).alias("n"))
-    index = rows.select(F.explode(F.array(
-        F.struct(F.lit("country").alias("column"), F.col("n").alias("non_null_count"),
-                 F.lit("string").alias("dtype")),
-        F.struct(F.lit("year").alias("column"), F.col("n").alias("non_null_count"),
-                 F.lit("int").alias("dtype")))).alias("s")).select("s.*")
-    inds = cells.groupBy(ind_col).agg(F.count(F.lit(1)).alias("non_null_count")).select(
+    """C17 ``info``: (column, non_null_count, dtype) of the mean table, whose
+    country and year are its index and not columns."""
+    return cells.groupBy(ind_col).agg(F.count(F.lit(1)).alias("non_null_count")).select(
         F.col(ind_col).alias("column"), "non_null_count", F.lit("double").alias("dtype"))
-    return index.unionByName(inds)

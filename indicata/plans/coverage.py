@@ -42,9 +42,13 @@ def coverage_long(df: DataFrame, info: DataFrame) -> DataFrame:
     A sub-region without a total (a null one) has a null ``pct``: it has no
     column in the wide table, but its row keeps the label there.
     """
-    cov = (df.where(F.col("value").isNotNull())
-             .groupBy("indicator_label", "sub_region_name")
-             .agg(n_unique(F.col("country")).alias("countries_with_data")))
+    return coverage_of(df.where(F.col("value").isNotNull()), info)
+
+
+def coverage_of(with_value: DataFrame, info: DataFrame) -> DataFrame:
+    """``coverage_long`` of rows (or cells of rows) that have a value."""
+    cov = (with_value.groupBy("indicator_label", "sub_region_name")
+           .agg(n_unique(F.col("country")).alias("countries_with_data")))
     totals = info.select("sub_region_name", "total_countries")
     return (cov.join(totals, "sub_region_name", "left")
                .select("indicator_label", "sub_region_name",

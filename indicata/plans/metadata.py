@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from indicata.functions.expressions import quote, row_mean_sql
-from indicata.plans.coverage import (clean_name, coverage_long, coverage_wide,
-                                     region_names, sub_region_info)
-from indicata.plans.stats import base_stats
+from indicata.plans.coverage import (clean_name, coverage_of, coverage_wide, region_names,
+                                     sub_region_info)
+from indicata.plans.stats import base_stats, observation_cells
+from indicata.session import checkpoint_dir
 
 
 def indicators_metadata(df: DataFrame) -> DataFrame:
@@ -20,18 +21,20 @@ def indicators_metadata(df: DataFrame) -> DataFrame:
     no value at all has no coverage row, so its score is null; it sorts
     first (descending, nulls first).
 
-    Plan: narrowly pruned scans feed the branches (observations, distinct
-    countries, distinct years and quantiles for the statistics; coverage;
-    sub-region totals).  Every branch is reduced to one row per group before
-    it meets another: a union + one aggregate for the statistics, one left
-    join on the label for coverage, so nothing proportional to the data is
-    joined.  The sorted sub-region names are looked up first, as they name the
-    pivot columns.
+    Plan: two scans of the table, one for the cells (``observation_cells``),
+    which are checkpointed in the shared folder, and one for the quantiles.
+    Statistics, coverage, sub-region totals and the sub-region names (which
+    name the pivot columns) all read the cells.  Every branch is one row per
+    group before it meets another, so nothing proportional to the data is
+    joined.  The checkpoint, the names and the quantiles' own checkpoint run
+    as jobs at call time.
     """
-    info = sub_region_info(df)
+    checkpoint_dir(df.sparkSession)
+    cells = observation_cells(df).checkpoint(eager=True)
+    info = sub_region_info(cells)
     regions = region_names(info)
-    base = base_stats(df, sort=False)
-    wide = coverage_wide(coverage_long(df, info), regions)
+    base = base_stats(df, sort=False, cells=cells)
+    wide = coverage_wide(coverage_of(cells.where("n_values > 0"), info), regions)
     pct_cols = [f"pct_coverage_{clean_name(r)}" for r in regions]
     joined = base.join(wide, "indicator_label", "left")
     temporal = ("coalesce(try_divide(cast(num_years_with_data AS double), "

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
-from indicata.functions.expressions import exact_mean
 from indicata.operators.reshape import distinct_values
 
 INDEX = ("country", "year")
 _FIRST = -(1 << 63)  # the smallest long
+_FILE_ORDER = ("_file_path", "_row_index")
 
 
 def indicator_column(ind: str) -> str:
@@ -27,15 +28,25 @@ def _pivot(df: DataFrame, ind_col: str, agg: Column, values: list | None) -> Dat
     return df.groupBy(*INDEX).pivot(ind_col, values).agg(agg)
 
 
+def _with_file_order(df: DataFrame) -> DataFrame | None:
+    """``df`` with the place of each row in the files read; None if it reads none."""
+    try:
+        return df.select("*", *[F.col(f"_metadata.{c.lstrip('_')}").alias(c) for c in _FILE_ORDER])
+    except AnalysisException:
+        return None
+
+
 def filter_pivot(df: DataFrame, index_cols, ind: str = "label", order_cols=None,
                  values: list | None = None) -> DataFrame:
     """One row per (country, year), one column per indicator.
 
     A cell holds the first value of its (country, year, indicator) in row
     order; ``order_cols`` define that order (a null value is kept, a null
-    indicator gets the column ``null``).  Without ``order_cols`` a cell is
-    any one of its values.  ``values`` fixes the indicator columns; by
-    default they are the sorted distinct indicators.
+    indicator gets the column ``null``).  Without ``order_cols`` the order is
+    that of the rows in the files read (file name, then position); a frame
+    that comes from no file has no such order, and a cell is any one of its
+    values.  ``values`` fixes the indicator columns; by default they are the
+    sorted distinct indicators.
     """
     ind_col = indicator_column(ind)
     cols = [c.replace("indicator_label", "indicator_code") if ind == "code" else c
@@ -43,6 +54,8 @@ def filter_pivot(df: DataFrame, index_cols, ind: str = "label", order_cols=None,
     order_cols = list(order_cols or [])
     if "value" not in cols or ind_col not in cols:
         raise ValueError("index columns must include the indicator and 'value'")
+    if not order_cols and (filed := _with_file_order(df)) is not None:
+        df, order_cols = filed, list(_FILE_ORDER)
     narrow = df.select(*dict.fromkeys([*cols, *order_cols]))
     if len(order_cols) == 1 and isinstance(narrow.schema[order_cols[0]].dataType, IntegralType):
         # one long keeps the aggregate hash based; a null order comes first
@@ -70,13 +83,13 @@ def select_collections(datamap_rows: DataFrame, obt: DataFrame) -> DataFrame:
 def src_tbl(df: DataFrame, ind: str = "code", values: list | None = None) -> DataFrame:
     """(country, year) x indicator table of means.
 
-    Rows with a null country, year, indicator or value are dropped first,
+    Rows with a null country, year, indicator or value (or a NaN) are dropped first,
     so every column and row has at least one value.  Sorted by the index.
     """
     ind_col = indicator_column(ind)
     cols = [c for c in ("country", "year", ind_col, "value") if c in df.columns]
     narrow = df.select(*cols).dropna(how="any", subset=cols)
-    return _pivot(narrow, ind_col, exact_mean("value"), values).orderBy(*INDEX)
+    return _pivot(narrow, ind_col, F.avg("value"), values).orderBy(*INDEX)
 
 
 def src_cells(df: DataFrame, ind: str = "code") -> DataFrame:
@@ -85,7 +98,7 @@ def src_cells(df: DataFrame, ind: str = "code") -> DataFrame:
     cols = ["country", "year", ind_col, "value"]
     return (df.select(*cols).dropna(how="any", subset=cols)
               .groupBy("country", "year", ind_col)
-              .agg(exact_mean("value").alias("cell")))
+              .agg(F.avg("value").alias("cell")))
 
 
 __all__ = ["filter_pivot", "select_collections", "src_tbl", "src_cells"]

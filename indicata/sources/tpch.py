@@ -19,7 +19,9 @@ from __future__ import annotations
 
 import hashlib
 import os
+import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -34,7 +36,10 @@ OBT_COLUMNS = (
     "iso3", "country_or_area", "year", "indicator_code", "indicator_label",
     "value", "value_meta", "source", "database", "collection", "region_name",
     "sub_region_name", "high_income", "upper_middle_income",
-    "lower_middle_income", "low_income",
+    "lower_middle_income", "low_income", "intermediate_region_name",
+    "least_developed_countries_ldc", "land_locked_developing_countries_lldc",
+    "small_island_developing_states_sids", "oecd_member",
+    "fragile_and_conflict_affected_situations",
 )
 # Row order of the observations (unique per row); "first" pivots use it.
 ORDER_COLUMNS = ("ord_orderkey", "ord_linenumber", "ord_partkey",
@@ -42,7 +47,7 @@ ORDER_COLUMNS = ("ord_orderkey", "ord_linenumber", "ord_partkey",
 
 SEQ_COLUMN = "ord_seq"
 
-_VERSION = "obt-v4"
+_VERSION = "obt-v5"
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -84,7 +89,9 @@ def mapped_obt(spark: SparkSession, sf_dir: str, with_seq: bool = False) -> Data
     tier = F.floor(nk / 5)
     brand_no = F.expr("substr(p_brand, 7)")
     value_null = ((F.col("p_brand") == "Brand#25") | (F.col("l_discount") == 0)
-                  | ((tier + nk % 5 + brand_no.cast("int")) % 3 == 0))
+                  | ((tier + nk % 5 + brand_no.cast("int")) % 3 == 0)
+                  # one label has values in the null sub-region alone
+                  | ((F.col("p_brand") == "Brand#12") & (nk != 23)))
     return rows.select(
         F.concat(F.lit("N"), F.lpad(nk.cast("string"), 2, "0")).alias("iso3"),
         F.when(nk == 24, F.lit(None)).otherwise(F.col("n_name")).alias("country_or_area"),
@@ -107,6 +114,12 @@ def mapped_obt(spark: SparkSession, sf_dir: str, with_seq: bool = False) -> Data
         F.when(tier == 1, F.lit("Upper middle income")).alias("upper_middle_income"),
         F.when(tier == 2, F.lit("Lower middle income")).alias("lower_middle_income"),
         F.when(tier == 3, F.lit("Low income")).alias("low_income"),
+        F.when(nk % 4 != 0, F.concat_ws(" ", "r_name", (nk % 4).cast("string"))).alias("intermediate_region_name"),
+        F.when(nk % 5 == 0, F.lit("LDC")).alias("least_developed_countries_ldc"),
+        F.when(nk % 6 == 0, F.lit("LLDC")).alias("land_locked_developing_countries_lldc"),
+        F.when(nk % 7 == 0, F.lit("SIDS")).alias("small_island_developing_states_sids"),
+        F.when(nk < 12, F.lit("member")).otherwise(F.lit("other")).alias("oecd_member"),
+        F.when(nk % 8 == 3, F.lit("fragile")).alias("fragile_and_conflict_affected_situations"),
         F.col("l_orderkey").alias("ord_orderkey"),
         F.col("l_linenumber").alias("ord_linenumber"),
         F.col("l_partkey").alias("ord_partkey"),
@@ -117,14 +130,19 @@ def mapped_obt(spark: SparkSession, sf_dir: str, with_seq: bool = False) -> Data
     )
 
 
-def _signature(sf_dir: str) -> str:
-    h = hashlib.sha1(_VERSION.encode())
-    h.update(os.path.abspath(sf_dir).encode())
+def _signature(spark: SparkSession, sf_dir: str) -> str:
+    """Short digest of name, size and time of every input file.
+
+    Spark lists the files (their content is not read), so any store that
+    Spark reads will do and a table may be a folder of files.
+    """
+    files = None
     for t in TABLES:
-        p = os.path.join(sf_dir, f"{t}.parquet")
-        st = os.stat(p)
-        h.update(f"{t}:{st.st_size}:{int(st.st_mtime)}".encode())
-    return h.hexdigest()[:16]
+        one = (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+               .load(os.path.join(sf_dir, f"{t}.parquet")).select("path", "length", "modificationTime"))
+        files = one if files is None else files.union(one)
+    mark = files.agg(F.count(F.lit(1)), F.sum(F.xxhash64("*").cast("decimal(38, 0)"))).first()
+    return hashlib.sha1(f"{_VERSION} {sf_dir} {tuple(mark)}".encode()).hexdigest()[:16]
 
 
 _MATERIALIZED: dict[tuple, str] = {}
@@ -135,15 +153,30 @@ def write_obt(spark: SparkSession, sf_dir: str, path: str) -> None:
 
     Partitioned by ``source`` (a handful of values; filtering by source is
     the most common first step, and a folder per source lets the reader
-    skip the others without opening their files).  Inside each write task
-    rows are clustered by (source, collection, indicator_label), so
-    row-group statistics skip data for the other filters; that local sort
-    does not move rows between tasks and is the order the partitioned
-    writer needs anyway.
+    skip the others without opening their files).  The rebalance hint deals
+    the rows by source in pieces of the advisory size, so a folder gets as
+    many files as its data needs, a hot source more of them.  Inside each
+    write task rows are clustered by (source, collection, indicator_label),
+    so row-group statistics skip data for the other filters.
     """
-    (mapped_obt(spark, sf_dir, with_seq=True)
+    (mapped_obt(spark, sf_dir, with_seq=True).hint("rebalance", "source")
      .sortWithinPartitions("source", "collection", "indicator_label")
-     .write.mode("overwrite").partitionBy("source").parquet(path))
+     .write.mode("errorifexists").partitionBy("source").parquet(path))
+
+
+def _publish(spark: SparkSession, made: str, path: str) -> None:
+    """Rename the finished folder ``made`` to ``path``, unless someone else was first."""
+    sc = spark.sparkContext
+    fs = sc._jvm.org.apache.hadoop.fs
+    conf = sc._jsc.hadoopConfiguration()
+    target = fs.Path(path)
+    files = fs.FileContext.getFileContext(target.getFileSystem(conf).getUri(), conf)
+    try:
+        files.rename(fs.Path(made), target, sc._gateway.new_array(fs.Options.Rename, 0))
+    except Py4JJavaError:
+        if not _written(spark, path):
+            raise
+        files.delete(fs.Path(made), True)
 
 
 def obt_path(spark: SparkSession, sf_dir: str, path: str | None = None) -> str:
@@ -152,15 +185,17 @@ def obt_path(spark: SparkSession, sf_dir: str, path: str | None = None) -> str:
     ``path`` names an already written copy to use instead (the benchmark
     times a fresh build that way).
     """
-    key = (id(spark), id(spark.sparkContext), os.path.abspath(sf_dir))
+    key = (spark.sparkContext.applicationId, sf_dir)
     if path is not None:
         _MATERIALIZED[key] = path
         return path
     if key in _MATERIALIZED:
         return _MATERIALIZED[key]
-    path = derived_table_dir(spark, f"obt-{_signature(sf_dir)}")
+    path = derived_table_dir(spark, f"obt-{_signature(spark, sf_dir)}")
     if not _written(spark, path):
-        write_obt(spark, sf_dir, path)
+        made = f"{path}-{uuid.uuid4().hex}"
+        write_obt(spark, sf_dir, made)
+        _publish(spark, made, path)
     _MATERIALIZED[key] = path
     return path
 
@@ -198,7 +233,7 @@ def obt(spark: SparkSession, sf_dir: str, with_order: bool = False) -> DataFrame
     The lazy frame is kept per session and input, so the file listing and
     footer read happen once; no data is cached.
     """
-    key = (id(spark), os.path.abspath(sf_dir), with_order)
+    key = (spark.sparkContext.applicationId, sf_dir, with_order)
     df = _FRAMES.get(key)
     if df is None:
         df = classify(obt_raw(spark, sf_dir))
@@ -219,6 +254,7 @@ select
  p_brand as indicator_label,
  case when p_brand = 'Brand#25' or l_discount = 0
         or (n_nationkey // 5 + n_nationkey % 5 + cast(substr(p_brand, 7) as int)) % 3 = 0
+        or (p_brand = 'Brand#12' and n_nationkey <> 23)
       then null else l_extendedprice end as value,
  case when l_discount = 0 then 'missing' end as value_meta,
  c_mktsegment as source,
@@ -232,6 +268,13 @@ select
  case when n_nationkey // 5 = 1 then 'Upper middle income' end as upper_middle_income,
  case when n_nationkey // 5 = 2 then 'Lower middle income' end as lower_middle_income,
  case when n_nationkey // 5 = 3 then 'Low income' end as low_income,
+ case when n_nationkey % 4 <> 0 then r_name || ' ' || cast(n_nationkey % 4 as varchar) end
+   as intermediate_region_name,
+ case when n_nationkey % 5 = 0 then 'LDC' end as least_developed_countries_ldc,
+ case when n_nationkey % 6 = 0 then 'LLDC' end as land_locked_developing_countries_lldc,
+ case when n_nationkey % 7 = 0 then 'SIDS' end as small_island_developing_states_sids,
+ case when n_nationkey < 12 then 'member' else 'other' end as oecd_member,
+ case when n_nationkey % 8 = 3 then 'fragile' end as fragile_and_conflict_affected_situations,
  l_orderkey as ord_orderkey, l_linenumber as ord_linenumber, l_partkey as ord_partkey,
  l_suppkey as ord_suppkey, l_shipdate as ord_shipdate, l_extendedprice as ord_price
 from lineitem

@@ -28,14 +28,14 @@ def read_obt_stream(spark: SparkSession, path: str, schema: StructType,
 
 
 def datamap_stream(spark: SparkSession, path: str, schema: StructType, group_cols,
-                   query_name: str, sink: str = "memory",
+                   query_name: str, *, sink: str,
                    checkpoint: str | None = None,
                    max_files_per_trigger: int | None = None) -> StreamingQuery:
     """Start a query that keeps ``count`` per group of ``group_cols`` current.
 
     Output mode ``complete``: every trigger emits the full (small) count
-    table.  With the ``memory`` sink the table is queryable as
-    ``query_name``; other sinks take their options from the caller.
+    table to ``sink``.  The ``memory`` sink, which makes the table queryable
+    as ``query_name``, keeps it on the driver: for tests.
     """
     group_cols = list(group_cols)
     counts = (read_obt_stream(spark, path, schema, max_files_per_trigger)

@@ -1,5 +1,7 @@
+import pytest
+from pyspark.errors import AnalysisException
+
 from indicata import api
-from indicata.operators.reshape import transpose_row
 
 from conftest import SF_SMALL
 
@@ -19,12 +21,6 @@ def test_select_present_and_shape(spark, edge):
     assert (r.rows, r.columns) == (12, 9)
 
 
-def test_transpose_one_row(spark, edge):
-    one = edge.selectExpr("count(distinct source) as source", "count(distinct collection) as collection")
-    got = {(r.column, r.value) for r in transpose_row(one).collect()}
-    assert got == {("source", 2), ("collection", 2)}
-
-
 def test_describe_src_linear(spark, edge):
     rows = {r.column: r for r in api.describe_src(edge, "label").collect()}
     # cells of Tax: (A,2000)=1, (A,2001)=5.5, (B,2003)=4, (C,2000)=8
@@ -33,7 +29,7 @@ def test_describe_src_linear(spark, edge):
     assert tax["50%"] == 4.75           # linear between 4 and 5.5
     assert tax["25%"] == 3.25           # 1 + (4 - 1) * 0.75
     info = {r.column: r.non_null_count for r in api.info_src(edge, "label").collect()}
-    assert info == {"country": 5, "year": 5, "Tax": 4, "Aid": 2}
+    assert info == {"Tax": 4, "Aid": 2}  # country and year are the index
 
 
 def test_metadata_distinct_counts_and_info(spark):
@@ -41,10 +37,10 @@ def test_metadata_distinct_counts_and_info(spark):
 
     t = obt(spark, SF_SMALL)
     counts = {r.column: r.distinct_count for r in api.metadata_distinct_counts(t).collect()}
-    # only the profile's columns that the table has, null counted as a value
-    assert set(counts) == {"source", "database", "collection", "indicator_code", "value_meta",
-                           "region_name", "sub_region_name", "income_level"}
+    assert set(counts) == set(api.DEFAULT_PROFILE.metadata_columns) and len(counts) == 14
     assert counts["income_level"] == t.select("income_level").distinct().count()
+    with pytest.raises(AnalysisException):
+        api.metadata_distinct_counts(t.drop("oecd_member"))
     info = {r.column: (r.non_null_count, r.dtype) for r in api.info(t.select("year", "value")).collect()}
     assert info["year"][1] == "int" and info["value"][1] == "double"
     assert info["value"][0] == t.where("value IS NOT NULL").count()

@@ -1,7 +1,8 @@
 from pyspark.sql import functions as F
 
-from indicata.functions.expressions import (coverage_color, exact_mean, income_level, n_unique,
-                                            row_mean_sql)
+from indicata.functions.expressions import coverage_color, income_level, n_unique, row_mean_sql
+from indicata.plans.pivot import src_cells
+from indicata.plans.stats import base_stats
 
 
 def test_income_level_first_match_and_null(spark):
@@ -35,19 +36,30 @@ def test_row_mean_skips_nulls(spark):
     assert got == [2.0, None]
 
 
-def test_exact_mean_is_order_free(spark):
-    vals = [0.1] * 10 + [0.2] * 10
-    df = spark.createDataFrame([(v,) for v in vals], "v double")
-    a = df.repartition(7).agg(exact_mean("v")).first()[0]
-    b = df.coalesce(1).agg(exact_mean("v")).first()[0]
-    assert a == b == 0.15
-
-
 def test_mean_over_the_whole_double_range(spark):
     nan, inf = float("nan"), float("inf")
     groups = {"tiny": [3e-10, 4e-10], "nan": [1.0, nan], "inf": [1.0, inf], "huge": [9e25, 9e25, 9e25],
               "mixed": [1.0, None, 2.0], "none": [None]}
-    df = spark.createDataFrame([(k, v) for k, vs in groups.items() for v in vs], "k string, v double")
-    got = {r.k: r.m for r in df.groupBy("k").agg(exact_mean("v").alias("m")).collect()}
-    assert abs(got["tiny"] - 3.5e-10) < 1e-24 and got["nan"] != got["nan"] and got["inf"] == inf
-    assert abs(got["huge"] / 9e25 - 1) < 1e-12 and got["mixed"] == 1.5 and got["none"] is None
+    df = spark.createDataFrame([(k, v) for k, vs in groups.items() for v in vs], "k string, v double").selectExpr(
+        "k as source", "'c' as collection", "k as indicator_label", "k as indicator_code", "'A' as country",
+        "2000 as year", "v as value")
+    by_stats = {r.source: r.mean_value for r in base_stats(df).collect()}
+    by_cells = {r.indicator_code: r.cell for r in src_cells(df, "code").collect()}
+    assert by_stats.pop("none") is None and "none" not in by_cells
+    assert by_stats["nan"] != by_stats["nan"] and by_cells["nan"] == 1.0  # the mean table drops NaN rows first
+    for got in (by_stats, by_cells):
+        assert abs(got["tiny"] - 3.5e-10) < 1e-24 and got["inf"] == inf
+        assert abs(got["huge"] / 9e25 - 1) < 1e-12 and got["mixed"] == 1.5
+
+
+def test_extremes_skip_nan(spark):
+    from indicata.plans.checks import describe
+
+    nan = float("nan")
+    df = spark.createDataFrame([("s", "c", "i", "A", 2000, v) for v in (1.0, nan, 3.0, None)],
+                               "source string, collection string, indicator_label string, country string, "
+                               "year int, value double")
+    row = base_stats(df).first()
+    assert (row.min_value, row.max_value, row.count_missing_value) == (1.0, 3.0, 1)
+    said = {r.column: (r.min, r.max) for r in describe(df, ["year", "value"]).collect()}
+    assert said == {"year": ("2000", "2000"), "value": ("1.0", "3.0")}

@@ -79,3 +79,17 @@ def test_base_stats_merges_without_joins(spark, table):
 def test_first_pivots_are_hash_aggregates(spark, name):
     plan = _plan(catalog.QUERIES[name](spark, SF_SMALL))
     assert "HashAggregate" in plan and "SortAggregate" not in plan
+
+
+def test_flagship_scans_the_table_twice(spark, table):
+    """Once for the cells and once for the quantiles, counted over every plan that ran."""
+    from indicata.plans.metadata import indicators_metadata
+
+    store = spark._jsparkSession.sharedState().statusStore()
+    before = store.executionsCount()
+    indicators_metadata(table).collect()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    runs = store.executionsList()
+    trees = [runs.apply(i).physicalPlanDescription().split("== Initial Plan ==")[0] for i in range(before, runs.size())]
+    assert len(trees) >= 3
+    assert sum(t.split("== Final Plan ==")[-1].count("Scan parquet") for t in trees) == 2

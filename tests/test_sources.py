@@ -2,10 +2,13 @@ import os
 import tempfile
 
 import pytest
+from pyspark.sql import functions as F
 
 from indicata.profile import ColumnProfile, DEFAULT_PROFILE
 from indicata.sources.parquet import classify, load_obt, write_csv
 
+from conftest import SF_SMALL
+
 
 def test_classify_requires_country_column(spark):
     df = spark.createDataFrame([("x",)], "name string")
@@ -47,3 +50,65 @@ def test_derived_tables_live_under_the_shared_checkpoint_root(spark):
         # keyed at the configured root, not the per-application folder
         assert path.startswith(conf_root.rstrip("/"))
     assert checkpoint_dir(spark)   # RDD checkpoints have a folder too
+
+
+def _copy_of_inputs(into, as_folder):
+    import shutil
+
+    from indicata.sources.tpch import TABLES
+
+    for t in TABLES:
+        source, target = f"{SF_SMALL}/{t}.parquet", os.path.join(into, f"{t}.parquet")
+        if t == as_folder:
+            os.mkdir(target)
+            target = os.path.join(target, "part-0.parquet")
+        shutil.copy(source, target)
+
+
+def test_inputs_by_uri_and_changed_files_in_a_folder(spark):
+    from indicata.sources import tpch
+
+    d = tempfile.mkdtemp(prefix="indicata-test-")
+    _copy_of_inputs(d, "part")
+    uri = f"file://{d}"
+    first = tpch._signature(spark, uri)
+    assert first == tpch._signature(spark, uri)
+    assert tpch.obt(spark, uri).count() == tpch.obt(spark, SF_SMALL).count()
+    part = os.path.join(d, "part.parquet", "part-0.parquet")
+    os.utime(part, (1, 1))
+    assert tpch._signature(spark, uri) != first
+
+
+def test_a_table_is_published_once(spark):
+    from indicata.sources import tpch
+
+    root = tempfile.mkdtemp(prefix="indicata-test-")
+    for name in ("a", "b"):
+        spark.range(3).write.parquet(f"{root}/{name}")
+    tpch._publish(spark, f"{root}/a", f"{root}/table")
+    tpch._publish(spark, f"{root}/b", f"{root}/table")   # the second writer keeps the first one's table
+    assert os.listdir(root) == ["table"] and spark.read.parquet(f"{root}/table").count() == 3
+
+
+def test_cluster_without_a_shared_folder_is_an_error():
+    from types import SimpleNamespace
+
+    from indicata.session import checkpoint_dir
+
+    context = SimpleNamespace(getCheckpointDir=lambda: None, master="spark://host:7077",
+                              getConf=lambda: SimpleNamespace(get=lambda key, default: default))
+    with pytest.raises(RuntimeError):
+        checkpoint_dir(SimpleNamespace(sparkContext=context))
+
+
+def test_first_pivot_follows_the_file_order(spark):
+    from indicata.plans.pivot import filter_pivot
+
+    d = tempfile.mkdtemp(prefix="indicata-test-")
+    rows = [("A", 2000, "I", float(v)) for v in (7, 3, 9, 1)]
+    spark.createDataFrame(rows, "country string, year int, indicator_label string, value double").coalesce(1) \
+        .write.parquet(f"{d}/t")
+    t = spark.read.parquet(f"{d}/t").where("value < 8").withColumn("extra", F.lit(1))
+    cols = ["country", "year", "indicator_label", "value"]
+    for frame in (t, t.repartition(3, "value")):
+        assert [tuple(r) for r in filter_pivot(frame, cols).collect()] == [("A", 2000, 7.0)]

@@ -13,7 +13,7 @@ def test_stream_counts_equal_batch(spark):
     path = obt_path(spark, SF_SMALL)
     schema = obt_raw(spark, SF_SMALL).schema
     name = "dm_" + uuid.uuid4().hex[:8]
-    q = datamap_stream(spark, path, schema, ["source", "database", "collection"], name,
+    q = datamap_stream(spark, path, schema, ["source", "database", "collection"], name, sink="memory",
                        max_files_per_trigger=1)
     try:
         q.processAllAvailable()
@@ -36,7 +36,7 @@ def test_stream_restart_keeps_state(spark):
     for attempt, half in enumerate(halves):
         table.where(half).write.mode("append").parquet(src)   # new files land
         name = f"dm_restart_{attempt}_" + uuid.uuid4().hex[:6]
-        q = datamap_stream(spark, src, table.schema, cols, name, checkpoint=ckpt)
+        q = datamap_stream(spark, src, table.schema, cols, name, sink="memory", checkpoint=ckpt)
         try:
             q.processAllAvailable()
             got = {tuple(r) for r in spark.table(name).collect()}
