@@ -20,9 +20,23 @@ def indicator_column(ind: str) -> str:
     return "indicator_code" if ind == "code" else "indicator_label"
 
 
+def _check_names(df: DataFrame, values: list) -> None:
+    """Reject indicators whose columns could not be told apart by name."""
+    exact = df.sparkSession.conf.get("spark.sql.caseSensitive") == "true"
+    seen: dict[str, str] = {c: c for c in INDEX}
+    for name in ("null" if v is None else str(v) for v in values):
+        key = name if exact else name.lower()
+        if key in seen:
+            raise ValueError(f"columns {seen[key]!r} and {name!r} have the same name in a wide table"
+                             + ("" if exact else " (set spark.sql.caseSensitive to tell case apart)")
+                             + "; the long form keeps them apart")
+        seen[key] = name
+
+
 def _pivot(df: DataFrame, ind_col: str, agg: Column, values: list | None) -> DataFrame:
     if values is None:
         values = distinct_values(df, ind_col)
+    _check_names(df, values)
     # An explicit value list: Spark runs no extra distinct job
     # and plans a two-phase aggregate (per index+indicator, then per index).
     return df.groupBy(*INDEX).pivot(ind_col, values).agg(agg)

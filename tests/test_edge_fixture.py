@@ -130,3 +130,21 @@ def test_pivot_roundtrip_first_values(edge):
 def test_bad_ind_rejected(edge):
     with pytest.raises(ValueError):
         pv.filter_pivot(edge, ["country", "year", "indicator_label", "value"], ind="name")
+
+
+@pytest.mark.parametrize("pair", [("GDP", "gdp"), (None, "null"), ("x", "Year")])
+def test_indicators_with_the_same_column_name_are_rejected(spark, pair):
+    df = spark.createDataFrame([("A", 2000, x, 1.0) for x in pair],
+                               "country string, year int, indicator_label string, value double")
+    with pytest.raises(ValueError, match="same name"):
+        pv.filter_pivot(df, ["country", "year", "indicator_label", "value"])
+
+
+def test_case_sensitive_sessions_keep_both_columns(spark):
+    df = spark.createDataFrame([("A", 2000, x, v) for x, v in (("GDP", 1.0), ("gdp", 2.0))],
+                               "country string, year int, indicator_label string, value double")
+    spark.conf.set("spark.sql.caseSensitive", "true")
+    try:
+        assert [tuple(r) for r in pv.src_tbl(df, "label").collect()] == [("A", 2000, 1.0, 2.0)]
+    finally:
+        spark.conf.unset("spark.sql.caseSensitive")
