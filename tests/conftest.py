@@ -8,8 +8,6 @@ sys.path.insert(0, ROOT)
 
 from indicata.session import build_session  # noqa: E402
 
-SF_SMALL = "/root/testdata/sf0.001"
-
 
 @pytest.fixture(scope="session")
 def spark():

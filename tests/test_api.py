@@ -3,7 +3,7 @@ from pyspark.errors import AnalysisException
 
 from indicata import api
 
-from conftest import SF_SMALL
+from support import SF_SMALL
 
 
 def test_inspect_and_observe(spark, edge):

@@ -70,7 +70,7 @@ def test_hot_group_is_split_by_the_range_partitioner(spark):
     from pyspark.sql import functions as F
 
     from indicata.sources.tpch import obt
-    from conftest import SF_SMALL
+    from support import SF_SMALL
 
     t = obt(spark, SF_SMALL)
     # a third of the observations become one group

@@ -6,7 +6,7 @@ from indicata import catalog
 from indicata.plans import coverage as cov
 from indicata.sources.tpch import obt
 
-from conftest import SF_SMALL
+from support import SF_SMALL
 
 
 def _plan(df):

@@ -8,7 +8,7 @@ from indicata.plans import metadata as meta
 from indicata.plans import stats as st
 from indicata.sources.tpch import obt
 
-from conftest import SF_SMALL
+from support import SF_SMALL
 
 
 def test_counts_sum_to_rows(spark):

@@ -8,7 +8,7 @@ import pytest
 
 import __spark_entry__ as E
 from indicata import catalog
-from conftest import SF_SMALL
+from support import SF_SMALL
 
 TABLES = ("region nation customer supplier part orders lineitem").split()
 

@@ -9,7 +9,7 @@ from indicata.plans import datamap as dm
 from indicata.plans import pivot as pv
 from indicata.sources.tpch import SEQ_COLUMN, obt
 
-from conftest import SF_SMALL
+from support import SF_SMALL
 
 INDEX = ["iso3", "country", "year", "indicator_label", "value"]
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from indicata.profile import ColumnProfile, DEFAULT_PROFILE
 from indicata.sources.parquet import classify, load_obt, write_csv
 
-from conftest import SF_SMALL
+from support import SF_SMALL
 
 
 def test_classify_requires_country_column(spark):

@@ -6,7 +6,7 @@ from indicata.plans import datamap as dm
 from indicata.sources.tpch import obt, obt_path, obt_raw
 from indicata.streaming import datamap_stream
 
-from conftest import SF_SMALL
+from support import SF_SMALL
 
 
 def test_stream_counts_equal_batch(spark):
