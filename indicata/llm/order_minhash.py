@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 from indicata.llm.common import cut
 
 #: Code points per k-mer (a power of two), k-mers per tuple, signatures.
-K, SELECT, SIGNATURES = 8, 2, 32
+K, SELECT, SIGNATURES = 8, 2, 64
 _COLUMNS = 1 << 14
 _POSITION_BITS = 20
 
@@ -105,8 +105,12 @@ def signatures(text: str) -> np.ndarray:
     return (out >> np.uint64(32)).astype(np.uint32)
 
 
+def _packed(signature: np.ndarray) -> bytes:
+    return signature.astype(">u4").tobytes()
+
+
 def as_text(signature: np.ndarray) -> str:
-    return signature.astype(">u4").tobytes().hex()
+    return _packed(signature).hex()
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
@@ -138,13 +142,13 @@ def _report(doc_id, text: str, own: np.ndarray, following: str, next_own: np.nda
     changed = edited(text, following)
     other = signatures(changed)
     return (doc_id, len(text), hashlib.sha256(changed.encode("utf-8", "surrogatepass")).hexdigest(),
-            as_text(own), as_text(other), likeness(own, other), likeness(own, next_own))
+            _packed(own), _packed(other), likeness(own, other), likeness(own, next_own))
 
 
 _REPORT = (("doc_id", T.LongType()), ("n_chars", T.LongType()), ("edited_sha256", T.StringType()),
-           ("fingerprint", T.StringType()), ("edited_fingerprint", T.StringType()),
+           ("fingerprint", T.BinaryType()), ("edited_fingerprint", T.BinaryType()),
            ("near_edited", T.DoubleType()), ("near_next", T.DoubleType()))
-_ARROW = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string(), "double": pa.float64()}
+_ARROW = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary": pa.binary(), "double": pa.float64()}
 
 
 def edit_report(docs: DataFrame) -> DataFrame:
@@ -196,4 +200,5 @@ def edit_report(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, _ARROW[f.dataType.simpleString()]) for c, f in zip(columns, schema)], names=names)
 
-    return inside.unionByName(ends.mapInArrow(finish, T.StructType(schema.fields[:7])))
+    out = inside.unionByName(ends.mapInArrow(finish, T.StructType(schema.fields[:7])))
+    return out.withColumns({c: F.lower(F.hex(c)) for c in ("fingerprint", "edited_fingerprint")})
