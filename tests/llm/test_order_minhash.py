@@ -82,6 +82,11 @@ def test_documents(spark):
     check(table(spark, "/root/testdata/sf0.001", "documents"))
 
 
+def test_edited_texts_are_nearer_than_the_next_document(spark):
+    rows = O.edit_report(table(spark, "/root/testdata/sf0.01", "documents")).collect()
+    assert sum(r["near_edited"] > r["near_next"] for r in rows) >= 0.98 * len(rows)
+
+
 def test_edges(odd_docs, no_docs):
     check(odd_docs)
     check(odd_docs.where("doc_id = 1"))
