@@ -10,7 +10,8 @@ presentation.  Branches of low importance are noise and are removed from each
 page; what their markup declares to be no article (navigation, forms, adverts,
 comments and so on) is of importance zero from the start, which is all there
 is to go by on hosts with few pages.  Where a page marks its article, the rest
-of the page goes too.
+of the page goes too.  A host may publish one article many times: branches
+that make up most of an article stay, however often they recur.
 
 The counts are ordinary aggregations keyed by (host, path, value), combined on
 the map side; a host with a third of all pages is spread over its values.  Only
@@ -190,9 +191,21 @@ def tree_rows(html: str) -> list[tuple[str, int, int]]:
 
 
 def main_text(html: str, noise: frozenset[str] = frozenset()) -> str:
-    """Blocks of the article joined by line feeds; ``noise`` are paths to leave out."""
+    """Blocks of the article joined by line feeds; ``noise`` are paths to leave out.
+
+    Paths that hold most of a marked article, or all of another page's text,
+    are low in entropy because the host repeats the article; they stay.
+    """
     root = parse(html)
     in_main = any(n.main and not n.noise for n in _nodes(root))
+    whole = _blocks(root, in_main, frozenset())
+    if not noise:
+        return whole
+    rest = _blocks(root, in_main, noise)
+    return whole if not rest or in_main and 2 * len(rest) < len(whole) else rest
+
+
+def _blocks(root: Node, in_main: bool, noise: frozenset[str]) -> str:
     blocks: list[str] = []
     now: list[str] = []
 

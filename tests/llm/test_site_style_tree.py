@@ -45,6 +45,18 @@ def test_tree_drops_what_repeats_on_a_host(spark):
     assert tree["/body/div.x1"]["pages"] == 8
 
 
+def test_an_article_that_a_host_repeats_stays(spark):
+    def page(i, story):
+        return (f"<nav>menu {i}</nav><article><h1>Page {i}</h1><p>{story}</p><p class='n'>Sign up.</p></article>"
+                f"<div>rest {i}</div>")
+    same = "The same long story, told on nearly every page of this host. " * 3
+    rows = [(i, f"http://copies.org/{i}", page(i, same)) for i in range(12)] + [(12, "http://copies.org/12", page(12, "Other."))]
+    rows += [(20 + i, f"http://mixed.org/{i}", page(i, f"Story {i}, " * 20)) for i in range(12)]
+    got = {r["page_id"]: r["text"] for r in S.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(same.strip() in got[i] for i in range(12))
+    assert all("Sign up" not in got[20 + i] and f"Story {i}," in got[20 + i] for i in range(12))
+
+
 def test_edges(spark):
     deep = "<div>" * 3000 + "deep" + "</div>" * 3000
     rows = [(1, None, None, "u"), (2, "x", "", "u"), (3, "http://a.b", "plain &amp; text", "u"), (4, "http://a.b", "<p>a<p>b</article>c", None),
