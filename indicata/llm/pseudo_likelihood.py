@@ -8,10 +8,11 @@ of their own, other forms share ``OTHERS`` hashed classes.
 
 The network adds one learned vector per place and class to a hidden layer
 (tanh) and maps that to a softmax over all classes, in numpy.  It learns from
-every document: in each of ``ROUNDS`` rounds every task trains a copy of the
-shared weights on every ``STRIDE``-th token of its rows, the starting place
-shifting by round, and the copies are averaged by a sum per weight, so the
-driver only ever holds one set of weights, whatever the input's size.
+every token of every document: the rounds take turns at a document's tokens
+(``turns``), each token is a target in one of them.  In a round every task
+trains a copy of the shared weights on its rows, and the copies are averaged
+by a sum per weight, so the driver only ever holds one set of weights, whatever
+the input's size.
 
 Edge cases: a null, empty or blank text has no tokens, log_likelihood 0 and
 per_token 0; places beyond the ends of a text are a class of their own;
@@ -35,11 +36,11 @@ from pyspark.sql import types as T
 from indicata.llm.common import slices
 
 WORDS, OTHERS, REACH, HIDDEN = 192, 64, 2, 32
-ROUNDS, STRIDE = 2, 16
+ROUNDS = 2
 CLASSES = WORDS + OTHERS
 _EDGE = CLASSES
 _SLICE_BYTES = 1 << 21
-_ROWS = 8192
+_ROWS = 1024
 _HELD_FORMS = 400_000
 
 
@@ -134,12 +135,18 @@ class Network:
         return np.tanh(h)
 
     def log_prob(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
-        z = self.hidden(context) @ self.out
-        z += self.bias
-        z -= z.max(1, keepdims=True)
+        z = self.logits(self.hidden(context))
         hit = z[np.arange(len(target)), target]
         return hit - np.log(np.exp(z, out=z).sum(1))
 
+    def logits(self, h: np.ndarray) -> np.ndarray:
+        """Rows are moved by their maximum only where float32 could overflow (``h`` is within -1 and 1)."""
+        z = h @ self.out
+        z += self.bias
+        if (np.abs(self.out).sum(0) + np.abs(self.bias)).max() > 60:
+            z -= z.max(1, keepdims=True)
+        return z
+
 
 def contexts(tokens: np.ndarray, starts: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Classes around the positions ``at``; places outside a position's text are ``_EDGE``."""
@@ -164,18 +171,15 @@ class _Trainer:
     def step(self, context: np.ndarray, target: np.ndarray) -> None:
         net = self.net
         h = net.hidden(context)
-        z = h @ net.out + net.bias
-        z -= z.max(1, keepdims=True)
+        z = net.logits(h)
         np.exp(z, out=z)
-        z /= z.sum(1, keepdims=True)
-        z[np.arange(len(target)), target] -= 1
-        z /= len(target)
+        z *= 1 / (z.sum(1, keepdims=True) * len(target))
+        z[np.arange(len(target)), target] -= np.float32(1 / len(target))
         dh = (z @ net.out.T) * (1 - h * h)
         place = np.zeros_like(net.place)
         for k in range(2 * REACH):
-            hot = np.zeros((CLASSES + 1, len(target)), np.float32)
-            hot[context[:, k], np.arange(len(target))] = 1
-            place[k] = hot @ dh
+            at = context[:, k, None] * HIDDEN + np.arange(HIDDEN)
+            np.add.at(place[k].reshape(-1), at.reshape(-1), dh.reshape(-1))
         self.t += 1
         c1, c2 = 1 - 0.9 ** self.t, 1 - 0.999 ** self.t
         for p, g, m, v in zip(net.parts, (place, dh.sum(0), h.T @ z, z.sum(0)), self.m, self.v):
@@ -192,8 +196,16 @@ def _batches(classes: Classes, batches: Iterable[pa.RecordBatch], column: int):
             yield batch.slice(i, j - i), *classes(texts.slice(i, j - i))
 
 
-def train(docs: DataFrame, text: str = "text", rounds: int = ROUNDS, stride: int = STRIDE,
-          batch_rows: int = 512) -> tuple[list[str], Network]:
+def turns(tokens: np.ndarray, starts: np.ndarray, rounds: int) -> np.ndarray:
+    """The round that trains on each token: in turn within a text, which starts at a hash of its tokens."""
+    n = np.diff(starts)
+    total = np.append(0, np.cumsum(tokens))
+    mixed = (total[starts[1:]] - total[starts[:-1]]).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    first = (mixed >> np.uint64(33)).astype(np.int64)
+    return (np.arange(tokens.size) + np.repeat(first - starts[:-1], n)) % rounds
+
+
+def train(docs: DataFrame, text: str = "text", rounds: int = ROUNDS, batch_rows: int = 512) -> tuple[list[str], Network]:
     """Vocabulary and weights learned from every row of ``docs``."""
     sc = docs.sparkSession.sparkContext
     rows = docs.select(F.col(text).cast("string").alias("t"))
@@ -211,7 +223,7 @@ def train(docs: DataFrame, text: str = "text", rounds: int = ROUNDS, stride: int
             own = shape.filled(flat)
             trainer, seen, left = _Trainer(own), 0, None
             for _, tokens, starts in _batches(Classes(own_words), batches, 0):
-                at = np.arange((turn * stride) // rounds, tokens.size, stride)
+                at = np.flatnonzero(turns(tokens, starts, rounds) == turn)
                 if not at.size:
                     continue
                 context, target = contexts(tokens, starts, at), tokens[at]

@@ -70,3 +70,15 @@ def test_edges(spark, odd_docs, no_docs):
         assert (got[i]["n_tokens"], got[i]["log_likelihood"], got[i]["per_token"]) == (0, 0, 0)
     assert got[5]["n_tokens"] == 150_000 and all(r["log_likelihood"] <= 0 for r in rows)
     assert P.score_corpus(no_docs).count() == 0
+
+
+def test_every_token_is_a_target_in_one_round():
+    rng = np.random.default_rng(3)
+    n = np.array([1, 0, 1, 2, 5, 8, 40, 3])
+    starts = np.append(0, np.cumsum(n))
+    tokens = rng.integers(0, P.CLASSES, starts[-1])
+    turn = P.turns(tokens, starts, P.ROUNDS)
+    assert set(turn) == set(range(P.ROUNDS))
+    for a, b in zip(starts[:-1], starts[1:]):
+        assert np.array_equal(turn[a:b], (turn[a:a + 1] + np.arange(b - a)) % P.ROUNDS)
+        assert np.array_equal(turn[a:b], P.turns(tokens[a:b], np.array([0, b - a]), P.ROUNDS))  # whatever the slice
