@@ -4,7 +4,13 @@ Each token is predicted from the ``REACH`` tokens on either side of it, itself
 left out; the document's score is the sum of these conditional log
 probabilities.  Tokens are white-space separated forms with A-Z lowered; the
 ``WORDS`` most frequent of the corpus (counted over all documents) are classes
-of their own, other forms share ``OTHERS`` hashed classes.
+of their own, other forms share ``OTHERS`` hashed classes.  A token's
+probability is that of its class in this context times that of its form within
+the class, which comes from the counts of all forms: those of at least one in
+``HELD`` tokens go to every task (at most ``HELD`` forms), the others stay a
+table and are joined by form, so the vocabulary has no limit and no key of the
+join is hot.  A form that was never counted is given the one count that each
+hashed class keeps free for such forms.
 
 The network adds one learned vector per place and class to a hidden layer
 (tanh) and maps that to a softmax over all classes, in numpy.  It learns from
@@ -22,6 +28,7 @@ rows; other columns are not read.
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
@@ -33,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from indicata.llm.common import slices
+from indicata.llm.common import slices, written
 
 WORDS, OTHERS, REACH, HIDDEN = 192, 64, 2, 32
 ROUNDS = 2
@@ -42,6 +49,8 @@ _EDGE = CLASSES
 _SLICE_BYTES = 1 << 21
 _ROWS = 1024
 _HELD_FORMS = 400_000
+#: A form with this share of all tokens, or more, is sent to every task with its count.
+HELD = 1 << 17
 
 
 def _split(texts: pa.Array) -> pa.ListArray:
@@ -72,13 +81,47 @@ def _count_forms(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield flush()
 
 
-def vocabulary(docs: DataFrame, text: str = "text", words: int = WORDS) -> list[tuple[str, int]]:
-    """The most frequent forms of all documents with their counts, and the count of the rest under ""."""
+def form_counts(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(form, n) of every form of all documents."""
     counts = (docs.select(F.col(text).cast("string").alias("t")).mapInArrow(_count_forms, "form string, n long")
               .groupBy("form").agg(F.sum("n").alias("n")))
-    top = counts.orderBy(F.col("n").desc(), "form").limit(words + 1)
-    rows = [(r["form"], r["n"]) for r in top.collect()]  # a bounded number of rows
-    return rows[:words]
+    return written(counts, "form-counts")
+
+
+def vocabulary(counts: DataFrame, words: int = WORDS) -> list[tuple[str, int]]:
+    """The most frequent forms with their counts."""
+    top = counts.orderBy(F.col("n").desc(), "form").limit(words)
+    return [(r["form"], r["n"]) for r in top.collect()]  # a bounded number of rows
+
+
+def class_counts(counts: DataFrame, top: list[tuple[str, int]]) -> np.ndarray:
+    """Tokens of each class, counted."""
+    out = np.zeros(CLASSES)
+    for r in counts.groupBy((F.crc32("form") % OTHERS).alias("c")).agg(F.sum("n").alias("n")).collect():
+        out[WORDS + r["c"]] = r["n"]
+    for i, (form, n) in enumerate(top):
+        out[i] = n
+        out[_hashed(form)] -= n
+    return out
+
+
+@dataclass
+class Forms:
+    """Counts of all forms: the table, the frequent ones, and those of the classes."""
+
+    counts: DataFrame
+    held: dict[str, int]
+    of_class: np.ndarray
+
+    @classmethod
+    def of(cls, counts: DataFrame, held: int = HELD) -> "Forms":
+        of_class = class_counts(counts, vocabulary(counts))
+        least = max(1, math.ceil(of_class.sum() / held))  # so there are ``held`` such forms at most
+        return cls(counts, {r["form"]: r["n"] for r in counts.where(F.col("n") >= least).collect()}, of_class)
+
+
+def _hashed(form: str) -> int:
+    return WORDS + zlib.crc32(form.encode()) % OTHERS
 
 
 class Classes:
@@ -89,15 +132,20 @@ class Classes:
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(classes of all tokens in a row, where each text's tokens start, and the end)."""
+        return self.coded(texts)[:2]
+
+    def coded(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array, np.ndarray, np.ndarray]:
+        """Classes and starts; the distinct forms, their classes, and the number of each token's form among them."""
         split = _split(texts)
         coded = split.flatten().dictionary_encode()
         known = self.known
-        of_form = np.array([-1 if not f else known[f] if f in known else WORDS + zlib.crc32(f.encode()) % OTHERS
+        of_form = np.array([-1 if not f else known[f] if f in known else _hashed(f)
                             for f in coded.dictionary.to_pylist()], np.int64)
-        every = of_form[coded.indices.to_numpy()] if len(coded) else np.zeros(0, np.int64)
+        at = coded.indices.to_numpy().astype(np.int64) if len(coded) else np.zeros(0, np.int64)
+        every = of_form[at]
         real = every >= 0
         ends = np.append(0, np.cumsum(real))[split.offsets.to_numpy() - split.offsets[0].as_py()]
-        return every[real], ends
+        return every[real], ends, coded.dictionary, of_form, at[real]
 
 
 @dataclass
@@ -205,16 +253,15 @@ def turns(tokens: np.ndarray, starts: np.ndarray, rounds: int) -> np.ndarray:
     return (np.arange(tokens.size) + np.repeat(first - starts[:-1], n)) % rounds
 
 
-def train(docs: DataFrame, text: str = "text", rounds: int = ROUNDS, batch_rows: int = 512) -> tuple[list[str], Network]:
-    """Vocabulary and weights learned from every row of ``docs``."""
+def train(docs: DataFrame, text: str = "text", rounds: int = ROUNDS, batch_rows: int = 512,
+          counts: DataFrame | None = None) -> tuple[list[str], Network]:
+    """Vocabulary and weights learned from every row of ``docs``; ``counts`` are their ``form_counts``."""
     sc = docs.sparkSession.sparkContext
     rows = docs.select(F.col(text).cast("string").alias("t"))
-    top = vocabulary(docs, text)
+    counts = form_counts(docs, text) if counts is None else counts
+    top = vocabulary(counts)
     words = [w for w, _ in top]
-    counts = np.ones(CLASSES)
-    counts[:len(top)] = [n for _, n in top]
-    counts[WORDS:] = max(1.0, counts[:WORDS].sum() / OTHERS)
-    net = Network.start(counts)
+    net = Network.start(class_counts(counts, top))
     for turn in range(rounds):
         sent = sc.broadcast((words, net.flat()))
 
@@ -251,29 +298,60 @@ def train(docs: DataFrame, text: str = "text", rounds: int = ROUNDS, batch_rows:
     return words, net
 
 
-def score(docs: DataFrame, words: list[str], net: Network, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_tokens, log_likelihood, per_token of every row."""
+def _form_logs(forms: list[str], classes: np.ndarray, held: dict[str, int], of_class: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(log share of each form in its class, whether its count is still missing from that)."""
+    n = np.array([held.get(f, 0) for f in forms], np.int64)
+    shared = classes >= WORDS
+    logs = np.where(shared, np.log(np.maximum(n, 1)) - np.log(of_class[classes] + 1), 0.0)
+    return logs, shared & (n == 0)
+
+
+def score(docs: DataFrame, words: list[str], net: Network, id_col: str = "doc_id", text: str = "text",
+          forms: Forms | None = None) -> DataFrame:
+    """doc_id, n_tokens, log_likelihood, per_token of every row; without ``forms`` that of the classes alone."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text).cast("string").alias("t"))
-    sent = docs.sparkSession.sparkContext.broadcast((words, net))
+    sent = docs.sparkSession.sparkContext.broadcast((words, net, forms and (forms.held, forms.of_class)))
     schema = T.StructType([rows.schema["doc_id"], T.StructField("n_tokens", T.LongType()),
-                           T.StructField("log_likelihood", T.DoubleType()), T.StructField("per_token", T.DoubleType())])
+                           T.StructField("log_likelihood", T.DoubleType()),
+                           T.StructField("rest", T.ArrayType(T.StringType()))])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own_words, own = sent.value
-        for part, tokens, starts in _batches(Classes(own_words), batches, 1):
-            each = np.zeros(tokens.size + 1)
-            for i in range(0, tokens.size, _ROWS):
-                at = np.arange(i, min(i + _ROWS, tokens.size))
-                each[at] = own.log_prob(contexts(tokens, starts, at), tokens[at])
-            n = np.diff(starts)
-            total = np.where(n > 0, np.add.reduceat(each, starts[:-1]), 0.0)
-            yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array(n.astype(np.int64)), pa.array(total), pa.array(total / np.maximum(n, 1))],
-                names=["doc_id", "n_tokens", "log_likelihood", "per_token"])
-
-    return rows.mapInArrow(run, schema)
+        own_words, own, own_forms = sent.value
+        classes = Classes(own_words)
+        for batch in batches:
+            texts = pc.fill_null(batch.column(1), "")
+            for a, b in slices(pc.binary_length(texts).to_pylist(), _SLICE_BYTES):
+                tokens, starts, distinct, of_form, at_form = classes.coded(texts.slice(a, b - a))
+                each = np.zeros(tokens.size + 1)
+                for i in range(0, tokens.size, _ROWS):
+                    at = np.arange(i, min(i + _ROWS, tokens.size))
+                    each[at] = own.log_prob(contexts(tokens, starts, at), tokens[at])
+                rest, cuts = np.zeros(0, np.int64), np.zeros(b - a + 1, np.int64)
+                if own_forms and tokens.size:
+                    logs, missing = _form_logs(distinct.to_pylist(), of_form, *own_forms)
+                    each[:-1] += logs[at_form]
+                    rest = at_form[missing[at_form]]
+                    cuts = np.append(0, np.cumsum(missing[at_form]))[starts]
+                n = np.diff(starts)
+                total = np.where(n > 0, np.add.reduceat(each, starts[:-1]), 0.0)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(a, b - a), pa.array(n.astype(np.int64)), pa.array(total),
+                     pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), distinct.take(pa.array(rest)).cast(pa.string()))],
+                    names=["doc_id", "n_tokens", "log_likelihood", "rest"])
+
+    scored = rows.mapInArrow(run, schema)
+    if forms:
+        # a written row keeps its number, whatever task reads it
+        scored = written(scored.withColumn("row", F.monotonically_increasing_id()), "class-scores")
+        more = (scored.select("row", F.explode("rest").alias("form")).join(forms.counts, "form")
+                .groupBy("row").agg(F.sum(F.log("n")).alias("more")))
+        scored = scored.drop("rest").join(more, "row", "left").withColumn(
+            "log_likelihood", F.col("log_likelihood") + F.coalesce("more", F.lit(0.0)))
+    return scored.select("doc_id", "n_tokens", "log_likelihood",
+                         (F.col("log_likelihood") / F.greatest("n_tokens", F.lit(1))).alias("per_token"))
 
 
 def score_corpus(docs: DataFrame) -> DataFrame:
-    """Every row of ``docs`` scored by a network learned from all of them."""
-    return score(docs, *train(docs))
+    """Every row of ``docs`` scored by a network and form counts learned from all of them."""
+    counts = form_counts(docs)
+    return score(docs, *train(docs, counts=counts), forms=Forms.of(counts))

@@ -1,4 +1,5 @@
 import math
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -72,6 +73,32 @@ def test_edges(spark, odd_docs, no_docs):
     assert P.score_corpus(no_docs).count() == 0
 
 
+def test_forms_of_a_hashed_class_are_told_apart(spark):
+    by_class = {}
+    for i in range(2000):
+        by_class.setdefault(zlib.crc32(f"f{i}".encode()) % P.OTHERS, []).append(f"f{i}")
+    often, rare, never = max(by_class.values(), key=len)[:3]
+    top = " ".join(f"w{i}" for i in range(P.WORDS)) + " "
+    docs = spark.createDataFrame(
+        [(0, top * 60), (1, f"{often} " * 50), (2, rare), (3, often), (4, f"w1 {rare} w2 {often}")], "doc_id long, text string")
+    counts = P.form_counts(docs)
+    words, net = P.train(docs, counts=counts)
+    assert often not in words and rare not in words
+    # the classes' start is what was counted: one hashed class has 54 tokens, the others none
+    shared = P.class_counts(counts, P.vocabulary(counts))[P.WORDS:]
+    assert shared.sum() == shared.max() == 54
+    new = docs.unionByName(spark.createDataFrame([(5, never)], docs.schema))
+    plain = {r["doc_id"]: r for r in P.score(new, words, net).collect()}
+    few = P.Forms.of(counts, held=20)  # no form is sent along, all are joined
+    assert not few.held and often in P.Forms.of(counts).held
+    for forms in (few, P.Forms.of(counts)):
+        full = {r["doc_id"]: r for r in P.score(new, words, net, forms=forms).collect()}
+        more = {i: full[i]["log_likelihood"] - plain[i]["log_likelihood"] for i in full}
+        one, many = math.log(2 / 55), math.log(52 / 55)
+        want = {0: 0, 1: 50 * many, 2: one, 3: many, 4: one + many, 5: math.log(1 / 55)}
+        assert all(abs(more[i] - want[i]) < 1e-4 for i in want), more
+
+
 def test_every_token_is_a_target_in_one_round():
     rng = np.random.default_rng(3)
     n = np.array([1, 0, 1, 2, 5, 8, 40, 3])
