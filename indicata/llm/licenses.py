@@ -1,9 +1,11 @@
 """License scan by sentence rules, in DataFrame functions only.
 
-A text is cut into sentences at line feeds and after ``. ; : ! ?`` before white
-space; each sentence is lower-cased and everything but a-z and 0-9 becomes one
-space.  Sentences found in the table of known license sentences become their
-identifiers; a rule names a license and the identifiers it needs in this order
+A text is cut after ``. ; : ! ?`` before white space and at lines without a
+letter or digit; a single line feed may end a sentence or lie inside it, so a
+sentence is found however it is wrapped.  The text is lower-cased, marks of
+comments at the start of lines go and everything but a-z and 0-9 becomes one
+space.  Known license sentences that reach from one cut or line feed to
+another become their identifiers, the longest where several start at one place; a rule names a license and the identifiers it needs in this order
 (others may lie between).  Only texts with one of the ``ANCHORS`` are cut at
 all, which loses nothing: every known sentence holds one inside a word, and
 ``sentence_table`` checks that.
@@ -69,6 +71,10 @@ RULES = [
 ]
 ANCHORS = ("licens", "permission", "permitted", "warrant", "redistribut", "copyright", "free software")
 
+#: Stands for the end of a sentence.
+_CUT = "\x01"
+_COMMENT = r"(^|\n)[ \t]*(?:[#*/;%!>|-]+|dnl|rem)(?=[ \t\n])"
+
 
 def normal(sentence: str) -> str:
     return re.sub("[^a-z0-9]+", " ", sentence.lower()).strip()
@@ -92,13 +98,16 @@ def rule_pattern(needed: list[str]) -> str:
 def sentence_ids(text: Column, sentences: dict[str, str] = SENTENCES) -> Column:
     """Identifiers of the known sentences of ``text``, in text order."""
     low = F.lower(text)
-    has_anchor = low.contains(ANCHORS[0])
-    for a in ANCHORS[1:]:
-        has_anchor = has_anchor | low.contains(a)
-    known = F.create_map(*[F.lit(v) for pair in sentence_table(sentences).items() for v in pair])
-    cut = F.split(F.regexp_replace(low, r"([.;:!?])[ \t\f\r]+", "$1\n"), "\n")
-    clean = F.transform(cut, lambda s: F.trim(F.regexp_replace(s, "[^a-z0-9]+", " ")))
-    ids = F.filter(F.transform(clean, lambda s: F.try_element_at(known, s)), lambda i: i.isNotNull())
+    has_anchor = low.rlike("|".join(a.replace(" ", "[^a-z0-9]+") for a in ANCHORS))
+    table = sentence_table(sentences)
+    known = F.create_map(*[F.lit(v) for pair in table.items() for v in pair])
+    line = F.regexp_replace(F.translate(low, _CUT, " "), _COMMENT, "$1")
+    line = F.regexp_replace(line, r"([.;:!?])[ \t\f\r\n]+", f"$1{_CUT}")
+    line = F.regexp_replace(line, rf"\n[^a-z0-9\n{_CUT}]*(?=\n)", _CUT)
+    line = F.regexp_replace(F.regexp_replace(line, rf"[^a-z0-9\n{_CUT}]+", " "), rf" ?([\n{_CUT}]) ?", "$1")
+    by_length = "|".join(sorted(table, key=len, reverse=True)).replace(" ", r"[ \n]")
+    found = F.regexp_extract_all(F.trim(line), F.lit(rf"(?<![^\n{_CUT}])(?:{by_length})(?![^\n{_CUT}])"), F.lit(0))
+    ids = F.transform(found, lambda s: F.try_element_at(known, F.translate(s, "\n", " ")))
     return F.when(has_anchor, ids).otherwise(F.array().cast("array<string>"))
 
 

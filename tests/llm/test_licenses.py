@@ -1,3 +1,5 @@
+import textwrap
+
 import duckdb
 import pytest
 from indicata.llm import licenses as L
@@ -49,3 +51,25 @@ def test_edges(spark, odd_docs, no_docs):
 def test_plan_is_native(spark):
     plan = L.scan(table(spark, "/root/testdata/sf0.001", "documents"))._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Python" not in plan and "Join" not in plan
+
+
+def test_wrapped_licenses(spark):
+    needs = [("Apache-2.0", ["apache-notice", "apache-comply", "apache-copy", "apache-asis", "apache-see"]),
+             ("MIT", ["mit-grant", "mit-keep", "mit-asis"]), ("ISC", ["isc-grant"]),
+             ("BSD-3-Clause", ["bsd-grant", "bsd-source", "bsd-binary", "bsd-name"]),
+             ("GPL-3.0", ["gpl-free", "gpl-version", "gpl-hope", "gpl-more"])]
+    rows, want = [], {}
+    for name, ids in needs:
+        for width in (20, 72):
+            for prefix, feed in (("", "\n"), ("# ", "\n"), (" * ", "\r\n"), ("// ", "\n"), (";; ", "\n"), ("dnl ", "\n")):
+                whole = [textwrap.wrap(L.SENTENCES[i], width, break_long_words=False, break_on_hyphens=False) for i in ids]
+                text = feed.join(prefix + line for part in [["Some title"], [""], *whole, ["the end"]] for line in part)
+                want[len(rows)] = (name, ",".join(ids))
+                rows.append((len(rows), text))
+    # a blank line or a mark ends a sentence; "free" and "software" may be on two lines
+    rows += [(1000, L.SENTENCES["isc-grant"].replace("any purpose", "any\n#\npurpose")),
+             (1001, "This program is free\nsoftware:"), (1002, L.SENTENCES["isc-grant"].replace("any purpose", "any. purpose"))]
+    got = {r["doc_id"]: r for r in L.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, (name, ids) in want.items():
+        assert name in got[i]["licenses"].split(",") and got[i]["sentences"] == ids, (rows[i][1], got[i])
+    assert [got[i]["sentences"] for i in (1000, 1001, 1002)] == ["", "gpl-free", ""]
