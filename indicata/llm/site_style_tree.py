@@ -7,7 +7,7 @@ of child elements (presentation) and each text below it (content) occurs.
 Entropy to the base of the page count turns that into importance between 0
 (the same on every page) and 1 (different on each), and content outweighs
 presentation.  Branches of low importance are noise and are removed from each
-page; what their markup declares to be no article (navigation, forms, adverts,
+page, if the page's own content there is frequent on the host; what their markup declares to be no article (navigation, forms, adverts,
 comments and so on) is of importance zero from the start, which is all there
 is to go by on hosts with few pages.  Where a page marks its article, the rest
 of the page goes too.  A host may publish one article many times: branches
@@ -42,6 +42,8 @@ MIN_PAGES = 4
 CONTENT_SHARE, THRESHOLD = 0.9, 0.3
 #: Paths of a page beyond this depth are counted with their ancestor.
 MAX_DEPTH = 24
+#: A path's content is frequent from this share of the path's pages on (two pages at least).
+FREQUENT = 0.01
 
 BLOCKS = frozenset("""address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption
 figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol p pre section summary table tbody td
@@ -171,13 +173,19 @@ def _hash(text: str) -> int:
     return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
 
 
+def _texts(order: list[Node]) -> dict[int, str]:
+    """Text below each of ``order``, parents before children."""
+    text: dict[int, str] = {}
+    for n in reversed(order):
+        text[id(n)] = " ".join(" ".join(p if isinstance(p, str) else text.get(id(p), "") for p in n.parts).split())
+    return text
+
+
 def tree_rows(html: str) -> list[tuple[str, int, int]]:
     """(path, hash of its child elements, hash of the text below it) once per path of the page."""
     root = parse(html)
     order = [n for n in _nodes(root) if not n.noise and n.path]
-    text: dict[int, str] = {}
-    for n in reversed(order):
-        text[id(n)] = " ".join(" ".join(p if isinstance(p, str) else text.get(id(p), "") for p in n.parts).split())
+    text = _texts(order)
     by_path: dict[str, list[Node]] = {}
     for n in order:
         by_path.setdefault(n.path, []).append(n)
@@ -190,8 +198,26 @@ def tree_rows(html: str) -> list[tuple[str, int, int]]:
     return out
 
 
-def main_text(html: str, noise: frozenset[str] = frozenset()) -> str:
-    """Blocks of the article joined by line feeds; ``noise`` are paths to leave out.
+def _repeated(root: Node, noise: frozenset[tuple[str, int]]) -> frozenset[str]:
+    """The paths of ``noise`` whose content on this page is one of theirs in ``noise``."""
+    paths = {p for p, _ in noise}
+    order, todo = [], [(root, False)]
+    while todo:
+        node, inside = todo.pop()
+        inside = inside or node.path in paths
+        if inside and not node.noise:
+            order.append(node)
+        todo += [(p, inside) for p in reversed(node.parts) if isinstance(p, Node)]
+    text = _texts(order)
+    by_path: dict[str, list[str]] = {}
+    for n in order:
+        if n.path in paths:
+            by_path.setdefault(n.path, []).append(text[id(n)])
+    return frozenset(p for p, parts in by_path.items() if (p, _hash("\n".join(parts))) in noise)
+
+
+def main_text(html: str, noise: frozenset[tuple[str, int]] = frozenset()) -> str:
+    """Blocks of the article joined by line feeds; ``noise`` are (path, hash of its text) to leave out.
 
     Paths that hold most of a marked article, or all of another page's text,
     are low in entropy because the host repeats the article; they stay.
@@ -201,7 +227,7 @@ def main_text(html: str, noise: frozenset[str] = frozenset()) -> str:
     whole = _blocks(root, in_main, frozenset())
     if not noise:
         return whole
-    rest = _blocks(root, in_main, noise)
+    rest = _blocks(root, in_main, _repeated(root, noise))
     return whole if not rest or in_main and 2 * len(rest) < len(whole) else rest
 
 
@@ -236,8 +262,8 @@ def host(url):
     return F.coalesce(F.lower(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]*)", 1)), F.lit(""))
 
 
-def style_tree(pages: DataFrame) -> DataFrame:
-    """(host, path, pages, importance) of the merged trees; ``pages`` has host and html."""
+def tree_counts(pages: DataFrame) -> DataFrame:
+    """(host, path, kind, value, n) of the merged trees; ``pages`` has host and html."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -251,8 +277,16 @@ def style_tree(pages: DataFrame) -> DataFrame:
             .mapInArrow(run, "host string, page long, path string, shape long, content long").distinct())
     kinds = F.explode(F.array(F.struct(F.lit("shape").alias("kind"), F.col("shape").alias("value")),
                               F.struct(F.lit("content").alias("kind"), F.col("content").alias("value"))))
-    counts = (rows.select("host", "path", kinds.alias("k")).groupBy("host", "path", "k.kind", "k.value")
-              .agg(F.count("*").cast("double").alias("n")))
+    return (rows.select("host", "path", kinds.alias("k")).groupBy("host", "path", "k.kind", "k.value")
+            .agg(F.count("*").cast("double").alias("n")))
+
+
+def style_tree(pages: DataFrame) -> DataFrame:
+    """(host, path, pages, importance) of the merged trees; ``pages`` has host and html."""
+    return importances(tree_counts(pages))
+
+
+def importances(counts: DataFrame) -> DataFrame:
     # entropy from two sums: H = log m - sum(n log n) / m, divided by log m
     sums = counts.groupBy("host", "path", "kind").agg(
         F.sum("n").alias("m"), F.sum(F.col("n") * F.log("n")).alias("w"))
@@ -266,15 +300,17 @@ def extract(pages: DataFrame, id_col: str = "page_id", url: str = "url", html: s
     """page_id, url, text, n_chars of every row."""
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url).alias("url"), F.col(html).cast("string").alias("html"),
                         host(F.col(url).cast("string")).alias("host"))
+    counts = written(tree_counts(rows), "style-counts")
+    low = importances(counts).where((F.col("pages") >= MIN_PAGES) & (F.col("importance") < THRESHOLD)).drop("importance")
+    often = counts.where("kind = 'content' and n >= 2").join(low, ["host", "path"]).where(F.col("n") >= FREQUENT * F.col("pages"))
     noise = written(
-        style_tree(rows).where((F.col("pages") >= MIN_PAGES) & (F.col("importance") < THRESHOLD))
-        .groupBy("host").agg(F.collect_list("path").alias("noise")), "style-noise")
+        often.groupBy("host").agg(F.collect_list(F.struct("path", "value")).alias("noise")), "style-noise")
     fields = {f.name: f.dataType.simpleString() for f in rows.schema}
     schema = f"page_id {fields['page_id']}, url {fields['url']}, text string, n_chars long"
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            text = [main_text(h or "", frozenset(n or ()))
+            text = [main_text(h or "", frozenset((x["path"], x["value"]) for x in n or ()))
                     for h, n in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(text, pa.string()),

@@ -68,3 +68,16 @@ def test_edges(spark):
     assert got[4] == "a\nbc" and len(got[7]) == 999_999
     assert S.extract(df).count() == len(rows)
     assert S.extract(df.where("false")).count() == 0
+
+
+def test_a_unique_page_of_a_host_that_repeats_a_story_stays(spark):
+    def page(i, story, open_, close):
+        return f"<div class='top'>menu {i % 5}</div>{open_}<h1>Page</h1><p>{story}</p>{close}<div class='by'>by author {i}</div>"
+    same = "The same long story, told on nearly every page of this host. " * 3
+    rows = []
+    for h, (open_, close) in enumerate((("<article>", "</article>"), ("<div class='x'>", "</div>"))):
+        rows += [(100 * h + i, f"http://copies{h}.org/{i}", page(i, same if i < 40 else f"Own story {i}. " * 9, open_, close))
+                 for i in range(43)]
+    got = {r["page_id"]: r["text"] for r in S.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(f"Own story {i}." in got[100 * h + i] for h in (0, 1) for i in (40, 41, 42)), got
+    assert all(same.strip() in got[i] for i in range(40))
