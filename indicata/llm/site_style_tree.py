@@ -9,7 +9,8 @@ Entropy to the base of the page count turns that into importance between 0
 presentation.  Branches of low importance are noise and are removed from each
 page, if the page's own content there is frequent on the host; what their markup declares to be no article (navigation, forms, adverts,
 comments and so on) is of importance zero from the start, which is all there
-is to go by on hosts with few pages.  Where a page marks its article, the rest
+is to go by on hosts with few pages.  A class or id declares it only for a
+branch that holds neither the marked article nor most of the page's text.  Where a page marks its article, the rest
 of the page goes too.  A host may publish one article many times: branches
 that make up most of an article stay, however often they recur.
 
@@ -65,15 +66,27 @@ _MAIN_ROLES = frozenset(("main", "article"))
 
 
 class Node:
-    __slots__ = ("tag", "path", "parts", "noise", "main", "depth")
+    __slots__ = ("tag", "path", "parts", "noise", "main", "depth", "named")
 
-    def __init__(self, tag: str, path: str, noise: bool, main: bool, depth: int):
+    def __init__(self, tag: str, path: str, noise: bool, main: bool, depth: int, named: bool = False):
+        self.named = named  # its class or id has a word of noise
         self.tag, self.path, self.noise, self.main, self.depth = tag, path, noise, main, depth
         self.parts: list = []  # text pieces and child nodes in page order
 
 
-def _words(value: str) -> list[str]:
-    return value.lower().replace("-", " ").replace("_", " ").replace(":", " ").split()
+#: Before a word they say whether the rest of the page has such a part.
+_ABOUT = frozenset("no has have with without".split())
+
+
+def _noise_name(tag: str, attrs: dict, inside_main: bool) -> bool:
+    """Whether a class or the id is a word of noise or ends in one."""
+    if tag in ("html", "body", "main", "article"):
+        return False
+    for name in f"{attrs.get('class') or ''} {attrs.get('id') or ''}".lower().split():
+        parts = name.replace("_", "-").replace(":", "-").strip("-").split("-")
+        if parts[0] not in _ABOUT and (parts[-1] in _NOISE_WORDS or parts[-1] == "header" and not inside_main):
+            return True
+    return False
 
 
 def _declared_noise(tag: str, attrs: dict, inside_main: bool) -> bool:
@@ -83,12 +96,7 @@ def _declared_noise(tag: str, attrs: dict, inside_main: bool) -> bool:
         return True
     if (attrs.get("role") or "").lower() in _NOISE_ROLES:
         return True
-    if "display:none" in (attrs.get("style") or "").replace(" ", "").lower():
-        return True
-    if tag in ("html", "body", "main", "article"):
-        return False
-    names = _words(f"{attrs.get('class') or ''} {attrs.get('id') or ''}")
-    return any(w in _NOISE_WORDS for w in names) or "header" in names and not inside_main
+    return "display:none" in (attrs.get("style") or "").replace(" ", "").lower()
 
 
 class _Builder(HTMLParser):
@@ -120,12 +128,13 @@ class _Builder(HTMLParser):
             return
         parent = self.open[-1]
         noise = parent.noise or _declared_noise(tag, named, parent.main)
-        if tag not in BLOCKS and tag not in DROPPED and not noise:
+        by_name = _noise_name(tag, named, parent.main)
+        if tag not in BLOCKS and tag not in DROPPED and not noise and not by_name:
             return
         main = parent.main or tag in ("article", "main") or (named.get("role") or "").lower() in _MAIN_ROLES
         step = tag + "".join(f".{w}" for w in sorted(set((named.get("class") or "").split())))
         path = f"{parent.path}/{step}" if parent.depth < MAX_DEPTH else parent.path
-        node = Node(tag, path, noise, main, parent.depth + 1)
+        node = Node(tag, path, noise, main, parent.depth + 1, by_name)
         parent.parts.append(node)
         self.open.append(node)
 
@@ -158,6 +167,7 @@ def parse(html: str) -> Node:
     builder = _Builder()
     builder.feed(html)
     builder.close()
+    _settle(builder.root)
     return builder.root
 
 
@@ -169,6 +179,26 @@ def _nodes(root: Node) -> Iterator[Node]:
         todo += [p for p in reversed(node.parts) if isinstance(p, Node)]
 
 
+def _settle(root: Node) -> None:
+    """Branches of a noisy name become noise unless they hold the marked article or most of the text."""
+    order = list(_nodes(root))
+    if not any(n.named and not n.noise for n in order):
+        return
+    size: dict[int, int] = {}
+    main: dict[int, bool] = {}
+    for n in reversed(order):
+        below = [p for p in n.parts if isinstance(p, Node) and not p.noise]
+        size[id(n)] = sum(len("".join(p.split())) for p in n.parts if isinstance(p, str)) + sum(size[id(p)] for p in below)
+        main[id(n)] = any(p.main and not n.main or main[id(p)] for p in below)
+    for n in order:  # parents come first
+        if n.named and not main[id(n)] and 2 * size[id(n)] <= size[id(root)]:
+            n.noise = True
+        if n.noise:
+            for p in n.parts:
+                if isinstance(p, Node):
+                    p.noise = True
+
+
 def _hash(text: str) -> int:
     return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
 

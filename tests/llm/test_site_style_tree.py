@@ -81,3 +81,11 @@ def test_a_unique_page_of_a_host_that_repeats_a_story_stays(spark):
     got = {r["page_id"]: r["text"] for r in S.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert all(f"Own story {i}." in got[100 * h + i] for h in (0, 1) for i in (40, 41, 42)), got
     assert all(same.strip() in got[i] for i in range(40))
+
+
+def test_a_wrapper_is_no_noise_for_a_word_in_its_class():
+    for name in ("class='content no-sidebar'", "class='site has-sidebar'", "class='post with-comments'", "class='menu-open'",
+                 "id='search-results'", "class='page comments'"):
+        for story in ("<article><p>The story.</p></article>", "<p>The story is long enough.</p>"):
+            page = f"<body><div {name}>{story}</div><div class='side sidebar'>links</div><div id='cookie-notice'>ok?</div></body>"
+            assert S.main_text(page) == story.replace("<article>", "").replace("</article>", "")[3:-4], (name, story)
