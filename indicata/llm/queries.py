@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from indicata.llm import licenses
+from indicata.llm import collocations, lexical_search, licenses, repeats
 from indicata.llm.common import table
 from indicata.llm.language_id import language_id
 from indicata.llm.neighbours import nearest_vectors
@@ -69,12 +69,29 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_documents(table(spark, sf_dir, "documents"))
 
 
+def op11_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of every document that an earlier one has too, 50 at least in a row."""
+    return repeats.repeats_report(table(spark, sf_dir, "documents"))
+
+
+def op12_prefix_free_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Collocations of every language."""
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten best documents of every benchmark item."""
+    return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_sentencepiece, op2_license_scan, op3_language_id, op4_pii, op5_learned_partitions,
         op6_pseudo_likelihood, op7_site_style_tree, op8_simhash_near_dedup, op9_order_minhash,
-        op10_best_fit_packing)}
+        op10_best_fit_packing, op11_suffix_array_dedup, op12_prefix_free_phrases, op13_lexical_search)}
 
 #: The other operators learn, hash or tokenise outside SQL; tests/llm holds
 #: them against brute force.
-ORACLE: dict[str, str] = {"op2_license_scan": licenses.oracle()}
+ORACLE: dict[str, str] = {
+    "op2_license_scan": licenses.oracle(), "op11_suffix_array_dedup": repeats.oracle(),
+    "op12_prefix_free_phrases": collocations.oracle(), "op13_lexical_search": lexical_search.oracle()}
