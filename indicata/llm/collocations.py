@@ -34,22 +34,23 @@ longs; the score is computed in 38 digits.
 from __future__ import annotations
 
 import json
-import re
 from collections.abc import Iterable, Iterator
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from indicata.llm import key_exchange as kx
-from indicata.llm.common import importable, written
+from indicata.llm import words
+from indicata.llm.common import importable, slices, written
 
 # What ends a piece and what separates words.
-PIECE_END, BLANK = "[.,;:!?\\n-\\r]", "[ \\t]"
+PIECE_END, BLANK = b".,;:!?\n\v\f\r", b" \t"
 
 LONGEST = 5
 MIN_COUNT = 100
@@ -61,65 +62,44 @@ UNKNOWN = "und"
 #: One word in so many begins a chunk.
 PERIOD = 16
 SHARD_WORDS = 1 << 20
-#: Chunks that a task folds before it passes them on.
-_FOLD_CHUNKS, _FOLD_CHARS = 1 << 17, 1 << 24
+#: Phrases named in one batch.
+_BATCH = 1 << 17
 #: Salts of the first ranking step.
 _SALTS = 64
 
-_ENDS, _LOWER = re.compile(PIECE_END), {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
-_SHARDS = "shard long, langs string, words binary, word_lang binary, tokens binary, size binary, own binary, times binary"
+#: Buffers as wanted: what ends a piece is a line feed, what separates words a blank.
+_BYTES = words.table(PIECE_END, b"\n", words.table(BLANK, b" "))
+_SHARDS = "shard long, langs string, words binary, word_lang binary, hashes binary, tokens binary, size binary, own binary, times binary"
 #: Sequence lengths that each round counts.
 ROUNDS = ((1,), (2,), tuple(range(3, LONGEST + 1)))
 
 
-def pieces(text: str | None) -> Iterator[list[str]]:
-    """The words of each piece of a text, A-Z lower-cased."""
-    for piece in _ENDS.split(text.translate(_LOWER)) if text else ():
-        words = [w for w in piece.replace("\t", " ").split(" ") if w]
-        if words:
-            yield words
-
-
-def chunks(words: list[str], begins: dict[str, bool]) -> Iterator[tuple[int, str]]:
-    """(number of owned words, chunk) of a piece; ``begins`` remembers which words begin one."""
-    start = 0
-    for i, word in enumerate(words):
-        cut = begins.get(word)
-        if cut is None:
-            cut = begins[word] = crc32(word.encode()) % PERIOD == 0
-        if cut and i > start:
-            yield i - start, " ".join(words[start:i + LONGEST - 1])
-            start = i
-    yield len(words) - start, " ".join(words[start:])
+def chunks(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """(text number, number of owned words, chunk) of the parse of ``texts``."""
+    text, pieces = words.split(words.mapped(texts, _BYTES), "\n")
+    piece, found = words.split(pieces, " ")
+    coded = found.dictionary_encode()
+    triggers = np.fromiter((crc32(w.encode()) % PERIOD == 0 for w in coded.dictionary.to_pylist()), bool, len(coded.dictionary))
+    new = np.append(True, piece[1:] != piece[:-1])[:piece.size]
+    begin = np.flatnonzero(new | triggers[coded.indices.to_numpy()]) if piece.size else np.zeros(0, np.int64)
+    own = np.diff(np.append(begin, piece.size))
+    ends = np.append(np.flatnonzero(new)[1:], piece.size)  # of the pieces that have words
+    size = np.minimum(own + LONGEST - 1, ends[np.cumsum(new)[begin] - 1] - begin)
+    lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(size)).astype(np.int32)),
+                                     found.take(pa.array(words.expand(begin, size))))
+    return text[piece[begin]], own, pc.binary_join(lists, " ")
 
 
 def _parse(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(lang, text) -> (lang, own, chunk, times), folded within the task."""
-    folded: dict[tuple[str, int, str], int] = {}
-    begins: dict[str, bool] = {}
-    chars = 0
-
-    def passed() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays(
-            [pa.array([k[i] for k in folded], t) for i, t in enumerate((pa.string(), pa.int32(), pa.string()))]
-            + [pa.array(folded.values(), pa.int64())], names=["lang", "own", "chunk", "times"])
-
+    """(lang, text) -> (lang, own, chunk, times), folded slice by slice."""
     for batch in batches:
-        for lang, text in zip(*(c.to_pylist() for c in batch.columns)):
-            lang = UNKNOWN if lang is None else lang
-            for words in pieces(text):
-                for own, chunk in chunks(words, begins):
-                    key = (lang, own, chunk)
-                    had = folded.get(key)
-                    folded[key] = 1 if had is None else had + 1
-                    if had is None:
-                        chars += len(chunk)
-            if len(folded) >= _FOLD_CHUNKS or chars >= _FOLD_CHARS:
-                yield passed()
-                folded, chars = {}, 0
-                begins = {} if len(begins) > _FOLD_CHUNKS else begins
-    if folded:
-        yield passed()
+        langs = pc.fill_null(batch.column(0).cast(pa.string()), UNKNOWN)
+        lengths = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_pylist()
+        for s, e in slices(lengths):
+            text, own, chunk = chunks(batch.column(1).slice(s, e - s))
+            rows = pa.table({"lang": langs.slice(s, e - s).take(pa.array(text)), "own": pa.array(own.astype(np.int32)), "chunk": chunk})
+            folded = rows.group_by(["lang", "own", "chunk"]).aggregate([([], "count_all")])
+            yield from folded.rename_columns(["lang", "own", "chunk", "times"]).combine_chunks().to_batches()
 
 
 def parse(docs: DataFrame, lang: str = "lang", text: str = "text") -> DataFrame:
@@ -129,39 +109,47 @@ def parse(docs: DataFrame, lang: str = "lang", text: str = "text") -> DataFrame:
     return parsed.groupBy("lang", "own", "chunk").agg(F.sum("times").alias("times"))
 
 
+def _shard(number: int, rows: pa.Table) -> pa.RecordBatch:
+    """Dictionary rows as numbers into a vocabulary of (language, word) pairs."""
+    lists = pc.split_pattern(rows.column("chunk").combine_chunks(), " ")
+    size = lists.value_lengths().to_numpy().astype(np.int64)
+    words_, langs = lists.flatten().dictionary_encode(), rows.column("lang").combine_chunks().dictionary_encode()
+    width = len(words_.dictionary)
+    pair, tokens = np.unique(np.repeat(langs.indices.to_numpy().astype(np.int64), size) * width + words_.indices.to_numpy(),
+                             return_inverse=True)
+    names, vocabulary = langs.dictionary.to_pylist(), words_.dictionary.take(pa.array(pair % width)).to_pylist()
+    word_lang = pair // width
+    prefix = [n.encode() + b" " for n in names]
+    hashes = np.fromiter((xxhash.xxh3_64_intdigest(prefix[g] + w.encode()) for g, w in zip(word_lang.tolist(), vocabulary)),
+                         np.uint64, len(vocabulary))
+    low = [kx.squeeze(np.ascontiguousarray(x, t).tobytes()) for x, t in
+           ((word_lang, "<u4"), (hashes, "<u8"), (tokens, "<u4"), (size, "<u4"), (rows.column("own").to_numpy(), "<u4"),
+            (rows.column("times").to_numpy(), "<i8"))]
+    columns = [number, json.dumps(names), kx.squeeze("\n".join(vocabulary).encode()), *low]
+    return pa.RecordBatch.from_arrays(
+        [pa.array([x], t) for x, t in zip(columns, (pa.int64(), pa.string(), *[pa.binary()] * 7))],
+        names=["shard", "langs", "words", "word_lang", "hashes", "tokens", "size", "own", "times"])
+
+
 def _shards(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Dictionary rows -> shards of numbered words."""
+    """Dictionary rows -> shards of ``SHARD_WORDS`` words, about."""
     number = TaskContext.get().partitionId() << 32
-    langs: dict[str, int] = {}
-    vocabulary: dict[tuple[int, str], int] = {}
-    tokens: list[int] = []
-    size: list[int] = []
-    own: list[int] = []
-    times: list[int] = []
-
-    def passed() -> pa.RecordBatch:
-        low = [kx.squeeze(np.array(x, t).tobytes()) for x, t in
-               (([k[0] for k in vocabulary], "<u4"), (tokens, "<u4"), (size, "<u4"), (own, "<u4"), (times, "<i8"))]
-        columns = [number, json.dumps(list(langs)), kx.squeeze("\n".join(k[1] for k in vocabulary).encode()), *low]
-        return pa.RecordBatch.from_arrays(
-            [pa.array([x], t) for x, t in zip(columns, (pa.int64(), pa.string(), *[pa.binary()] * 6))],
-            names=["shard", "langs", "words", "word_lang", "tokens", "size", "own", "times"])
-
+    held: list[pa.RecordBatch] = []
+    size = 0
     for batch in batches:
-        for lang, had, chunk, n in zip(*(c.to_pylist() for c in batch.columns)):
-            at = langs.setdefault(lang, len(langs))
-            words = chunk.split(" ")
-            tokens.extend([vocabulary.setdefault((at, w), len(vocabulary)) for w in words])
-            size.append(len(words))
-            own.append(had)
-            times.append(n)
-            if len(tokens) >= SHARD_WORDS:
-                yield passed()
-                number += 1
-                for held in (langs, vocabulary, tokens, size, own, times):
-                    held.clear()
-    if tokens:
-        yield passed()
+        blanks = pc.count_substring(batch.column(batch.schema.get_field_index("chunk")), " ").to_numpy().astype(np.int64) + 1
+        cuts = np.searchsorted(np.cumsum(blanks), np.arange(SHARD_WORDS - size, int(blanks.sum()) + 1, SHARD_WORDS)) + 1
+        at = 0
+        for cut in [*np.unique(cuts).tolist(), batch.num_rows]:
+            if cut > at:
+                held.append(batch.slice(at, cut - at))
+                size += int(blanks[at:cut].sum())
+                at = cut
+            if size >= SHARD_WORDS:
+                yield _shard(number, pa.Table.from_batches(held))
+                held, size, number = [], 0, number + 1
+    if held:
+        yield _shard(number, pa.Table.from_batches(held))
 
 
 class Shard:
@@ -171,7 +159,7 @@ class Shard:
         self.number, self.langs = row["shard"], json.loads(row["langs"])
         read = lambda c, t: np.frombuffer(kx.unsqueeze(row[c]), t)
         self.words = kx.unsqueeze(row["words"]).decode().split("\n")
-        self.word_lang, self.tokens = read("word_lang", "<u4"), read("tokens", "<u4")
+        self.word_lang, self.hashed, self.tokens = read("word_lang", "<u4"), read("hashes", "<u8"), read("tokens", "<u4")
         size, own, times = read("size", "<u4").astype(np.int64), read("own", "<u4").astype(np.int64), read("times", "<i8")
         end = np.cumsum(size)
         place = np.arange(self.tokens.size) - np.repeat(end - size, size)
@@ -183,13 +171,14 @@ class Shard:
 
     def hashes(self, n: int) -> np.ndarray:
         """A hash of the n words from each place on (what follows the last is not to be used)."""
-        langs = [lang.encode() + b" " for lang in self.langs]
-        one = np.fromiter((xxhash.xxh3_64_intdigest(langs[g] + w.encode())
-                           for g, w in zip(self.word_lang.tolist(), self.words)), np.uint64, len(self.words))[self.tokens]
-        h = one
+        one = h = self.hashed[self.tokens]
         for k in range(1, n):
             h = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
             h[:one.size - k] += one[k:]
+        return self._mixed(h, n)
+
+    @staticmethod
+    def _mixed(h: np.ndarray, n: int) -> np.ndarray:
         h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9 + 2 * n)
         return h ^ (h >> np.uint64(32))
 
@@ -204,6 +193,10 @@ class Shard:
 
     def keys(self, lengths: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray, list[tuple[int, np.ndarray]]]:
         """Sorted distinct hashes of all candidates of these lengths, their weights, and (length, places)."""
+        if lengths == (1,):  # the vocabulary has them already
+            weight = np.bincount(self.tokens, self.times.astype(float), self.hashed.size).astype(np.uint64)
+            keys, where = np.unique(self._mixed(self.hashed, 1) & kx.KEY_MASK, return_inverse=True)
+            return keys, np.bincount(where, weight.astype(float), keys.size).astype(np.uint64), [(1, where[self.tokens])]
         places = [(n, self.candidates(n)) for n in lengths]
         h = np.concatenate([self.hashes(n)[at] & kx.KEY_MASK for n, at in places])
         weight = np.concatenate([self.times[at] for _, at in places])
@@ -256,12 +249,12 @@ def _name(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def work(row: dict) -> Iterator[pa.RecordBatch]:
         shard = _told(row, len(ROUNDS))
-        tokens, words, langs = shard.tokens, shard.words, shard.langs
+        tokens, langs = shard.tokens, shard.langs
         held: list[tuple] = []
         for n, at, count in shard.phrases():
             ids = tokens[at:at + n].tolist()
-            held.append((langs[shard.word_lang[ids[0]]], n, " ".join([words[i] for i in ids]), count))
-            if len(held) >= _FOLD_CHUNKS:
+            held.append((langs[shard.word_lang[ids[0]]], n, " ".join([shard.words[i] for i in ids]), count))
+            if len(held) >= _BATCH:
                 yield _named(held)
                 held = []
         if held:

@@ -13,6 +13,7 @@ without need but never missing; callers decide exactly afterwards.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -30,12 +31,22 @@ BUCKETS_PER_PARTITION = 2
 DEALT = "shard long, bucket int, n int, body binary"
 
 
+@functools.cache
+def _compressor(level: int) -> zstandard.ZstdCompressor:
+    return zstandard.ZstdCompressor(level=level)
+
+
+@functools.cache
+def _decompressor() -> zstandard.ZstdDecompressor:
+    return zstandard.ZstdDecompressor()
+
+
 def squeeze(raw: bytes, level: int = 1) -> bytes:
-    return zstandard.ZstdCompressor(level=level).compress(raw)
+    return _compressor(level).compress(raw)
 
 
 def unsqueeze(body: bytes) -> bytes:
-    return zstandard.ZstdDecompressor().decompress(body)
+    return _decompressor().decompress(body)
 
 
 def planes(values: np.ndarray, keep: int) -> bytes:
@@ -63,7 +74,7 @@ def dealt(shard: int, keys: np.ndarray, weights: np.ndarray, buckets: int) -> pa
     """One row for each bucket in which ``keys`` (sorted, distinct) lie."""
     cuts = np.searchsorted(keys, bucket_starts(buckets))
     some = np.flatnonzero(np.diff(cuts))
-    bodies = [squeeze(planes(keys[s:e], 6) + planes(weights[s:e], 5))
+    bodies = [squeeze(planes(keys[s:e], 6) + planes(weights[s:e], 8))
               for s, e in zip(cuts[some].tolist(), cuts[some + 1].tolist())]
     return pa.RecordBatch.from_arrays(
         [pa.array(np.full(some.size, shard, np.int64)), pa.array(some.astype(np.int32)),
@@ -78,7 +89,7 @@ def _answer(thresholds: tuple[int, ...]) -> Callable[[pa.Table], pa.Table]:
         for n, body in zip(sizes, rows.column("body")):
             raw = unsqueeze(body.as_py())
             keys.append(unplanes(raw, n, 6))
-            weights.append(unplanes(raw[6 * n:], n, 5))
+            weights.append(unplanes(raw[6 * n:], n, 8))
         _, where = np.unique(np.concatenate(keys), return_inverse=True)
         total = np.bincount(where, np.concatenate(weights).astype(float))[where]  # whole numbers below 2^53
         marks = [total >= t for t in thresholds]

@@ -46,7 +46,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from indicata.llm.common import importable, written
+from indicata.llm import words
+from indicata.llm.common import importable, slices, written
+from indicata.llm.words import expand
 
 # The term pattern, the parts of the score.
 TERM = "[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
@@ -65,6 +67,8 @@ ITEM_CHARS = 4 << 20
 SKETCH = 16
 
 _TERM = re.compile(TERM)
+#: The same for whole buffers: what is no part of a term becomes a blank.
+_TERM_BYTES = words.table(bytes(b for b in range(128) if not chr(b).isalnum()), b" ")
 _LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
 
 
@@ -86,24 +90,27 @@ def _item_blocks(items: DataFrame, item_id: str, text: str) -> Iterator[list[tup
         yield held
 
 
-def _vectors(words):
+def _vectors(query):
     """(doc id, text) -> doc id, number of terms, the wanted terms and their counts."""
 
+    def work(ids: pa.Array, texts: pa.Array, known: pa.Array) -> pa.RecordBatch:
+        row, found = words.split(words.mapped(texts, _TERM_BYTES), " ")
+        code = pc.index_in(found, value_set=known)
+        wanted = code.is_valid().to_numpy(zero_copy_only=False)
+        key, count = np.unique(row[wanted] * max(len(known), 1) + code.drop_null().to_numpy(), return_counts=True)
+        held = np.bincount(key // max(len(known), 1), minlength=len(ids))
+        offsets = pa.array(np.append(0, np.cumsum(held)).astype(np.int32))
+        return pa.RecordBatch.from_arrays(
+            [ids, pa.array(np.bincount(row, minlength=len(ids))),
+             pa.ListArray.from_arrays(offsets, pa.array((key % max(len(known), 1)).astype(np.int32))),
+             pa.ListArray.from_arrays(offsets, pa.array(count))], names=["id", "n", "terms", "counts"])
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = words.value
+        known = pa.array(query.value, pa.string())
         for batch in batches:
-            sizes, which, counts = [], [], []
-            for text in batch.column(1):
-                found = terms(text.as_py())
-                sizes.append(len(found))
-                tf = Counter(found)
-                kept = sorted(index[t] for t in tf.keys() & index.keys())
-                which.append(kept)
-                by = {index[t]: c for t, c in tf.items() if t in index}
-                counts.append([by[i] for i in kept])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(which, pa.list_(pa.int32())),
-                 pa.array(counts, pa.list_(pa.int64()))], names=["id", "n", "terms", "counts"])
+            lengths = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_pylist()
+            for s, e in slices(lengths):
+                yield work(batch.column(0).slice(s, e - s), batch.column(1).slice(s, e - s), known)
 
     return run
 
@@ -118,12 +125,6 @@ def impacts(counts: np.ndarray, lengths: np.ndarray, weights: np.ndarray, docume
     return weights * ((SCALE * counts) // (TF_1000 * counts + M_8 * m))
 
 
-def _expand(first: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """first[0], first[0]+1, .. (size[0] of them), first[1], .."""
-    at = np.cumsum(size) - size
-    return np.repeat(first - at, size) + np.arange(int(size.sum()))
-
-
 class BlockIndex:
     """Posting lists of some documents, cut into blocks of similar ones with their maxima.
 
@@ -180,7 +181,7 @@ class BlockIndex:
         """Coordinatewise maximum over each block's documents, ordered by term and block."""
         width = max(blocks, 1)
         of_block = np.repeat(np.arange(blocks), np.diff(self.starts))
-        at = _expand(self.offsets[self.docs], size[self.docs])
+        at = expand(self.offsets[self.docs], size[self.docs])
         key = self.term[at] * np.int64(width) + np.repeat(of_block, size[self.docs])
         value = self.impact[at]
         low = int(value.max(initial=0)).bit_length()
@@ -204,14 +205,14 @@ class BlockIndex:
 
     def scores(self, docs: np.ndarray, query: np.ndarray) -> np.ndarray:
         size = np.diff(self.offsets)[docs]
-        at = _expand(self.offsets[docs], size)
+        at = expand(self.offsets[docs], size)
         return np.add.reduceat(self.impact[at] * query[self.term[at]], np.cumsum(size) - size)
 
     def search(self, wanted: np.ndarray, times: np.ndarray, lists: np.ndarray, query: np.ndarray, best: Best,
                ids: np.ndarray, null: np.ndarray) -> None:
         """Adds to ``best`` what these documents have for an item; ``lists`` are the terms whose lists it needs."""
         bound = self.bounds(wanted, times)
-        mine = _expand(self.lists[lists], self.lists[lists + 1] - self.lists[lists])
+        mine = expand(self.lists[lists], self.lists[lists + 1] - self.lists[lists])
         mine = mine[bound[mine] >= max(best.least(), 1)]
         mine = mine[np.argsort(-bound[mine], kind="stable")]
         seen = np.zeros(self.offsets.size - 1, bool)
@@ -219,7 +220,7 @@ class BlockIndex:
         while at < mine.size and bound[mine[at]] >= best.least():
             part = mine[at:at + step]
             part = part[bound[part] >= best.least()]
-            docs = self.docs[_expand(self.starts[part], self.starts[part + 1] - self.starts[part])]
+            docs = self.docs[expand(self.starts[part], self.starts[part + 1] - self.starts[part])]
             docs = np.unique(docs[~seen[docs]])
             if docs.size:
                 seen[docs] = True
@@ -344,7 +345,7 @@ def _search_block(docs: DataFrame, block: list[tuple], k: int, item_type) -> Dat
     sc = spark.sparkContext
     found = [Counter(terms(t)) for _, t in block]
     index = {t: i for i, t in enumerate(sorted(set().union(*found)))}
-    vectors = written(docs.mapInArrow(_vectors(sc.broadcast(index)), "id long, n long, terms array<int>, counts array<long>"),
+    vectors = written(docs.mapInArrow(_vectors(sc.broadcast(list(index))), "id long, n long, terms array<int>, counts array<long>"),
                       "search-vectors")
     documents, total = vectors.agg(F.count_if(F.col("n") > 0), F.coalesce(F.sum("n"), F.lit(0))).first()
     weights = np.zeros(len(index), np.int64)

@@ -17,7 +17,7 @@ How it runs.
    doc_id, are dealt by anchor.  Anchors with over ``HOT`` pieces are dealt
    string by string, by the string's own hash, so that a common seed in ever
    new surroundings does not fill one task.
-4. Each bucket cuts its pieces into shards of ``SHARD_BYTES``.  A shard's
+4. Each bucket cuts its distinct pieces into shards of ``SHARD_BYTES``.  A shard's
    suffix array is refined as Larsson and Sadakane do: suffixes are ordered by
    their first 8 bytes, then groups that are still tied by the ranks 8, 16, 32, ..
    further on, until none is tied.  Kasai's common
@@ -51,6 +51,7 @@ from pyspark.sql import functions as F
 
 from indicata.llm import key_exchange as kx
 from indicata.llm.common import importable, written
+from indicata.llm.words import expand
 
 LENGTH = 50
 #: Bytes of the strings among which an anchor is chosen; a multiple of 8.
@@ -306,7 +307,7 @@ class Strings:
         starts = np.cumsum(sizes) - sizes
         count = sizes - length + 1
         text = np.append(text, _GUARD)
-        at = np.repeat(starts - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
+        at = expand(starts, count)
         order = suffix_array(text)
         kind = np.empty(text.size, np.int64)
         kind[order] = np.cumsum(common_prefixes(text, order, length) < length)
@@ -331,50 +332,47 @@ def _resolve(length: int):
     """Pieces of a bucket -> for each source shard, the smallest doc_ids of its strings as runs."""
 
     def run(rows: pa.Table) -> pa.Table:
-        sources, parts, held, size = [], [], [], 0
-        for i, row in enumerate(rows.to_pylist()):
-            sizes = np.frombuffer(kx.unsqueeze(row["sizes"]), "<u4").astype(np.int64)
-            least = np.frombuffer(kx.unsqueeze(row["least"]), "<i8")
-            body = np.frombuffer(kx.unsqueeze(row["body"]), np.uint8)
-            ends = np.cumsum(sizes)
-            s = 0
-            while s < sizes.size:  # as many pieces as fit, one at least
-                e = max(s + 1, int(np.searchsorted(ends, ends[s] - sizes[s] + SHARD_BYTES - size, "right")))
-                lo = ends[s] - sizes[s]
-                held.append((i, sizes[s:e], least[s:e], body[lo:ends[e - 1]]))
-                size += int(ends[e - 1] - lo)
-                if size >= SHARD_BYTES or e < sizes.size:
-                    parts.append(held)
-                    held, size = [], 0
-                s = e
-        if held:
-            parts.append(held)
-        shards = []
-        for part in parts:
-            s = Strings(np.concatenate([x[3] for x in part]), np.concatenate([x[1] for x in part]),
-                        np.concatenate([x[2] for x in part]), length)
-            for other in shards:
-                other[1].merge(s)
-            shards.append((part, s))
-        for k in range(len(shards) - 1):  # what a later shard learned from others reaches the earlier ones
-            for j in range(k + 1, len(shards)):
-                shards[k][1].merge(shards[j][1])
-        found: dict[int, list[np.ndarray]] = {}
-        for part, s in shards:
-            own = s.least[s.where]
-            at = 0
-            for i, sizes, _, _ in part:
-                n = int((sizes - length + 1).sum())
-                found.setdefault(i, []).append(own[at:at + n])
-                at += n
-        for i in range(rows.num_rows):
-            own = np.concatenate(found[i])
-            first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
-            sources.append((kx.squeeze(np.diff(np.append(first, own.size)).astype("<u4").tobytes()),
-                            kx.squeeze(own[first].astype("<i8").tobytes())))
+        # equal pieces of several shards are one
+        found: dict[bytes, int] = {}
+        known: list[int] = []
+        used = []
+        for row in rows.to_pylist():
+            ends = np.cumsum(np.frombuffer(kx.unsqueeze(row["sizes"]), "<u4").astype(np.int64)).tolist()
+            body, at, own = kx.unsqueeze(row["body"]), 0, []
+            for end, rank in zip(ends, np.frombuffer(kx.unsqueeze(row["least"]), "<i8").tolist()):
+                piece = found.setdefault(body[at:end], len(found))
+                if piece == len(known):
+                    known.append(rank)
+                elif rank < known[piece]:
+                    known[piece] = rank
+                own.append(piece)
+                at = end
+            used.append(np.array(own))
+        sizes, text = np.fromiter(map(len, found), np.int64, len(found)), np.frombuffer(b"".join(found), np.uint8)
+        least, ends = np.array(known), np.cumsum(sizes)
+        shards, s = [], 0
+        while s < sizes.size:  # as many pieces as fit, one at least
+            e = max(s + 1, int(np.searchsorted(ends, ends[s] - sizes[s] + SHARD_BYTES, "right")))
+            shards.append(Strings(text[ends[s] - sizes[s]:ends[e - 1]], sizes[s:e], least[s:e], length))
+            s = e
+        for k, shard in enumerate(shards):
+            for other in shards[:k]:
+                other.merge(shard)
+        for k, shard in enumerate(shards):  # what later shards have learned reaches the earlier ones
+            for other in shards[k + 1:]:
+                shard.merge(other)
+        of_string = np.concatenate([x.least[x.where] for x in shards])
+        count = sizes - length + 1
+        start = np.cumsum(count) - count
+        out = []
+        for own in used:
+            told = of_string[expand(start[own], count[own])]
+            first = np.flatnonzero(np.r_[True, told[1:] != told[:-1]])
+            out.append((kx.squeeze(np.diff(np.append(first, told.size)).astype("<u4").tobytes()),
+                        kx.squeeze(told[first].astype("<i8").tobytes())))
         return pa.table({"shard": rows.column("shard"), "bucket": rows.column("bucket"),
-                         "lengths": pa.array([s[0] for s in sources], pa.binary()),
-                         "least": pa.array([s[1] for s in sources], pa.binary())})
+                         "lengths": pa.array([x[0] for x in out], pa.binary()),
+                         "least": pa.array([x[1] for x in out], pa.binary())})
 
     return run
 
@@ -392,9 +390,8 @@ def _mark(docs: Documents, shared: SharedPieces, told: list[dict] | None) -> np.
         start = np.empty(count.size, np.int64)
         start[shared.order] = np.cumsum(travelled) - travelled
         doc, first, n, piece = shared.uses.T
-        skip = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-        known = least[np.repeat(start[piece], n) + skip] < np.repeat(docs.rank[doc], n)
-        gone = (np.repeat(first, n) + skip)[known]
+        known = least[expand(start[piece], n)] < np.repeat(docs.rank[doc], n)
+        gone = expand(first, n)[known]
         np.add.at(covered, gone, 1)
         np.add.at(covered, gone + docs.length, -1)
     return np.cumsum(covered[:-1]) > 0

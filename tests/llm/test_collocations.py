@@ -1,8 +1,11 @@
 import random
 import re
 from collections import Counter
+from unittest import mock
 
 import duckdb
+import numpy as np
+import pyarrow as pa
 import pytest
 from indicata.llm import collocations as C
 from indicata.llm import key_exchange as kx
@@ -60,20 +63,21 @@ def test_against_every_occurrence(spark, monkeypatch, period, shard):
 def test_overlaps_are_counted_once(monkeypatch):
     monkeypatch.setattr(C, "PERIOD", 2)
     words = [f"w{i * 7 % 50}" for i in range(500)]
-    seen = Counter()
-    for own, chunk in C.chunks(words, {}):
+    texts = pa.array([" ".join(words), None, " . ", "w1 w2;" + "\t".join(words[:30])])
+    seen, of = Counter(), Counter()
+    for text, own, chunk in zip(*(x.tolist() if isinstance(x, np.ndarray) else x.to_pylist() for x in C.chunks(texts))):
         held = chunk.split(" ")
+        of[text] += own
         assert own <= len(held) <= own + C.LONGEST - 1
-        for n in range(1, C.LONGEST + 1):
-            seen.update(tuple(held[i:i + n]) for i in range(own) if i + n <= len(held))
+        if text == 0:
+            for n in range(1, C.LONGEST + 1):
+                seen.update(tuple(held[i:i + n]) for i in range(own) if i + n <= len(held))
     want = Counter(tuple(words[i:i + n]) for n in range(1, C.LONGEST + 1) for i in range(len(words) - n + 1))
-    assert seen == want
+    assert seen == want and of == {0: 500, 3: 32}
 
 
 def test_shards_agree_on_hashes_and_exactness(monkeypatch):
     """Sequences whose hashes collide are told apart by their words."""
-    import pyarrow as pa
-    from unittest import mock
     batch = pa.RecordBatch.from_pydict({"lang": ["en", "de"], "own": [6, 2], "chunk": ["a b a b a c", "a b"], "times": [3, 5]})
     with mock.patch.object(C, "TaskContext") as context:
         context.get().partitionId.return_value = 1
@@ -90,8 +94,6 @@ def test_shards_agree_on_hashes_and_exactness(monkeypatch):
 
 
 def test_key_exchange(spark):
-    import numpy as np
-    import pyarrow as pa
     rng = np.random.default_rng(5)
     shards = {i: np.unique(rng.integers(0, 1 << 48, 300, dtype=np.uint64) >> np.uint64(i % 2 * 40)) for i in range(6)}
     total = Counter(k for keys in shards.values() for k in keys.tolist())
