@@ -17,7 +17,8 @@ How it runs.
    doc_id, are dealt by anchor.  Anchors with over ``HOT`` pieces are dealt
    string by string, by the string's own hash, so that a common seed in ever
    new surroundings does not fill one task.
-4. Each bucket cuts its distinct pieces into shards of ``SHARD_BYTES``.  A shard's
+4. Each bucket cuts its distinct pieces, but for those that are the only one of their
+   anchor, into shards of ``SHARD_BYTES``.  A shard's
    suffix array is refined as Larsson and Sadakane do: suffixes are ordered by
    their first 8 bytes, then groups that are still tied by the ranks 8, 16, 32, ..
    further on, until none is tied.  Kasai's common
@@ -68,7 +69,7 @@ _LANES = 8192
 _NULL = np.iinfo(np.int64).max
 
 _DOCUMENTS = "shard long, ids binary, nulls binary, ends binary, body binary"
-_PIECES = "shard long, bucket int, sizes binary, least binary, body binary"
+_PIECES = "shard long, bucket int, sizes binary, anchors binary, least binary, body binary"
 _LEAST = "shard long, bucket int, lengths binary, least binary"
 _RESULT = ("doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, "
            "spans array<struct<start:long,end:long>>")
@@ -104,10 +105,11 @@ def _pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _words(text: np.ndarray) -> np.ndarray:
     """The eight bytes from each place on as one number, first byte highest; zeros follow the end."""
-    padded = np.concatenate([text, np.zeros(8, np.uint8)])
-    out = np.zeros(text.size, np.uint64)
+    padded = np.concatenate([text, np.zeros(16, np.uint8)])
+    out = np.empty(text.size, np.uint64)
     for i in range(8):
-        out = (out << np.uint64(8)) | padded[i:i + text.size]
+        own = out[i::8]
+        own[:] = np.frombuffer(padded, ">u8", own.size, i)
     return out
 
 
@@ -133,6 +135,14 @@ def anchors(text: np.ndarray, length: int = LENGTH) -> np.ndarray:
     return out
 
 
+def _spread(anchor: np.ndarray) -> np.ndarray:
+    """Least hashes lie at the low end; multiplied and folded one to one they lie evenly over the buckets."""
+    for odd in (0x9E3779B97F4B, 0xC2B2AE3D27D5):
+        anchor = anchor * np.uint64(odd) & kx.KEY_MASK
+        anchor = anchor ^ anchor >> np.uint64(kx.BITS // 2)
+    return anchor
+
+
 class Documents:
     """A document shard and its pieces."""
 
@@ -149,7 +159,7 @@ class Documents:
             if e - s >= length:
                 a = anchors(self.text[s:e], length)
                 new = np.flatnonzero(np.r_[True, a[1:] != a[:-1]])
-                anchor.append(a[new])
+                anchor.append(_spread(a[new]))
                 first.append(np.append(new, a.size) + s)
                 doc.append(np.full(new.size, i))
         # piece p of document doc[p] holds the strings that start at first[p] to last[p] - 1
@@ -179,29 +189,34 @@ class SharedPieces:
         self.bodies: list[bytes] = []
         self.least: list[int] = []
         self.bucket: list[int] = []
+        self.anchor: list[int] = []
         #: document, first string and number of strings of every use of a piece, and which piece it is
         uses: list[tuple[int, int, int, int]] = []
 
-        def use(doc: int, s: int, e: int, b: int | None) -> None:
+        def use(doc: int, s: int, e: int, b: int | None, anchor: int) -> None:
             body = text[s:e + tail]
             at = found.get(body)
             if at is None:
                 at = found[body] = len(self.bodies)
                 self.bodies.append(body)
                 self.least.append(_NULL)
-                self.bucket.append(crc32(body) % buckets if b is None else b)
+                if b is None:  # a string dealt by itself
+                    anchor = crc32(body)
+                    b, anchor = anchor % buckets, anchor + (1 << kx.BITS)
+                self.bucket.append(b)
+                self.anchor.append(anchor)
             if rank[doc] < self.least[at]:
                 self.least[at] = rank[doc]
             uses.append((doc, s, e - s, at))
 
         rank = docs.rank.tolist()
-        for p, doc, s, e, b in zip(pieces.tolist(), docs.doc[pieces].tolist(), docs.first[pieces].tolist(),
-                                   docs.last[pieces].tolist(), home.tolist()):
+        for p, doc, s, e, b, a in zip(pieces.tolist(), docs.doc[pieces].tolist(), docs.first[pieces].tolist(),
+                                      docs.last[pieces].tolist(), home.tolist(), docs.anchor[pieces].tolist()):
             if hot[p]:
                 for i in range(s, e):
-                    use(doc, i, i + 1, None)
+                    use(doc, i, i + 1, None, a)
             else:
-                use(doc, s, e, b)
+                use(doc, s, e, b, a)
         self.uses = np.array(uses, np.int64).reshape(-1, 4)
         #: pieces in the order in which they travel: by bucket, then as found
         self.order = np.argsort(np.array(self.bucket, np.int64), kind="stable")
@@ -214,12 +229,13 @@ class SharedPieces:
         for s, e in zip(first, np.append(first[1:], bucket.size)):
             own = self.order[s:e].tolist()
             out.append((kx.squeeze(self.sizes[own].astype("<u4").tobytes()),
+                        kx.squeeze(kx.planes(np.array([self.anchor[i] for i in own], np.uint64), 7)),
                         kx.squeeze(np.array([self.least[i] for i in own], "<i8").tobytes()),
                         kx.squeeze(b"".join([self.bodies[i] for i in own]), 3)))
         return pa.RecordBatch.from_arrays(
             [pa.array(np.full(first.size, number, np.int64)), pa.array(bucket[first].astype(np.int32)),
-             *(pa.array([r[i] for r in out], pa.binary()) for i in range(3))],
-            names=["shard", "bucket", "sizes", "least", "body"])
+             *(pa.array([r[i] for r in out], pa.binary()) for i in range(4))],
+            names=["shard", "bucket", "sizes", "anchors", "least", "body"])
 
 
 # ---- suffix arrays of dealt pieces ----------------------------------------
@@ -311,13 +327,15 @@ class Strings:
         order = suffix_array(text)
         kind = np.empty(text.size, np.int64)
         kind[order] = np.cumsum(common_prefixes(text, order, length) < length)
-        kinds, first, self.where = np.unique(kind[at], return_index=True, return_inverse=True)
-        self.least = np.full(kinds.size, _NULL)
+        kind = kind[at]
+        one = np.full(int(kind.max()) + 1, -1)
+        one[kind] = at  # any place of each string that is whole
+        whole = one >= 0
+        self.where = (np.cumsum(whole) - 1)[kind]
+        self.least = np.full(int(whole.sum()), _NULL)
         np.minimum.at(self.least, self.where, np.repeat(least, count))
-        rows = np.empty((kinds.size, length), np.uint8)
-        for i in range(length):
-            rows[:, i] = text[at[first] + i]
-        self.strings = rows.view(f"S{length}").ravel()
+        rows = np.lib.stride_tricks.sliding_window_view(text, length)[one[whole]]
+        self.strings = np.ascontiguousarray(rows).view(f"S{length}").ravel()
 
     def merge(self, other: Strings) -> None:
         """Both learn the smaller doc_id of the strings that both hold."""
@@ -335,25 +353,33 @@ def _resolve(length: int):
         # equal pieces of several shards are one
         found: dict[bytes, int] = {}
         known: list[int] = []
+        anchor: list[int] = []
         used = []
         for row in rows.to_pylist():
-            ends = np.cumsum(np.frombuffer(kx.unsqueeze(row["sizes"]), "<u4").astype(np.int64)).tolist()
+            sizes = np.frombuffer(kx.unsqueeze(row["sizes"]), "<u4").astype(np.int64)
             body, at, own = kx.unsqueeze(row["body"]), 0, []
-            for end, rank in zip(ends, np.frombuffer(kx.unsqueeze(row["least"]), "<i8").tolist()):
+            for end, a, rank in zip(np.cumsum(sizes).tolist(), kx.unplanes(kx.unsqueeze(row["anchors"]), sizes.size, 7).tolist(),
+                                    np.frombuffer(kx.unsqueeze(row["least"]), "<i8").tolist()):
                 piece = found.setdefault(body[at:end], len(found))
                 if piece == len(known):
                     known.append(rank)
+                    anchor.append(a)
                 elif rank < known[piece]:
                     known[piece] = rank
                 own.append(piece)
                 at = end
             used.append(np.array(own))
-        sizes, text = np.fromiter(map(len, found), np.int64, len(found)), np.frombuffer(b"".join(found), np.uint8)
-        least, ends = np.array(known), np.cumsum(sizes)
-        shards, s = [], 0
-        while s < sizes.size:  # as many pieces as fit, one at least
-            e = max(s + 1, int(np.searchsorted(ends, ends[s] - sizes[s] + SHARD_BYTES, "right")))
-            shards.append(Strings(text[ends[s] - sizes[s]:ends[e - 1]], sizes[s:e], least[s:e], length))
+        sizes, least = np.fromiter(map(len, found), np.int64, len(found)), np.array(known)
+        of_string = np.repeat(least, sizes - length + 1)
+        # the strings of a piece that no other piece shares its anchor with are its alone
+        _, where, times = np.unique(np.array(anchor), return_inverse=True, return_counts=True)
+        mixed = np.flatnonzero(times[where] > 1)
+        bodies = list(found)
+        ends, shards, s = np.cumsum(sizes[mixed]), [], 0
+        while s < mixed.size:  # as many pieces as fit, one at least
+            e = max(s + 1, int(np.searchsorted(ends, (ends[s - 1] if s else 0) + SHARD_BYTES, "right")))
+            text = np.frombuffer(b"".join([bodies[i] for i in mixed[s:e].tolist()]), np.uint8)
+            shards.append(Strings(text, sizes[mixed[s:e]], least[mixed[s:e]], length))
             s = e
         for k, shard in enumerate(shards):
             for other in shards[:k]:
@@ -361,7 +387,8 @@ def _resolve(length: int):
         for k, shard in enumerate(shards):  # what later shards have learned reaches the earlier ones
             for other in shards[k + 1:]:
                 shard.merge(other)
-        of_string = np.concatenate([x.least[x.where] for x in shards])
+        if shards:
+            of_string[np.repeat(times[where] > 1, sizes - length + 1)] = np.concatenate([x.least[x.where] for x in shards])
         count = sizes - length + 1
         start = np.cumsum(count) - count
         out = []
