@@ -17,11 +17,12 @@ from pyspark.sql import functions as F
 
 from indicata.plans import checks, coverage, datamap as _datamap, metadata, pivot, stats
 from indicata.profile import DEFAULT_PROFILE, ColumnProfile
-from indicata.sources.parquet import load_obt, read_parquet, write_csv
+from indicata.sources.parquet import load_obt, read_csv, read_parquet, write_csv
 
 # C1, S1/S2, S4
 load = load_obt
 read = read_parquet
+from_csv = read_csv
 to_csv = write_csv
 
 # C2, C15

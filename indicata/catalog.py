@@ -21,7 +21,7 @@ from indicata.functions.expressions import quote
 from indicata.plans import datamap as dm
 from indicata.profile import DEFAULT_PROFILE
 from indicata.session import derived_table_dir
-from indicata.sources.parquet import write_csv
+from indicata.sources.parquet import ROW_ORDER, read_csv, write_csv
 from indicata.sources.tpch import OBT_COLUMNS, obt, with_obt
 
 PROFILE_SOURCE = ("source", "database", "collection")
@@ -299,10 +299,13 @@ def q_pivot_country(spark, sf_dir):
 _PICK_SQL = "source = 'HOUSEHOLD' and collection in ('1-URGENT', '5-LOW')"
 
 
-@register("pivot_selected", _first_pivot_sql(
+_SELECTED_SQL = _first_pivot_sql(
     "indicator_label",
     "collection in (select collection from (select source, database, collection, count(*) as count "
-    f"from obt group by all) d where {_PICK_SQL})"))
+    f"from obt group by all) d where {_PICK_SQL})")
+
+
+@register("pivot_selected", _SELECTED_SQL)
 def q_pivot_selected(spark, sf_dir):
     df = obt(spark, sf_dir, with_order=True)
     picked = dm.datamap(df, PROFILE_SOURCE).where(
@@ -311,6 +314,15 @@ def q_pivot_selected(spark, sf_dir):
                            order_cols=[SEQ_COLUMN])
 
 
+@register("pivot_selected_in_order", _SELECTED_SQL)
+def q_pivot_selected_in_order(spark, sf_dir):
+    """F8, then C3 by the row order that the table carries, through the join."""
+    df = obt(spark, sf_dir, with_order=True).withColumnRenamed(SEQ_COLUMN, ROW_ORDER)
+    picked = dm.datamap(df, PROFILE_SOURCE).where(
+        (F.col("source") == "HOUSEHOLD") & F.col("collection").isin("1-URGENT", "5-LOW"))
+    return pv.filter_pivot(pv.select_collections(picked, df), INDEX_COLS, ind="label")
+
+
 _SRC_CELLS_SQL = """
 , cells as (
   select country, year, {ind} as k, avg(value) as v
@@ -429,7 +441,27 @@ def q_csv_round_trip(spark, sf_dir):
     rows = obt(spark, sf_dir).select(*OBT_OUT)
     path = derived_table_dir(spark, f"csv-{uuid.uuid4().hex}")
     write_csv(rows, path)
-    return spark.read.schema(rows.schema).option("header", True).csv(path)
+    return read_csv(spark, path, rows.schema)
+
+
+# Texts that a careless CSV loses.
+_HARD = ("'line1' || chr(10) || 'line2'", "''", "' pad '", "'a,b \"q\" c'", "'back\\\\slash\\\\'", "null", "'\"'",
+         "chr(13) || chr(10) || 'x'", "chr(9) || 'tab'")
+_HARD_SQL = "case year % {n} {cases} end".format(
+    n=len(_HARD), cases=" ".join(f"when {i} then {t}" for i, t in enumerate(_HARD)))
+
+
+@register("csv_lossless", "select year, collection, note, nested, count(*) as rows from (select *, "
+          + _HARD_SQL.replace("\\\\", "\\") + " as note, source || "
+          + _HARD_SQL.replace("\\\\", "\\") + " || source as nested from obt) q group by all")
+def q_csv_lossless(spark, sf_dir):
+    """Texts with breaks, quotes, backslashes, outer blanks, empty and null, through CSV and back."""
+    rows = obt(spark, sf_dir).select("year", "collection", F.expr(_HARD_SQL).alias("note"),
+                                     F.expr(f"source || {_HARD_SQL} || source").alias("nested"))
+    path = derived_table_dir(spark, f"csv-{uuid.uuid4().hex}")
+    write_csv(rows, path)
+    return read_csv(spark, path, rows.schema).groupBy("year", "collection", "note", "nested").agg(
+        F.count(F.lit(1)).alias("rows"))
 
 
 @register("observed_rows", "select count(*) as rows from obt")
@@ -501,7 +533,7 @@ _ORACLE_DOUBLES = {
 }
 # wide results: every column but the (country, year) index is a double
 _ORACLE_WIDE = ("pivot_label", "pivot_code", "pivot_source", "pivot_source_year", "pivot_region",
-                "pivot_country", "pivot_selected", "src_tbl_mean", "src_tbl_source")
+                "pivot_country", "pivot_selected", "pivot_selected_in_order", "src_tbl_mean", "src_tbl_source")
 
 
 def _dq(name: str) -> str:

@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
 from indicata.operators.reshape import distinct_values
+from indicata.sources.parquet import ROW_ORDER, with_row_order
 
 INDEX = ("country", "year")
 _FIRST = -(1 << 63)  # the smallest long
-_FILE_ORDER = ("_file_path", "_row_index")
 
 
 def indicator_column(ind: str) -> str:
@@ -33,21 +33,28 @@ def _check_names(df: DataFrame, values: list) -> None:
         seen[key] = name
 
 
-def _pivot(df: DataFrame, ind_col: str, agg: Column, values: list | None) -> DataFrame:
-    if values is None:
-        values = distinct_values(df, ind_col)
+def _columns(df: DataFrame, ind_col: str, values: list | None) -> list:
+    """The indicators that become columns: ``values`` or all, told apart by name."""
+    values = distinct_values(df, ind_col) if values is None else values
     _check_names(df, values)
+    return values
+
+
+def _pivot(df: DataFrame, ind_col: str, agg: Column, values: list) -> DataFrame:
     # An explicit value list: Spark runs no extra distinct job
     # and plans a two-phase aggregate (per index+indicator, then per index).
     return df.groupBy(*INDEX).pivot(ind_col, values).agg(agg)
 
 
-def _with_file_order(df: DataFrame) -> DataFrame | None:
-    """``df`` with the place of each row in the files read; None if it reads none."""
+def _ordered(df: DataFrame) -> DataFrame:
+    """``df`` with ``ROW_ORDER``: its own column, or the rows' places in the files it reads."""
+    if ROW_ORDER in df.columns:
+        return df
     try:
-        return df.select("*", *[F.col(f"_metadata.{c.lstrip('_')}").alias(c) for c in _FILE_ORDER])
-    except AnalysisException:
-        return None
+        return with_row_order(df)
+    except AnalysisException as none:
+        raise ValueError("the rows have no order: load the table with row_order=True, which joins keep, "
+                         "or name order_cols") from none
 
 
 def filter_pivot(df: DataFrame, index_cols, ind: str = "label", order_cols=None,
@@ -57,9 +64,11 @@ def filter_pivot(df: DataFrame, index_cols, ind: str = "label", order_cols=None,
     A cell holds the first value of its (country, year, indicator) in row
     order; ``order_cols`` define that order (a null value is kept, a null
     indicator gets the column ``null``).  Without ``order_cols`` the order is
-    that of the rows in the files read (file name, then position); a frame
-    that comes from no file has no such order, and a cell is any one of its
-    values.  ``values`` fixes the indicator columns; by default they are the
+    that of the rows in the files read (file name, then position): the column
+    ``ROW_ORDER`` that ``load_obt(row_order=True)`` adds and that joins keep, or
+    the same found here where the frame reads files directly.  Both are one
+    long, so the aggregate is a hash aggregate.  A frame without any order is
+    an error.  ``values`` fixes the indicator columns; by default they are the
     sorted distinct indicators.
     """
     ind_col = indicator_column(ind)
@@ -68,18 +77,17 @@ def filter_pivot(df: DataFrame, index_cols, ind: str = "label", order_cols=None,
     order_cols = list(order_cols or [])
     if "value" not in cols or ind_col not in cols:
         raise ValueError("index columns must include the indicator and 'value'")
-    if not order_cols and (filed := _with_file_order(df)) is not None:
-        df, order_cols = filed, list(_FILE_ORDER)
+    values = _columns(df, ind_col, values)
+    if not order_cols:
+        df, order_cols = _ordered(df), [ROW_ORDER]
     narrow = df.select(*dict.fromkeys([*cols, *order_cols]))
     if len(order_cols) == 1 and isinstance(narrow.schema[order_cols[0]].dataType, IntegralType):
         # one long keeps the aggregate hash based; a null order comes first
         agg = F.min_by("value", F.coalesce(F.col(order_cols[0]).cast("long"), F.lit(_FIRST)))
-    elif order_cols:
+    else:
         # a struct keeps rows whose order columns are null (min_by skips a
         # null ordering); slower, as struct buffers need sort aggregation
         agg = F.min_by("value", F.struct(*order_cols))
-    else:
-        agg = F.first("value")
     return _pivot(narrow, ind_col, agg, values)
 
 
@@ -103,7 +111,7 @@ def src_tbl(df: DataFrame, ind: str = "code", values: list | None = None) -> Dat
     ind_col = indicator_column(ind)
     cols = [c for c in ("country", "year", ind_col, "value") if c in df.columns]
     narrow = df.select(*cols).dropna(how="any", subset=cols)
-    return _pivot(narrow, ind_col, F.avg("value"), values).orderBy(*INDEX)
+    return _pivot(narrow, ind_col, F.avg("value"), _columns(narrow, ind_col, values)).orderBy(*INDEX)
 
 
 def src_cells(df: DataFrame, ind: str = "code") -> DataFrame:

@@ -1 +1 @@
-from indicata.sources.parquet import load_obt, read_parquet, write_csv  # noqa: F401
+from indicata.sources.parquet import load_obt, read_csv, read_parquet, with_row_order, write_csv  # noqa: F401

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from indicata.profile import ColumnProfile, DEFAULT_PROFILE
-from indicata.sources.parquet import classify, load_obt, write_csv
+from indicata.sources.parquet import ROW_ORDER, classify, load_obt, read_csv, with_row_order, write_csv
 
 from support import SF_SMALL
 
@@ -112,3 +112,87 @@ def test_first_pivot_follows_the_file_order(spark):
     cols = ["country", "year", "indicator_label", "value"]
     for frame in (t, t.repartition(3, "value")):
         assert [tuple(r) for r in filter_pivot(frame, cols).collect()] == [("A", 2000, 7.0)]
+
+
+HARD = ["line1\nline2", "", " pad ", 'a,b "q" c', "back\\slash\\", None, '"', '""', "\r\nx", "\ttab", "#x", "null", "\\\"", "é漢", ",", "a\n\nb"]
+
+
+def test_csv_is_lossless_for_spark_and_for_pandas(spark):
+    import glob
+
+    import pandas as pd
+
+    d = tempfile.mkdtemp(prefix="indicata-test-")
+    rows = [(i, a, b) for i, (a, b) in enumerate((a, b) for a in HARD for b in HARD)]
+    df = spark.createDataFrame(rows, "i int, a string, b string").repartition(3)
+    write_csv(df, os.path.join(d, "out/"))
+    assert sorted(tuple(r) for r in read_csv(spark, os.path.join(d, "out"), df.schema).collect()) == rows
+    # pandas cannot tell an empty text from a null; all else is as it was
+    back = pd.concat(pd.read_csv(f, keep_default_na=False, lineterminator=None) for f in glob.glob(os.path.join(d, "out", "*.csv")))
+    got = sorted((int(i), a, b) for i, a, b in back.itertuples(index=False))
+    assert got == [(i, a or "", b or "") for i, a, b in rows]
+    raw = "".join(open(f, newline="").read() for f in sorted(glob.glob(os.path.join(d, "out", "*.csv"))))
+    assert ',"",' in raw and '"a,b ""q"" c"' in raw
+
+
+def test_csv_is_published_whole_or_not_at_all(spark):
+    d = tempfile.mkdtemp(prefix="indicata-test-")
+    path = os.path.join(d, "out")
+    write_csv(spark.range(3), path)
+    bad = spark.range(3).selectExpr("cast(raise_error('stop') as string) as x")
+    with pytest.raises(Exception, match="stop"):
+        write_csv(bad, path)
+    assert read_csv(spark, path, spark.range(1).schema).count() == 3
+    with pytest.raises(FileExistsError):
+        write_csv(spark.range(5), path, mode="errorifexists")
+    write_csv(spark.range(7), path)
+    assert read_csv(spark, path, spark.range(1).schema).count() == 7
+    assert [x for x in os.listdir(d) if not x.startswith("out-") and x != "out"] == []
+    with pytest.raises(ValueError):
+        write_csv(bad, path, mode="append")
+
+
+def _ordered_files(spark, d):
+    """Three files whose first rows by (file, position) are known."""
+    for n, rows in (("b", [("A", 2000, "x", 5.0)]), ("a", [("A", 2000, "x", None), ("A", 2000, "y", 2.0), ("A", 2000, "x", 3.0)]),
+                    ("c", [("A", 2000, "y", 9.0), ("B", 2001, "x", 4.0)])):
+        frame = spark.createDataFrame(rows, "country_or_area string, year int, indicator_label string, value double")
+        flags = ("high_income", "upper_middle_income", "lower_middle_income", "low_income")
+        frame.selectExpr("*", "'k' as collection", *[f"cast(null as string) as {c}" for c in flags]).coalesce(1).write.parquet(
+            os.path.join(d, "t", f"part={n}"))
+    return os.path.join(d, "t")
+
+
+def test_row_order_is_one_long_and_survives_joins(spark):
+    from indicata.plans.pivot import filter_pivot, select_collections
+
+    path = _ordered_files(spark, tempfile.mkdtemp(prefix="indicata-test-"))
+    cols = ["country", "year", "indicator_label", "value"]
+    table = load_obt(spark, path, row_order=True)
+    assert dict(table.dtypes)[ROW_ORDER] == "bigint"
+    order = [r[0] for r in table.orderBy(ROW_ORDER).select("value").collect()]
+    assert order == [None, 2.0, 3.0, 5.0, 9.0, 4.0]
+    chosen = select_collections(spark.createDataFrame([("k",)], "collection string"), table)
+    wide = filter_pivot(chosen.repartition(5), cols)
+    want = [("A", 2000, None, 2.0), ("B", 2001, 4.0, None)]
+    assert sorted(tuple(r) for r in wide.collect()) == want
+    assert sorted(tuple(r) for r in filter_pivot(load_obt(spark, path), cols).collect()) == want
+    plan = wide._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and "HashAggregate" in plan
+    lost = select_collections(spark.createDataFrame([("k",)], "collection string"), load_obt(spark, path))
+    with pytest.raises(ValueError, match="row_order"):
+        filter_pivot(lost, cols)
+
+
+def test_many_files_are_joined_not_sent(spark, monkeypatch):
+    from indicata.sources import parquet
+
+    path = _ordered_files(spark, tempfile.mkdtemp(prefix="indicata-test-"))
+    sent = with_row_order(spark.read.parquet(path))
+    monkeypatch.setattr(parquet, "BROADCAST_FILES", 1)
+    joined = with_row_order(spark.read.parquet(path))
+    assert sorted(map(str, sent.collect())) == sorted(map(str, joined.collect()))
+    assert "BroadcastHashJoin" in sent._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(parquet, "POSITION_BITS", 62)
+    with pytest.raises(ValueError):
+        with_row_order(spark.read.parquet(path))
