@@ -34,13 +34,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from indicata.llm.common import cut
+from indicata.llm.common import cut, fresh_name
 from indicata.llm.components import components
 
 SHINGLE_WORDS = 4
 MAX_BITS = 4
 #: A task group above this many distinct fingerprints is dealt anew.
 GROUP_ROWS = 20_000
+#: Tasks over which the fingerprints of one component are dealt.
+SALTS = 16
 #: Node pairs that one traversal step holds.
 FRONTIER = 1 << 18
 _SHINGLE_CHUNK = 1 << 16
@@ -270,10 +272,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     # exact copies fold before the join: one row per fingerprint, combined on the map side
     nodes = cut(rows.groupBy("fp").agg(F.min("id").alias("least")))
     roots = components(links(nodes.select("fp"), max_bits))
-    placed = nodes.join(roots, nodes["fp"] == roots["node"], "left").select(
-        "fp", "least", F.coalesce("root", "fp").alias("root"))
-    least = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_fp = placed.join(least, "root").select("fp", "component_id")
+    placed = cut(nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", "root"))
+    alone = placed.where(F.col("root").isNull()).select("fp", F.col("least").alias("component_id"))
+    # of linked fingerprints a component may have a great part: each root is dealt over SALTS tasks
+    linked = placed.where(F.col("root").isNotNull()).withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(SALTS)))
+    least = linked.groupBy("root").agg(F.min("least").alias("component_id"))
+    least = least.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    of_fp = alone.union(linked.join(least, ["root", "salt"]).select("fp", "component_id"))
     return rows.join(of_fp, "fp").select("id", "fp", "component_id")
 
 
@@ -286,12 +291,16 @@ def simhash_groups(docs: DataFrame) -> DataFrame:
 def keep_first(docs: DataFrame, words: int = SHINGLE_WORDS, max_bits: int = MAX_BITS) -> DataFrame:
     """One row of each near-duplicate group: that of the smallest doc_id.
 
-    Rows with a null doc_id cannot be told apart by it: they stay.  Of rows
-    that repeat the kept doc_id one stays.
+    A null doc_id comes after all others.  Where the smallest doc_id of a group
+    is repeated, one of its texts stays (that of the smallest hash, so the
+    choice is stable), once.  Rows of one doc_id whose texts are not near each
+    other are in groups of their own and all stay.
     """
-    groups = near_duplicates(docs.select("doc_id", "text"), words=words, max_bits=max_bits)
-    kept = groups.where(F.col("id") == F.col("component_id")).select(F.col("id").alias("doc_id")).distinct()
-    named = docs.where(F.col("doc_id").isNotNull())
-    # the semi join deals the rows by doc_id, which the de-duplication of repeated ids reuses
-    chosen = named.join(kept, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
-    return chosen.unionByName(docs.where(F.col("doc_id").isNull()))
+    key = F.struct(F.col("doc_id").isNull().alias("missing"), F.coalesce("doc_id", F.lit(0)).alias("id"),
+                   F.xxhash64("text").alias("a"), F.xxhash64(F.lit(1), F.col("text")).alias("b"))
+    name = fresh_name(docs.columns, "key")
+    keyed = docs.withColumn(name, key)
+    groups = near_duplicates(keyed.select(name, "text"), name, words=words, max_bits=max_bits)
+    kept = groups.where(F.col("id") == F.col("component_id")).select(F.col("id").alias(name)).distinct()
+    # the semi join deals the rows by key, which the de-duplication of repeated rows reuses
+    return keyed.join(kept, name, "left_semi").dropDuplicates([name]).select(*docs.columns)

@@ -38,6 +38,6 @@ def test_stages_keep_the_columns_and_survive_odd_rows(spark, odd_docs, no_docs):
 
 def test_registered():
     names = [n for n in entry.queries() if n.startswith("op") and n[2].isdigit()]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14))
     assert entry.queries()["pipeline"] is corpus_pipeline.run
     assert "op2_license_scan" in entry.oracle_sql()

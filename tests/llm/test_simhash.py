@@ -82,7 +82,7 @@ def test_edges(odd_docs, no_docs):
     assert kept.columns == odd_docs.columns
     assert sorted((r["doc_id"] is None, r["doc_id"]) for r in kept.collect() if r["doc_id"]) == [
         (False, i) for i in (1, 2, 5, 6, 7, 9)]
-    assert kept.where("doc_id is null").count() == 1
+    assert kept.where("doc_id is null").count() == 0  # a copy of document 1
     assert S.keep_first(no_docs).count() == 0
 
 
@@ -90,3 +90,19 @@ def test_components_of_a_long_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101)], "a long, b long")
     got = {r["node"]: r["root"] for r in components(edges).collect()}
     assert got == {**{i: 0 for i in range(61)}, 100: 100, 101: 100}
+
+
+def test_no_text_is_lost_to_a_repeated_or_missing_id(spark):
+    a, b = "one two three four five six seven", "eight nine ten eleven twelve thirteen fourteen"
+    c, d = "red orange yellow green blue indigo violet", "do re mi fa so la ti"
+    rows = [(1, a, "x"), (1, b, "x"), (1, a, "x"), (2, b, "y"), (3, c, "y"), (None, c, "z"), (None, d, "z"), (None, d, "z"), (4, None, "w"), (None, "", "w")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, key string").repartition(4)
+    kept = sorted((tuple(r) for r in S.keep_first(docs).collect()), key=str)
+    assert kept == sorted([(1, a, "x"), (1, b, "x"), (3, c, "y"), (None, d, "z"), (4, None, "w")], key=str)
+
+
+def test_near_texts_of_one_id_leave_one_row(spark, monkeypatch):
+    text = " ".join(f"w{i}" for i in range(400))
+    rows = [(5, text), (5, text + " more"), (6, text + " other"), (5, text + " more")]
+    got = S.keep_first(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == 1 and got[0]["doc_id"] == 5
