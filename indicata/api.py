@@ -15,7 +15,7 @@ import io
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from indicata.plans import checks, coverage, datamap as _datamap, metadata, pivot, stats
+from indicata.plans import checks, coverage, datamap as _datamap, kept_cells as _kept, metadata, pivot, stats
 from indicata.profile import DEFAULT_PROFILE, ColumnProfile
 from indicata.sources.parquet import load_obt, read_csv, read_parquet, write_csv
 
@@ -40,6 +40,8 @@ calculate_base_stats = stats.base_stats
 calculate_sub_region_coverage = coverage.sub_region_coverage
 style_sub_region_coverage = coverage.coverage_colors
 create_indicators_metadata = metadata.indicators_metadata
+kept_cells = _kept.kept_cells
+forget_cells = _kept.forget_cells
 
 # C8-C13, I1-I5
 income_check = checks.income_check

@@ -22,7 +22,7 @@ from indicata.plans import datamap as dm
 from indicata.profile import DEFAULT_PROFILE
 from indicata.session import derived_table_dir
 from indicata.sources.parquet import ROW_ORDER, read_csv, write_csv
-from indicata.sources.tpch import OBT_COLUMNS, obt, with_obt
+from indicata.sources.tpch import OBT_COLUMNS, obt, obt_path, obt_schema, with_obt
 
 PROFILE_SOURCE = ("source", "database", "collection")
 PROFILE_INDICATOR = ("indicator_code", "value_meta")
@@ -109,6 +109,13 @@ def q_dt_map_source(spark, sf_dir):
 from indicata.plans import coverage as cov  # noqa: E402
 from indicata.plans import metadata as meta  # noqa: E402
 from indicata.plans import stats as st  # noqa: E402
+from indicata.plans.kept_cells import kept_cells  # noqa: E402
+
+
+def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The kept cells of the stored table: made once, then read by C4 to C7."""
+    return kept_cells(spark, obt_path(spark, sf_dir), obt_schema(spark, sf_dir))
+
 
 # The sub-regions the derived table produces (TPC-H region
 # names, each split into a NORTH and a SOUTH half), in sorted order.
@@ -188,24 +195,24 @@ from (select distinct country, sub_region_name from obt
       where country is not null and sub_region_name is not null)
 group by all""")
 def q_sub_region_info(spark, sf_dir):
-    return cov.sub_region_info(obt(spark, sf_dir))
+    return cov.sub_region_info(_cells(spark, sf_dir))
 
 
 @register("base_stats", _BASE_STATS_SQL + "select * from base")
 def q_base_stats(spark, sf_dir):
-    return st.base_stats(obt(spark, sf_dir))
+    return st.base_stats(obt(spark, sf_dir), cells=_cells(spark, sf_dir))
 
 
 @register("sub_region_coverage", _COVERAGE_SQL + "select * from cov_wide")
 def q_sub_region_coverage(spark, sf_dir):
-    return cov.sub_region_coverage(obt(spark, sf_dir))
+    return cov.sub_region_coverage(obt(spark, sf_dir), cells=_cells(spark, sf_dir))
 
 
 @register("coverage_color", _COVERAGE_SQL + "select *, "
           + ", ".join(f"{_color_sql(c)} as color_{c[len('pct_coverage_'):]}" for c in _PCT_COLS)
           + " from cov_wide")
 def q_coverage_color(spark, sf_dir):
-    return cov.coverage_colors(cov.sub_region_coverage(obt(spark, sf_dir)))
+    return cov.coverage_colors(cov.sub_region_coverage(obt(spark, sf_dir), cells=_cells(spark, sf_dir)))
 
 
 _GEO = "(" + " + ".join(f"w.{c}" for c in _PCT_COLS) + f") / {len(_PCT_COLS)}"
@@ -217,7 +224,7 @@ select b.*, {", ".join("w." + c for c in _PCT_COLS)},
     as completeness_score
 from base b left join cov_wide w on b.indicator_label = w.indicator_label""")
 def q_indicators_metadata(spark, sf_dir):
-    return meta.indicators_metadata(obt(spark, sf_dir))
+    return meta.indicators_metadata(obt(spark, sf_dir), cells=_cells(spark, sf_dir))
 
 
 # ---------------------------------------------------------------- C3, C14, C16, C17

@@ -66,12 +66,15 @@ def coverage_wide(long: DataFrame, regions: list[str]) -> DataFrame:
     return wide.selectExpr("indicator_label", *cols)
 
 
-def sub_region_coverage(df: DataFrame, info: DataFrame | None = None) -> DataFrame:
-    """Coverage per indicator label and sub-region, sorted by label."""
-    info = sub_region_info(df) if info is None else info
+def sub_region_coverage(df: DataFrame, info: DataFrame | None = None, cells: DataFrame | None = None) -> DataFrame:
+    """Coverage per indicator label and sub-region, sorted by label.
+
+    ``cells`` (``kept_cells`` of the same table) are read in place of ``df``.
+    """
+    info = sub_region_info(df if cells is None else cells) if info is None else info
     regions = region_names(info)
-    return (coverage_wide(coverage_long(df, info), regions)
-            .orderBy(F.col("indicator_label").asc_nulls_first()))
+    long = coverage_long(df, info) if cells is None else coverage_of(cells.where("n_values > 0"), info)
+    return coverage_wide(long, regions).orderBy(F.col("indicator_label").asc_nulls_first())
 
 
 def coverage_colors(coverage: DataFrame) -> DataFrame:

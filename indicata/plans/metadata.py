@@ -12,7 +12,7 @@ from indicata.plans.stats import base_stats, observation_cells
 from indicata.session import checkpoint_dir
 
 
-def indicators_metadata(df: DataFrame) -> DataFrame:
+def indicators_metadata(df: DataFrame, cells: DataFrame | None = None) -> DataFrame:
     """Base statistics + sub-region coverage + ``completeness_score``.
 
     score = (temporal + geographic) / 2, where temporal is the share of
@@ -21,16 +21,18 @@ def indicators_metadata(df: DataFrame) -> DataFrame:
     no value at all has no coverage row, so its score is null; it sorts
     first (descending, nulls first).
 
-    Plan: two scans of the table, one for the cells (``observation_cells``),
-    which are checkpointed in the shared folder, and one for the quantiles.
+    Plan: one scan of the table for the cells (``observation_cells``), which are
+    checkpointed in the shared folder, and two for the quantiles.  ``cells`` of the
+    same table that are stored already (``kept_cells``) save the first.
     Statistics, coverage, sub-region totals and the sub-region names (which
     name the pivot columns) all read the cells.  Every branch is one row per
     group before it meets another, so nothing proportional to the data is
     joined.  The checkpoint, the names and the quantiles' own checkpoint run
     as jobs at call time.
     """
-    checkpoint_dir(df.sparkSession)
-    cells = observation_cells(df).checkpoint(eager=True)
+    if cells is None:
+        checkpoint_dir(df.sparkSession)
+        cells = observation_cells(df).checkpoint(eager=True)
     info = sub_region_info(cells)
     regions = region_names(info)
     base = base_stats(df, sort=False, cells=cells)
