@@ -32,6 +32,8 @@ dt_map = _datamap.dt_map
 # C3, C16, F8
 filter_pivot = pivot.filter_pivot
 src_tbl = pivot.src_tbl
+first_cells = pivot.first_cells
+first_maps = pivot.first_maps
 select_collections = pivot.select_collections
 
 # C4-C7, C18
@@ -49,6 +51,7 @@ income_distribution = checks.income_distribution
 null_income_count = checks.null_income_count
 null_income_countries = checks.null_income_countries
 top_indicators = checks.top_indicators
+rank_groups = checks.rank_groups
 shape = checks.shape
 schema = checks.schema_table
 describe = checks.describe
@@ -57,7 +60,7 @@ info = checks.info
 
 def metadata_distinct_counts(df: DataFrame, profile: ColumnProfile = DEFAULT_PROFILE) -> DataFrame:
     """C12 over the profile's metadata columns; one the table lacks is an error."""
-    return checks.distinct_counts(df, profile.metadata_columns)
+    return checks.distinct_counts(df, profile.metadata_columns, profile.metadata_groups)
 
 
 def select_present(df: DataFrame, cols) -> DataFrame:

@@ -317,7 +317,7 @@ def q_pivot_selected(spark, sf_dir):
     df = obt(spark, sf_dir, with_order=True)
     picked = dm.datamap(df, PROFILE_SOURCE).where(
         (F.col("source") == "HOUSEHOLD") & F.col("collection").isin("1-URGENT", "5-LOW"))
-    return pv.filter_pivot(pv.select_collections(picked, df), INDEX_COLS, ind="label",
+    return pv.filter_pivot(pv.select_collections(picked, df, folders=True), INDEX_COLS, ind="label",
                            order_cols=[SEQ_COLUMN])
 
 
@@ -330,6 +330,29 @@ def q_pivot_selected_in_order(spark, sf_dir):
     return pv.filter_pivot(pv.select_collections(picked, df), INDEX_COLS, ind="label")
 
 
+@register("first_cells", f"""
+select country, year, indicator_code, first(value order by {_ORDER_SQL}) as cell from obt group by all""")
+def q_first_cells(spark, sf_dir):
+    return pv.first_cells(obt(spark, sf_dir, with_order=True), "code", [SEQ_COLUMN])
+
+
+# a map is compared by its entries as one text, values in hundredths
+@register("first_maps", f"""
+, cells as (select country, year, indicator_code as k, first(value order by {_ORDER_SQL}) as v from obt group by all)
+select country, year, count(k) as indicators,
+  coalesce(string_agg(k || '=' || coalesce(cast(cast(round(v * 100) as bigint) as varchar), ''), ';' order by k)
+    filter (where k is not null), '') as entries,
+  max(v) filter (where k is null) as of_null
+from cells group by all""")
+def q_first_maps(spark, sf_dir):
+    maps = pv.first_maps(obt(spark, sf_dir, with_order=True), "code", [SEQ_COLUMN])
+    entry = "concat(e.key, '=', coalesce(cast(cast(round(e.value * 100) AS bigint) AS string), ''))"
+    return maps.selectExpr(
+        "country", "year", "cast(size(cells) AS bigint) AS indicators",
+        f"array_join(transform(array_sort(map_entries(cells), (a, b) -> if(a.key < b.key, -1, 1)), e -> {entry}), ';') "
+        "AS entries", "of_null")
+
+
 _SRC_CELLS_SQL = """
 , cells as (
   select country, year, {ind} as k, avg(value) as v
@@ -419,7 +442,7 @@ METADATA_COLS = ("source", "database", "collection", "indicator_code", "value_me
     f"select '{c}' as \"column\", {_NUNIQ.format(c=c)} as distinct_count from obt"
     for c in METADATA_COLS))
 def q_distinct_counts(spark, sf_dir):
-    return ck.distinct_counts(obt(spark, sf_dir), DEFAULT_PROFILE.metadata_columns)
+    return ck.distinct_counts(obt(spark, sf_dir), DEFAULT_PROFILE.metadata_columns, DEFAULT_PROFILE.metadata_groups)
 
 
 @register("distinct_collection", f"select {_NUNIQ.format(c='collection')} as n_unique_collection from obt")
@@ -436,6 +459,22 @@ def q_top10_indicators(spark, sf_dir):
     return ck.top_indicators(obt(spark, sf_dir), 10)
 
 
+_RANKED_SQL = """
+select *, rank() over (order by count desc) as rank from (select {by}, count(*) as count from obt group by all) c"""
+RANK_CELL = ("indicator_code", "country", "year")
+
+
+@register("rank_indicators", _RANKED_SQL.format(by="indicator_label"))
+def q_rank_indicators(spark, sf_dir):
+    return ck.rank_groups(obt(spark, sf_dir), ["indicator_label"])
+
+
+@register("rank_cells", _RANKED_SQL.format(by=", ".join(RANK_CELL)))
+def q_rank_cells(spark, sf_dir):
+    """Every (indicator, country, year) by its number of rows: many ties."""
+    return ck.rank_groups(obt(spark, sf_dir), RANK_CELL)
+
+
 @register("obt_shape", f"select count(*) as rows, {len(OBT_OUT)} as columns from obt")
 def q_obt_shape(spark, sf_dir):
     return ck.shape(obt(spark, sf_dir))
@@ -531,6 +570,8 @@ _BASE_DOUBLES = ("mean_value", "median_value", "min_value", "max_value", "iqr_va
 _ORACLE_DOUBLES = {
     "scan_classify": ("value",),
     "csv_round_trip": ("value",),
+    "first_cells": ("cell",),
+    "first_maps": ("of_null",),
     "base_stats": _BASE_DOUBLES,
     "sub_region_coverage": tuple(_PCT_COLS),
     "coverage_color": tuple(_PCT_COLS),

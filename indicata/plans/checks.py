@@ -8,6 +8,8 @@ from pyspark.sql.types import DecimalType, FractionalType, NumericType
 
 from indicata.functions.expressions import n_unique, quote
 from indicata.operators.order_stats import exact_quantiles
+from indicata.operators.ranks import with_rank
+from indicata.session import checkpoint_dir
 
 # The income flag columns, highest level first.
 INCOME_FLAGS = ("high_income", "upper_middle_income", "lower_middle_income", "low_income")
@@ -44,20 +46,26 @@ def null_income_countries(df: DataFrame) -> DataFrame:
               .orderBy(F.col("country").asc_nulls_first()))
 
 
-def distinct_counts(df: DataFrame, columns) -> DataFrame:
+def distinct_counts(df: DataFrame, columns, groups=None) -> DataFrame:
     """(column, distinct_count) with null counted as a value.
 
-    Unpivot to (column, value) (one row per input row and column, the same
-    factor as the Expand Spark plans for several count-distincts), dedup
-    map-side, then count per column.  Null stays a value of its own, so no
-    separate null test is needed; the plan has the same shape for any
-    number of columns.  A column the table lacks is an error.
+    The columns are taken in ``groups`` (lists of columns that vary together;
+    by default all are one): the rows are reduced to a group's distinct
+    combinations, map-side first, and only these are turned into (column,
+    value) and counted.  No input row is copied, and each column is read once.
+    Null stays a value of its own, so no separate null test is needed.  A
+    column the table lacks is an error.
     """
     cols = list(columns)
-    long = df.select(*[F.col(quote(c)).cast("string").alias(c) for c in cols]) \
-             .unpivot([], cols, "column", "value")
-    return (long.distinct().groupBy("column")
-                .agg(F.count(F.lit(1)).alias("distinct_count")))
+    groups = [cols] if groups is None else [[c for c in g if c in cols] for g in groups]
+    if sorted(c for g in groups for c in g) != sorted(cols):
+        raise ValueError("every column must be in one of the groups, and in one only")
+    long = None
+    for group in filter(None, groups):
+        combinations = df.select(*[F.col(quote(c)).cast("string").alias(c) for c in group]).distinct()
+        one = combinations.unpivot([], group, "column", "value")
+        long = one if long is None else long.union(one)
+    return long.distinct().groupBy("column").agg(F.count(F.lit(1)).alias("distinct_count"))
 
 
 def n_unique_of(df: DataFrame, column: str) -> DataFrame:
@@ -78,6 +86,14 @@ def top_indicators(df: DataFrame, k: int = 10, by: str = "indicator_label") -> D
     return top.select(by, "count", F.rank().over(Window.orderBy(*order)).alias("rank"))
 
 
+def rank_groups(df: DataFrame, by) -> DataFrame:
+    """Every group of ``by`` with its number of rows and its rank by it, most
+    frequent first; groups of the same size share a rank."""
+    checkpoint_dir(df.sparkSession)
+    counts = df.groupBy(*by).agg(F.count(F.lit(1)).alias("count")).checkpoint(eager=True)
+    return with_rank(counts, [("count", True)])
+
+
 def shape(df: DataFrame) -> DataFrame:
     """(rows, columns) of a table as one row."""
     return df.agg(F.count(F.lit(1)).alias("rows")).select(

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
+from indicata.functions.expressions import quote
 from indicata.operators.reshape import distinct_values
 from indicata.sources.parquet import ROW_ORDER, with_row_order
 
@@ -29,7 +30,7 @@ def _check_names(df: DataFrame, values: list) -> None:
         if key in seen:
             raise ValueError(f"columns {seen[key]!r} and {name!r} have the same name in a wide table"
                              + ("" if exact else " (set spark.sql.caseSensitive to tell case apart)")
-                             + "; the long form keeps them apart")
+                             + "; first_cells and src_cells keep them apart")
         seen[key] = name
 
 
@@ -57,6 +58,19 @@ def _ordered(df: DataFrame) -> DataFrame:
                          "or name order_cols") from none
 
 
+def _first_value(df: DataFrame, cols: list, order_cols: list) -> tuple[DataFrame, Column]:
+    """The columns that a first value needs, and its aggregate (``filter_pivot`` tells the order)."""
+    if not order_cols:
+        df, order_cols = _ordered(df), [ROW_ORDER]
+    narrow = df.select(*dict.fromkeys([*cols, *order_cols]))
+    if len(order_cols) == 1 and isinstance(narrow.schema[order_cols[0]].dataType, IntegralType):
+        # one long keeps the aggregate hash based; a null order comes first
+        return narrow, F.min_by("value", F.coalesce(F.col(order_cols[0]).cast("long"), F.lit(_FIRST)))
+    # a struct keeps rows whose order columns are null (min_by skips a
+    # null ordering); slower, as struct buffers need sort aggregation
+    return narrow, F.min_by("value", F.struct(*order_cols))
+
+
 def filter_pivot(df: DataFrame, index_cols, ind: str = "label", order_cols=None,
                  values: list | None = None) -> DataFrame:
     """One row per (country, year), one column per indicator.
@@ -69,36 +83,61 @@ def filter_pivot(df: DataFrame, index_cols, ind: str = "label", order_cols=None,
     the same found here where the frame reads files directly.  Both are one
     long, so the aggregate is a hash aggregate.  A frame without any order is
     an error.  ``values`` fixes the indicator columns; by default they are the
-    sorted distinct indicators.
+    sorted distinct indicators.  ``first_cells`` and ``first_maps`` hold the same
+    values for more indicators than a table should have columns.
     """
     ind_col = indicator_column(ind)
     cols = [c.replace("indicator_label", "indicator_code") if ind == "code" else c
             for c in index_cols]
-    order_cols = list(order_cols or [])
     if "value" not in cols or ind_col not in cols:
         raise ValueError("index columns must include the indicator and 'value'")
     values = _columns(df, ind_col, values)
-    if not order_cols:
-        df, order_cols = _ordered(df), [ROW_ORDER]
-    narrow = df.select(*dict.fromkeys([*cols, *order_cols]))
-    if len(order_cols) == 1 and isinstance(narrow.schema[order_cols[0]].dataType, IntegralType):
-        # one long keeps the aggregate hash based; a null order comes first
-        agg = F.min_by("value", F.coalesce(F.col(order_cols[0]).cast("long"), F.lit(_FIRST)))
-    else:
-        # a struct keeps rows whose order columns are null (min_by skips a
-        # null ordering); slower, as struct buffers need sort aggregation
-        agg = F.min_by("value", F.struct(*order_cols))
-    return _pivot(narrow, ind_col, agg, values)
+    narrow, first = _first_value(df, cols, list(order_cols or []))
+    return _pivot(narrow, ind_col, first, values)
+
+
+def first_cells(df: DataFrame, ind: str = "label", order_cols=None) -> DataFrame:
+    """The cells of ``filter_pivot`` in long form: (country, year, indicator, cell).
+
+    No name goes through the driver and none becomes a column, so there is no
+    limit on their number and names that differ by case alone, or a null beside
+    the text ``null``, are kept apart.
+    """
+    ind_col = indicator_column(ind)
+    narrow, first = _first_value(df, [*INDEX, ind_col, "value"], list(order_cols or []))
+    return narrow.groupBy(*INDEX, ind_col).agg(first.alias("cell"))
+
+
+def first_maps(df: DataFrame, ind: str = "label", order_cols=None) -> DataFrame:
+    """The rows of ``filter_pivot`` with one map (indicator -> cell) in place of its columns.
+
+    A map holds the indicators that its country and year have, so a sparse table
+    stays small; its size is bounded by the number of indicators, not of rows, as
+    cells are aggregated first.  A map has no null key: the cell of a null
+    indicator is ``of_null`` (null also where there is none; ``first_cells`` tells them apart).
+    """
+    cells = first_cells(df, ind, order_cols)
+    name = quote(indicator_column(ind))
+    return cells.groupBy(*INDEX).agg(
+        F.expr(f"map_from_entries(collect_list(struct({name}, cell)) FILTER (WHERE {name} IS NOT NULL))").alias("cells"),
+        F.expr(f"max(cell) FILTER (WHERE {name} IS NULL)").alias("of_null"))
 
 
-def select_collections(datamap_rows: DataFrame, obt: DataFrame) -> DataFrame:
+def select_collections(datamap_rows: DataFrame, obt: DataFrame, folders: bool = False) -> DataFrame:
     """F8: keep the observations whose ``collection`` occurs in the chosen
     datamap rows (a left-semi join; null never matches).
 
     A plain join: adaptive execution broadcasts the chosen collections if
-    they measure small and splits a hot collection otherwise.
+    they measure small and splits a hot collection otherwise.  With ``folders``,
+    for a table that is stored with one folder per collection, the chosen names
+    also reach the scan as a subquery, which runs with the query and before
+    the scan, so that folders of other collections are not opened.  The list of
+    names is no longer than that of the folders.
     """
     chosen = datamap_rows.select("collection").where(F.col("collection").isNotNull()).distinct()
+    if folders:
+        names = chosen.agg(F.collect_set("collection")).scalar()
+        obt = obt.where(F.array_contains(names, F.col("collection")))
     return obt.join(chosen, "collection", "left_semi")
 
 
@@ -123,4 +162,4 @@ def src_cells(df: DataFrame, ind: str = "code") -> DataFrame:
               .agg(F.avg("value").alias("cell")))
 
 
-__all__ = ["filter_pivot", "select_collections", "src_tbl", "src_cells"]
+__all__ = ["filter_pivot", "first_cells", "first_maps", "select_collections", "src_tbl", "src_cells"]

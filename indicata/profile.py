@@ -36,6 +36,11 @@ class ColumnProfile:
         return (self.source_metadata_columns + self.indicator_metadata_columns
                 + self.country_classification_columns)
 
+    @property
+    def metadata_groups(self) -> tuple:
+        """The metadata columns by what they depend on: the source, the indicator, the country."""
+        return (self.source_metadata_columns, self.indicator_metadata_columns, self.country_classification_columns)
+
     def present(self, df: DataFrame, cols) -> list:
         """Columns of ``cols`` that the table has, in the given order."""
         have = set(df.columns)

@@ -47,7 +47,7 @@ ORDER_COLUMNS = ("ord_orderkey", "ord_linenumber", "ord_partkey",
 
 SEQ_COLUMN = "ord_seq"
 
-_VERSION = "obt-v5"
+_VERSION = "obt-v6"
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -151,17 +151,18 @@ _MATERIALIZED: dict[tuple, str] = {}
 def write_obt(spark: SparkSession, sf_dir: str, path: str) -> None:
     """Derive the observation table from ``sf_dir`` and write it to ``path``.
 
-    Partitioned by ``source`` (a handful of values; filtering by source is
-    the most common first step, and a folder per source lets the reader
-    skip the others without opening their files).  The rebalance hint deals
-    the rows by source in pieces of the advisory size, so a folder gets as
-    many files as its data needs, a hot source more of them.  Inside each
-    write task rows are clustered by (source, collection, indicator_label),
-    so row-group statistics skip data for the other filters.
+    Partitioned by ``source`` and ``collection`` (a handful of values each;
+    filters by source and selections of collections are the most common first
+    steps, and a folder for each lets the reader skip the others without opening
+    their files).  The rebalance hint deals the rows by both in pieces of the
+    advisory size, so a folder gets as many files as its data needs, a hot
+    source more of them.  Inside each write task rows are clustered by
+    (source, collection, indicator_label), so row-group statistics skip data
+    for the other filters.
     """
-    (mapped_obt(spark, sf_dir, with_seq=True).hint("rebalance", "source")
+    (mapped_obt(spark, sf_dir, with_seq=True).hint("rebalance", "source", "collection")
      .sortWithinPartitions("source", "collection", "indicator_label")
-     .write.mode("errorifexists").partitionBy("source").parquet(path))
+     .write.mode("errorifexists").partitionBy("source", "collection").parquet(path))
 
 
 def _publish(spark: SparkSession, made: str, path: str) -> None:
@@ -220,11 +221,11 @@ def obt_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stored observation table (before classification).
 
     Read with the derivation's schema: column order is kept and the
-    ``source`` folder names stay strings (no type guessing from values).
+    folder names (``source``, ``collection``) stay strings (no type guessing from values).
     """
     schema = obt_schema(spark, sf_dir)
     df = spark.read.schema(schema).parquet(obt_path(spark, sf_dir))
-    return df.select(*schema.fieldNames())   # the folder column back in place
+    return df.select(*schema.fieldNames())   # the folder columns back in place
 
 
 def obt(spark: SparkSession, sf_dir: str, with_order: bool = False) -> DataFrame:

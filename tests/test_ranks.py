@@ -1,0 +1,113 @@
+"""Global ranks against a sort on the driver, long and sparse pivots, selections that skip folders."""
+
+import glob
+import os
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from indicata.operators.ranks import with_rank
+from indicata.plans import checks as ck
+from indicata.plans import pivot as pv
+
+
+@pytest.mark.parametrize("dense", [False, True])
+@pytest.mark.parametrize("down", [False, True])
+def test_ranks_equal_a_sort(spark, dense, down):
+    random.seed(7)
+    # a third of the rows share one place; nulls and NaN are places too
+    rows = [(i, random.choice([None, 5, 5, 5, *range(40)]), random.choice([None, 1.5, float("nan"), -0.0, 0.0]))
+            for i in range(600)]
+    df = spark.createDataFrame(rows, "id int, `a.b` int, x double").repartition(5)
+
+    def place(r):
+        x = None if r[2] is None else (1, 0.0) if r[2] != r[2] else (0, r[2] + 0.0)
+        a = (r[1] is not None, -(r[1] or 0) if down else r[1] or 0)
+        return a, (x is not None, x or (0, 0.0))
+
+    places = sorted(map(place, rows))
+    order = places if not dense else sorted(set(places))
+    want = {r[0]: order.index(place(r)) + 1 for r in rows}
+    got = with_rank(df, [("a.b", down), ("x", False)], "place", dense)
+    assert got.columns == ["id", "a.b", "x", "place"]
+    assert {r["id"]: r["place"] for r in got.collect()} == want
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert all("_part" in line for line in plan.splitlines() if "Window [" in line)
+
+
+def test_rank_of_an_empty_table(spark):
+    empty = spark.createDataFrame([], "country string, year int")
+    assert ck.rank_groups(empty, ["country", "year"]).count() == 0
+
+
+def test_a_column_of_the_rows_may_be_named_like_a_helper(spark):
+    df = spark.createDataFrame([(3, "x"), (1, "y")], "_rank int, _part string")
+    assert sorted(tuple(r) for r in with_rank(df, [("_rank", False)]).collect()) == [(1, "y", 1), (3, "x", 2)]
+
+
+def test_distinct_counts_copy_no_input_row(spark, edge):
+    cols = ["source", "collection", "country", "sub_region_name"]
+    whole = ck.distinct_counts(edge, cols)
+    parts = ck.distinct_counts(edge, cols, [["source", "collection"], ["country", "sub_region_name"]])
+    want = {"source": 2, "collection": 2, "country": 5, "sub_region_name": 3}
+    assert {r[0]: r[1] for r in whole.collect()} == {r[0]: r[1] for r in parts.collect()} == want
+    plan = parts._jdf.queryExecution().optimizedPlan().toString()
+    assert "Expand" in plan
+    for at in [i for i, line in enumerate(plan.splitlines()) if "Expand" in line]:
+        assert "Aggregate" in plan.splitlines()[at + 1]
+    with pytest.raises(ValueError):
+        ck.distinct_counts(edge, cols, [["source"], ["country"]])
+
+
+def test_first_cells_and_maps_hold_what_the_wide_table_holds(spark, edge):
+    wide = {(r.country, r.year): r.asDict() for r in
+            pv.filter_pivot(edge, ["country", "year", "indicator_label", "value"], order_cols=["seq"]).collect()}
+    cells = {(r.country, r.year, r.indicator_label): r.cell for r in pv.first_cells(edge, "label", ["seq"]).collect()}
+    assert len(cells) == 11
+    for (country, year, ind), cell in cells.items():
+        assert wide[(country, year)]["null" if ind is None else ind] == cell
+    for r in pv.first_maps(edge, "label", ["seq"]).collect():
+        have = {k: v for (c, y, k), v in cells.items() if (c, y) == (r.country, r.year)}
+        assert r.of_null == have.pop(None, None) and r.cells == have
+
+
+def test_a_hundred_thousand_indicators(spark):
+    n = 100_000
+    df = spark.range(2 * n).selectExpr("id AS seq", "'A' AS country", "2000 AS year",
+                                       f"concat('GDP', if(id % 2 = 0, 'x', 'X'), id % {n}) AS indicator_label",
+                                       "cast(id AS double) AS value")
+    row = pv.first_maps(df, "label", ["seq"]).selectExpr(
+        "size(cells) AS n", "cells['GDPx4'] AS four", "cells['GDPX99999'] AS last").first()
+    assert tuple(row) == (n, 4.0, 99_999.0)
+
+
+def test_names_that_a_wide_table_rejects_are_kept_apart(spark):
+    df = spark.createDataFrame([(1, "A", 2000, x, float(i)) for i, x in enumerate(["GDP", "gdp", None, "null"])],
+                               "seq int, country string, year int, indicator_label string, value double")
+    (row,) = pv.first_maps(df, "label", ["seq"]).collect()
+    assert row.cells == {"GDP": 0.0, "gdp": 1.0, "null": 3.0} and row.of_null == 2.0
+
+
+def test_folders_of_other_collections_are_not_read(spark, edge, tmp_path):
+    path = str(tmp_path / "obs")
+    edge.coalesce(1).write.partitionBy("collection").parquet(path)
+    for f in glob.glob(f"{path}/collection=C1/*"):
+        with open(f, "wb") as g:
+            g.write(b"not a table")
+    for f in glob.glob(f"{path}/collection=C1/.*.crc"):
+        os.unlink(f)
+    table = spark.read.schema(edge.schema).parquet(path)
+    chosen = edge.groupBy("source", "collection").count().where("source = 'S2'")
+    rows = pv.select_collections(chosen, table, folders=True)
+    want = sorted(r.seq for r in edge.where("collection = 'C2'").collect())
+    assert sorted(r.seq for r in rows.select("seq").collect()) == want
+    with pytest.raises(Exception, match="not a Parquet|FAILED_READ_FILE|CANNOT_READ"):
+        pv.select_collections(chosen, table).select("seq").collect()
+
+
+def test_an_empty_choice_keeps_nothing(spark, edge, tmp_path):
+    path = str(tmp_path / "obs")
+    edge.write.partitionBy("collection").parquet(path)
+    none = edge.groupBy("collection").count().where("false")
+    assert pv.select_collections(none, spark.read.parquet(path), folders=True).count() == 0
