@@ -19,10 +19,10 @@ from pyspark.sql.types import DoubleType, FloatType
 
 from indicata.functions.expressions import quote
 from indicata.plans import datamap as dm
-from indicata.profile import DEFAULT_PROFILE
+from indicata.profile import DEFAULT_PROFILE, OBSERVATIONS, ColumnProfile
 from indicata.session import derived_table_dir
 from indicata.sources.parquet import ROW_ORDER, read_csv, write_csv
-from indicata.sources.tpch import OBT_COLUMNS, obt, obt_path, obt_schema, with_obt
+from indicata.sources.tpch import OBT_COLUMNS, obt, obt_path, obt_raw, obt_schema, with_obt
 
 PROFILE_SOURCE = ("source", "database", "collection")
 PROFILE_INDICATOR = ("indicator_code", "value_meta")
@@ -105,6 +105,29 @@ def q_dt_map_source(spark, sf_dir):
     return dm.dt_map(obt(spark, sf_dir), code=False)
 
 
+# ---------------------------------------------------------------- S3
+def _profiled(spark: SparkSession, sf_dir: str) -> tuple[ColumnProfile, DataFrame]:
+    """The stored table, checked, named and classified by the YAML profile."""
+    profile = ColumnProfile.from_yaml(OBSERVATIONS)
+    return profile, profile.apply(obt_raw(spark, sf_dir))
+
+
+@register("profile_datamap", """
+select source, database, collection, indicator_code, value_meta, count(*) as count from obt group by all""")
+def q_profile_datamap(spark, sf_dir):
+    profile, table = _profiled(spark, sf_dir)
+    return dm.datamap(table, profile.source_metadata_columns, profile.indicator_metadata_columns)
+
+
+@register("profile_dt_map", """
+select source, database, collection, indicator_code, count(*) as count from obt
+where source is not null and database is not null and collection is not null and indicator_code is not null
+group by all""")
+def q_profile_dt_map(spark, sf_dir):
+    profile, table = _profiled(spark, sf_dir)
+    return dm.dt_map(table, code=True, profile=profile)
+
+
 # ---------------------------------------------------------------- C4-C7, C18
 from indicata.plans import coverage as cov  # noqa: E402
 from indicata.plans import metadata as meta  # noqa: E402
@@ -445,6 +468,14 @@ def q_distinct_counts(spark, sf_dir):
     return ck.distinct_counts(obt(spark, sf_dir), DEFAULT_PROFILE.metadata_columns, DEFAULT_PROFILE.metadata_groups)
 
 
+@register("profile_distinct_counts", " union all ".join(
+    f"select '{c}' as \"column\", {_NUNIQ.format(c=c)} as distinct_count from obt"
+    for c in METADATA_COLS))
+def q_profile_distinct_counts(spark, sf_dir):
+    profile, table = _profiled(spark, sf_dir)
+    return ck.distinct_counts(table, profile.metadata_columns, profile.metadata_groups)
+
+
 @register("distinct_collection", f"select {_NUNIQ.format(c='collection')} as n_unique_collection from obt")
 def q_distinct_collection(spark, sf_dir):
     return ck.n_unique_of(obt(spark, sf_dir), "collection")
