@@ -20,7 +20,7 @@ from pyspark.sql.types import DoubleType, FloatType
 from indicata.functions.expressions import quote
 from indicata.plans import datamap as dm
 from indicata.profile import DEFAULT_PROFILE, OBSERVATIONS, ColumnProfile
-from indicata.session import derived_table_dir
+from indicata.session import delete_at_exit, derived_table_dir
 from indicata.sources.parquet import ROW_ORDER, read_csv, write_csv
 from indicata.sources.tpch import OBT_COLUMNS, obt, obt_path, obt_raw, obt_schema, with_obt
 
@@ -518,6 +518,7 @@ def q_csv_round_trip(spark, sf_dir):
     rows = obt(spark, sf_dir).select(*OBT_OUT)
     path = derived_table_dir(spark, f"csv-{uuid.uuid4().hex}")
     write_csv(rows, path)
+    delete_at_exit(spark, path)
     return read_csv(spark, path, rows.schema)
 
 
@@ -537,6 +538,7 @@ def q_csv_lossless(spark, sf_dir):
                                      F.expr(f"source || {_HARD_SQL} || source").alias("nested"))
     path = derived_table_dir(spark, f"csv-{uuid.uuid4().hex}")
     write_csv(rows, path)
+    delete_at_exit(spark, path)
     return read_csv(spark, path, rows.schema).groupBy("year", "collection", "note", "nested").agg(
         F.count(F.lit(1)).alias("rows"))
 

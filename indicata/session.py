@@ -77,3 +77,10 @@ def derived_table_dir(spark: SparkSession, name: str) -> str:
     root = spark.sparkContext.getConf().get(_CKPT_KEY, None) or checkpoint_dir(spark)
     root = root.rstrip("/")
     return f"{root}/indicata/tables/{name}"
+
+
+def delete_at_exit(spark: SparkSession, path: str) -> None:
+    """Delete the folder ``path``, which holds an intermediate result, when the driver's JVM ends."""
+    sc = spark.sparkContext
+    target = sc._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(target)

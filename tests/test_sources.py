@@ -1,5 +1,6 @@
 import os
 import tempfile
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -196,3 +197,24 @@ def test_many_files_are_joined_not_sent(spark, monkeypatch):
     monkeypatch.setattr(parquet, "POSITION_BITS", 62)
     with pytest.raises(ValueError):
         with_row_order(spark.read.parquet(path))
+
+
+def test_intermediate_folders_go_with_the_driver(tmp_path):
+    import subprocess
+    import sys
+
+    made = tmp_path / "made"
+    made.mkdir()
+    (made / "part").write_text("x")
+    code = ("from indicata.session import build_session, delete_at_exit\n"
+            "spark = build_session('local[1]')\n"
+            f"delete_at_exit(spark, {str(made)!r})\n"
+            f"import os; assert os.path.exists({str(made)!r})\n"
+            "spark.stop()\n")
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    subprocess.run([sys.executable, "-c", code], cwd=root, check=True, timeout=120)
+    for _ in range(50):
+        if not made.exists():
+            break
+        time.sleep(0.2)
+    assert not made.exists()
