@@ -5,7 +5,8 @@ those of its files merged.  They are kept in batches below the shared folder,
 each with the list of the files (path, length, time) that it was made of.  A
 call lists the table's files, takes the batches whose files are all still
 there, aggregates only the files that none of them holds, as one more batch, and
-returns the batches merged.  Where nothing changed the table is not read.
+returns the batches merged.  Where nothing changed the table is not read: which
+batches make up a listing is remembered under the listing's digest.
 """
 
 from __future__ import annotations
@@ -84,6 +85,30 @@ def _write(store: str, cells: DataFrame, files: DataFrame) -> str:
     return name
 
 
+def _digest(now: DataFrame) -> str:
+    """Number of files and the sum of the hashes of (path, length, time)."""
+    mark = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64(*_FILE).cast("decimal(38, 0)"))).first()
+    return f"{mark[0]}_{mark[1] or 0}"
+
+
+def _remembered(spark: SparkSession, store: str, digest: str) -> list[str]:
+    """The batches that an earlier call found to make up this listing, or none."""
+    fs, pattern = _fs(spark, f"{store}/states/{digest}/*/_DONE")
+    done = sorted(s.getPath().getParent().toString() for s in fs.globStatus(pattern) or [])
+    if not done:
+        return []
+    names = [s.getPath().getName() for s in fs.listStatus(_fs(spark, done[0])[1])]
+    return sorted(n for n in names if n.startswith("batch-"))
+
+
+def _remember(spark: SparkSession, store: str, digest: str, batches: list[str]) -> None:
+    """One folder for each batch, then the mark that they are all there."""
+    state = f"{store}/states/{digest}/{uuid.uuid4().hex}"
+    for name in [*batches, "_DONE"]:
+        fs, folder = _fs(spark, f"{state}/{name}")
+        fs.mkdirs(folder)
+
+
 def merge_cells(cells: DataFrame) -> DataFrame:
     """Cells of several parts of a table as the cells of all of it (same columns and types)."""
     keys = [c for c in cells.columns if c not in _MERGE]
@@ -109,8 +134,23 @@ def kept_cells(spark: SparkSession, path: str, schema: StructType | None = None,
     """
     keys = list(keys)
     store = store_of(spark, path, keys)
-    have = _batches(spark, store)
     now = _listed(spark, path)
+    digest = _digest(now)
+    taken = _remembered(spark, store, digest)
+    if not taken:
+        taken = _updated(spark, store, path, schema, keys, now)
+        if not taken:
+            empty = spark.read.parquet(path) if schema is None else spark.createDataFrame([], schema)
+            return observation_cells(classify(empty), keys)
+        _remember(spark, store, digest, taken)
+    cells = _cells(spark, store, taken)
+    return cells if len(taken) == 1 else merge_cells(cells)
+
+
+def _updated(spark: SparkSession, store: str, path: str, schema: StructType | None, keys: list[str],
+             now: DataFrame) -> list[str]:
+    """The batches that make up the files ``now``, after the missing one is written; none if there is no file."""
+    have = _batches(spark, store)
     held = (_files(spark, store, have).unionByName(now.withColumn("batch", F.lit(None).cast("string")))
             .groupBy(*_FILE).agg(F.array_sort(F.collect_set("batch")).alias("batches"),
                                  F.bool_or(F.col("batch").isNull()).alias("here")))
@@ -121,13 +161,9 @@ def kept_cells(spark: SparkSession, path: str, schema: StructType | None = None,
         new = held.where(F.col("here") & ~F.arrays_overlap("batches", used)).select(*_FILE).collect()
         cells = observation_cells(_read(spark, path, schema, [r["path"] for r in new]), keys)
         taken.append(_write(store, cells, spark.createDataFrame(new, _FILES_SCHEMA.rsplit(",", 1)[0])))
-    if not taken:
-        empty = spark.read.parquet(path) if schema is None else spark.createDataFrame([], schema)
-        return observation_cells(classify(empty), keys)
     if len(taken) > BATCHES:
         taken = [_write(store, merge_cells(_cells(spark, store, taken)), _files(spark, store, taken))]
-    cells = _cells(spark, store, taken)
-    return cells if len(taken) == 1 else merge_cells(cells)
+    return taken
 
 
 def _cells(spark: SparkSession, store: str, batches: list[str]) -> DataFrame:

@@ -212,9 +212,15 @@ def _written(spark: SparkSession, path: str) -> bool:
 _FRAMES: dict[tuple, DataFrame] = {}
 
 
+_SCHEMAS: dict[tuple, StructType] = {}
+
+
 def obt_schema(spark: SparkSession, sf_dir: str) -> StructType:
-    """Schema of the stored table, in derivation order (analysis only)."""
-    return mapped_obt(spark, sf_dir, with_seq=True).schema
+    """Schema of the stored table, in derivation order (analysis only, once per session and input)."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _SCHEMAS:
+        _SCHEMAS[key] = mapped_obt(spark, sf_dir, with_seq=True).schema
+    return _SCHEMAS[key]
 
 
 def obt_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
