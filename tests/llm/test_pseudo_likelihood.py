@@ -3,6 +3,8 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
+
 from indicata.llm import pseudo_likelihood as P
 from indicata.llm.common import table
 
@@ -13,8 +15,10 @@ def brute(net, classes):
         around = [classes[j] if 0 <= j < len(classes) else P._EDGE
                   for j in [*range(i - P.REACH, i), *range(i + 1, i + P.REACH + 1)]]
         h = np.tanh(net.shift + sum(net.place[k][c] for k, c in enumerate(around)))
-        z = (h @ net.out + net.bias).astype(float)
-        total += z[target] - math.log(np.exp(z - z.max()).sum()) - z.max()
+        g, member = divmod(int(target), P.MEMBERS)
+        for z, hit in ((h @ net.top + net.top_bias, g), (h @ net.inner[g] + net.inner_bias[g], member)):
+            z = z.astype(float)
+            total += z[hit] - math.log(np.exp(z - z.max()).sum()) - z.max()
     return total
 
 
@@ -38,13 +42,81 @@ def test_gradient_steps_follow_the_loss():
     starts = np.array([0, len(tokens)])
     net = P.Network.start(np.ones(P.CLASSES))
     at = np.arange(len(tokens))
-    context = P.contexts(tokens, starts, at)
+    context = P.contexts(tokens, starts)
     before = net.log_prob(context, tokens).mean()
     trainer = P._Trainer(net)
     for _ in range(60):
         pick = rng.choice(at, 256)
         trainer.step(context[pick], tokens[pick])
-    assert before < -5 and net.log_prob(context, tokens).mean() > -0.3
+    assert before < -5 and trainer.net.log_prob(context, tokens).mean() > -0.3
+
+
+def test_gradient_is_that_of_finite_differences():
+    rng = np.random.default_rng(5)
+    tokens = rng.integers(0, P.CLASSES, 60).astype(np.uint8)
+    starts = np.array([0, 20, 20, 23, 60])
+    context = P.contexts(tokens, starts)
+    net = P.Network.start(rng.integers(0, 50, P.CLASSES))
+    net = net.filled(net.flat() + rng.normal(0, 0.4, net.flat().size).astype(np.float32))
+    trainer = P._Trainer(net)
+    trainer.slope(context, tokens)
+    flat, slope = net.flat().astype(float), trainer.g
+
+    def loss(weights):
+        # the plain definition in doubles, one token at a time
+        place, shift, top, top_bias, inner, inner_bias = (
+            c.reshape(p.shape) for c, p in zip(np.split(weights, np.cumsum([p.size for p in net.parts])[:-1]), net.parts))
+        total = 0.0
+        for around, t in zip(context, tokens.tolist()):
+            h = np.tanh(shift + sum(place[k][c] for k, c in enumerate(around)))
+            g, member = divmod(t, P.MEMBERS)
+            for z, hit in ((h @ top + top_bias, g), (h @ inner[g] + inner_bias[g], member)):
+                total -= z[hit] - math.log(np.exp(z).sum())
+        return total / len(tokens)
+
+    parts = np.cumsum([0] + [p.size for p in net.parts])
+    used = np.flatnonzero(slope)
+    for a, b in zip(parts[:-1], parts[1:]):
+        inside = used[(used >= a) & (used < b)]
+        for i in [*rng.choice(inside, 8), rng.integers(a, b)]:
+            up, down = flat.copy(), flat.copy()
+            up[i] += 1e-5
+            down[i] -= 1e-5
+            assert abs((loss(up) - loss(down)) / 2e-5 - slope[i]) < 1e-5
+
+
+def test_contexts_stay_inside_their_text():
+    rng = np.random.default_rng(2)
+    starts = np.array([0, 0, 1, 3, 3, 9, 9])
+    tokens = rng.integers(0, P.CLASSES, 9).astype(np.uint8)
+    got = P.contexts(tokens, starts)
+    for a, b in zip(starts[:-1], starts[1:]):
+        for i in range(a, b):
+            assert got[i].tolist() == [tokens[j] if a <= j < b else P._EDGE for j in (i - 2, i - 1, i + 1, i + 2)]
+    assert P.contexts(tokens[:0], np.array([0, 0])).shape == (0, 4)
+
+
+def test_a_round_averages_the_tasks_weights_by_their_tokens(spark):
+    docs = table(spark, "/root/testdata/sf0.001", "documents").select("doc_id", "text")
+    words = [w for w, _ in P.vocabulary(P.form_counts(docs))]
+    start = P.Network.start(np.ones(P.CLASSES))
+    numbers = P.class_numbers(docs, words).repartition(3, "doc_id")
+    got = P._trained(numbers, start, 2, 64).flat()
+    want = start
+    by_task = numbers.withColumn("task", F.spark_partition_id()).toPandas().groupby("task").classes.apply(list)
+    for turn in range(2):
+        sums, seen = np.zeros(got.size), 0
+        for rows in by_task:
+            tokens = np.frombuffer(b"".join(rows), np.uint8)
+            starts = np.append(0, np.cumsum([len(r) for r in rows]))
+            mine = P.turns(tokens, starts, 2) == turn
+            context, target = P.contexts(tokens, starts)[mine], tokens[mine]
+            trainer = P._Trainer(want, P.RATE / P.FALL ** turn)
+            for i in range(0, len(target), 64):
+                trainer.step(context[i:i + 64], target[i:i + 64])
+            sums, seen = sums + trainer.flat.astype(float) * len(target), seen + len(target)
+        want = want.filled((sums / seen).astype(np.float32))
+    assert len(by_task) == 3 and np.abs(got - want.flat()).max() < 1e-4
 
 
 def test_training_beats_unigrams_and_covers_all_documents(spark):
@@ -58,7 +130,7 @@ def test_training_beats_unigrams_and_covers_all_documents(spark):
                 counts[w] = counts.get(w, 0) + 1
     assert words == [w for w, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0].encode()))[:P.WORDS]]
     plain = P.Network.start(np.array([counts[w] for w in words] + [sum(counts.values()) / 200] * P.OTHERS))
-    plain.out[:] = 0
+    plain.top[:], plain.inner[:] = 0, 0
     learned, unigram = (P.score(docs, words, n).toPandas().log_likelihood.sum() for n in (net, plain))
     assert learned > unigram
 
