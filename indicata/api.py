@@ -15,7 +15,7 @@ import io
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from indicata.plans import checks, coverage, datamap as _datamap, kept_cells as _kept, metadata, pivot, stats
+from indicata.plans import checks, coverage, datamap as _datamap, kept_cells as _kept, metadata, metrics, pivot, stats
 from indicata.profile import DEFAULT_PROFILE, ColumnProfile
 from indicata.sources.parquet import load_obt, read_csv, read_parquet, write_csv
 
@@ -57,6 +57,11 @@ schema = checks.schema_table
 describe = checks.describe
 info = checks.info
 
+# I6
+plan_metrics = metrics.plan_metrics
+row_flow = metrics.row_flow
+observe = metrics.observe
+
 
 def metadata_distinct_counts(df: DataFrame, profile: ColumnProfile = DEFAULT_PROFILE) -> DataFrame:
     """C12 over the profile's metadata columns; one the table lacks is an error."""
@@ -94,10 +99,7 @@ def observe_rows(df: DataFrame, name: str):
 
     Returns ``(df, observation)``; read ``observation.get`` after the action.
     """
-    from pyspark.sql import Observation
-
-    obs = Observation(name)
-    return df.observe(obs, F.count(F.lit(1)).alias("rows")), obs
+    return metrics.observe(df, name, rows=F.count(F.lit(1)))
 
 
 def session(master: str | None = None, **kw) -> SparkSession:

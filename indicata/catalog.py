@@ -19,6 +19,7 @@ from pyspark.sql.types import DoubleType, FloatType
 
 from indicata.functions.expressions import quote
 from indicata.plans import datamap as dm
+from indicata.plans import metrics
 from indicata.profile import DEFAULT_PROFILE, OBSERVATIONS, ColumnProfile
 from indicata.session import delete_at_exit, derived_table_dir
 from indicata.sources.parquet import ROW_ORDER, read_csv, write_csv
@@ -552,6 +553,35 @@ def q_observed_rows(spark, sf_dir):
     return spark.createDataFrame([(seen.get["rows"],)], "rows long")
 
 
+@register("observed_metrics", "select count(*) as rows, count(value) as with_value, min(year) as first_year, "
+          "max(year) as last_year, count(*) filter (where iso3 is null) as no_code from obt")
+def q_observed_metrics(spark, sf_dir):
+    """Several figures of the table that an observation took while the table was read once."""
+    rows, seen = metrics.observe(
+        obt(spark, sf_dir), "figures", rows=F.count(F.lit(1)), with_value=F.count("value"), first_year=F.min("year"),
+        last_year=F.max("year"), no_code=F.count_if(F.col("iso3").isNull()))
+    rows.write.format("noop").mode("overwrite").save()
+    names = ["rows", "with_value", "first_year", "last_year", "no_code"]
+    return spark.createDataFrame([tuple(seen.get[n] for n in names)],
+                                 "rows long, with_value long, first_year int, last_year int, no_code long")
+
+
+_ROW_FLOW_SQL = ("select 'scan' as step, count(*) as rows from obt{where} union all "
+                 "select 'result', count(*) from (select distinct {by} from obt{where}) q")
+
+
+@register("row_flow_datamap", _ROW_FLOW_SQL.format(where="", by=", ".join(PROFILE_INDICATOR)))
+def q_row_flow_datamap(spark, sf_dir):
+    """Rows that C2 over the indicator columns read and gave, from the metrics of its plan."""
+    return metrics.row_flow(dm.datamap(obt(spark, sf_dir), list(PROFILE_INDICATOR)))
+
+
+@register("row_flow_source", _ROW_FLOW_SQL.format(where=" where source = 'FURNITURE'", by=", ".join(PROFILE_SOURCE)))
+def q_row_flow_source(spark, sf_dir):
+    """The same over one source: the other folders give the scan no row."""
+    return metrics.row_flow(dm.datamap(obt(spark, sf_dir).where("source = 'FURNITURE'"), list(PROFILE_SOURCE)))
+
+
 def _nearest_sql(q: float) -> str:
     return f"max(case when rk = floor((n - 1) * {q} + 0.5) then v end)"
 
