@@ -48,6 +48,22 @@ _SEEDS = _mix(np.arange(1, SIGNATURES + 1, dtype=np.uint64) * np.uint64(0x9E3779
 _ODD = _mix(_SEEDS) | np.uint64(1)
 
 
+def _sorted_places(h: np.ndarray) -> np.ndarray:
+    """``np.argsort(h, kind="stable")``, by one sort of (high bits, position) words where that gives the same.
+
+    It does not where the position leaves too few bits for all hashes to differ
+    in the others; then all 64 bits are sorted by.
+    """
+    if h.size < 1 << _POSITION_BITS:
+        low = np.uint64((1 << _POSITION_BITS) - 1)
+        at = (np.sort((h & ~low) | np.arange(h.size, dtype=np.uint64)) & low).astype(np.int64)
+        key = h[at]
+        differ = key[1:] ^ key[:-1]
+        if not ((differ > 0) & (differ <= low)).any():
+            return at
+    return np.argsort(h, kind="stable")
+
+
 def numbered_kmers(text: str, k: int = K) -> np.ndarray:
     """Hash of each k-mer of ``text`` together with its occurrence number, in text order."""
     h = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
@@ -63,13 +79,8 @@ def numbered_kmers(text: str, k: int = K) -> np.ndarray:
     h = _mix(h)
     if h.size < 2:
         return h
-    if h.size < 1 << _POSITION_BITS:  # one sort of (hash, position) in a single word
-        low = np.uint64((1 << _POSITION_BITS) - 1)
-        packed = np.sort((h & ~low) | np.arange(h.size, dtype=np.uint64))
-        at, key = (packed & low).astype(np.int64), packed & ~low
-    else:
-        at = np.argsort(h, kind="stable")
-        key = h[at]
+    at = _sorted_places(h)
+    key = h[at]
     same = key[1:] == key[:-1]
     if same.any():
         first = np.maximum.accumulate(np.where(np.append(True, ~same), np.arange(h.size), 0))

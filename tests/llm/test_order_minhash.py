@@ -1,5 +1,6 @@
 import hashlib
 
+import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from indicata.llm import order_minhash as O
@@ -56,6 +57,27 @@ def test_long_texts_pass_in_columns():
     assert O.signatures(text).tolist() == brute_signatures(text)
 
 
+@given(st.lists(st.integers(0, 3), min_size=2, max_size=40), st.lists(st.integers(0, 3), min_size=1, max_size=4))
+def test_places_are_those_of_a_plain_sort(high, low):
+    # hashes that are equal in the packed bits, and differ below them or not
+    h = (np.array(high, np.uint64) << np.uint64(50)) | np.resize(np.array(low, np.uint64), len(high))
+    assert np.array_equal(O._sorted_places(h), np.argsort(h, kind="stable"))
+
+
+def test_one_numbering_below_and_beyond_the_packed_sort():
+    edge = 1 << O._POSITION_BITS
+    rng = np.random.default_rng(4)
+    text = "".join(map(chr, rng.integers(97, 101, edge + O.K + 9)))  # 4 letters: each k-mer occurs some 16 times
+    beyond, below = O.numbered_kmers(text), O.numbered_kmers(text[:edge + O.K - 2])
+    assert below.size == edge - 1 and beyond.size > edge
+    assert np.array_equal(below, beyond[:below.size])
+    first = {}
+    for i in rng.integers(0, edge - 1, 300):
+        first.setdefault(text[i:i + O.K], set()).add(int(below[i]))
+    # occurrences of a k-mer have hashes of their own
+    assert np.unique(beyond).size == beyond.size and len(first) > 200
+
+
 def test_order_matters():
     words = [f"w{i * i}" for i in range(400)]
     a, b = " ".join(words), " ".join(words[200:] + words[:200])
