@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 import tempfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -79,6 +81,19 @@ def derived_table_dir(spark: SparkSession, name: str) -> str:
     return f"{root}/indicata/tables/{name}"
 
 
+@contextmanager
+def session_settings(spark: SparkSession, settings: dict[str, str]) -> Iterator[None]:
+    """SQL settings for what runs inside; afterwards those of before."""
+    before = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def delete_at_exit(spark: SparkSession, path: str) -> None:
     """Delete the folder ``path``, which holds an intermediate result, when the driver's JVM ends."""
     sc = spark.sparkContext

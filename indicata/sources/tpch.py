@@ -2,12 +2,13 @@
 
 One observation per lineitem.  The derivation joins the fact table with
 its dimensions in the order that keeps the big side's shuffles to the
-minimum: customer is enriched with nation and region (both fixed-size by
-the TPC-H specification: 25 and 5 rows, so broadcasting them is bounded),
-orders join customer on the customer key, lineitem joins orders on the
-order key, and part joins last on the part key.  AQE may still turn the
-customer or part join into a broadcast at run time when their measured
-size is below the threshold; otherwise they stay sort-merge joins.
+minimum: orders join customer on the customer key, lineitem joins orders on
+the order key, then part on the part key, all with the keys and codes alone.
+Nation and region (both fixed-size by the TPC-H specification: 25 and 5 rows,
+so broadcasting them is bounded) come after the last shuffle, and the text
+columns are derived last.  AQE may still turn the customer or part join into a
+broadcast at run time when their measured size is below the threshold;
+otherwise they stay sort-merge joins.
 
 ``obt_table`` writes the result once into the shared checkpoint folder
 (the observation table is a stored Parquet table in the original
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from indicata.session import derived_table_dir
+from indicata.session import derived_table_dir, session_settings
 from indicata.sources.parquet import classify
 
 TABLES = ("lineitem", "orders", "customer", "nation", "region", "part")
@@ -49,14 +50,25 @@ SEQ_COLUMN = "ord_seq"
 
 _VERSION = "obt-v6"
 
+#: Bytes of lineitem files for each piece that the build's shuffles begin with; about ten times that in memory.
+BYTES_A_PIECE = 2 << 20
+#: Shuffled bytes that a task of the build takes, about five times that in memory.
+PIECE_ADVISED = "16MB"
+
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
-def mapped_obt(spark: SparkSession, sf_dir: str, with_seq: bool = False) -> DataFrame:
-    """Lazy observation table (columns ``OBT_COLUMNS + ORDER_COLUMNS``, and
-    ``ord_seq`` when ``with_seq``)."""
+def _geo(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations with their region: at most the specification's 25 rows."""
+    nation = _read(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey")
+    region = _read(spark, sf_dir, "region").select("r_regionkey", "r_name")
+    return nation.join(F.broadcast(region), nation.n_regionkey == region.r_regionkey).select("n_nationkey", "n_name", "r_name")
+
+
+def _facts(spark: SparkSession, sf_dir: str, with_seq: bool) -> DataFrame:
+    """The joined rows, as narrow as they can be: what ``_observations`` derives from is all they hold."""
     li = _read(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber",
         "l_extendedprice", "l_discount", "l_linestatus", "l_shipdate")
@@ -73,18 +85,22 @@ def mapped_obt(spark: SparkSession, sf_dir: str, with_seq: bool = False) -> Data
                          "l_shipdate", "l_extendedprice")
                 .withColumn(SEQ_COLUMN, F.monotonically_increasing_id()))
     orders = _read(spark, sf_dir, "orders").select(
-        "o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority")
+        "o_orderkey", "o_custkey", F.year("o_orderdate").cast("int").alias("o_year"), "o_orderpriority")
     cust = _read(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
-    nation = _read(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey")
-    region = _read(spark, sf_dir, "region").select("r_regionkey", "r_name")
     part = _read(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_type")
 
-    geo = nation.join(F.broadcast(region), nation.n_regionkey == region.r_regionkey)
-    cust_geo = cust.join(F.broadcast(geo), cust.c_nationkey == geo.n_nationkey)
-    ord_c = orders.join(cust_geo, orders.o_custkey == cust_geo.c_custkey)
-    facts = li.join(ord_c, li.l_orderkey == ord_c.o_orderkey)
-    rows = facts.join(part, facts.l_partkey == part.p_partkey)
+    ord_c = orders.join(cust, orders.o_custkey == cust.c_custkey).drop("o_custkey", "c_custkey")
+    facts = li.join(ord_c, li.l_orderkey == ord_c.o_orderkey).drop("o_orderkey")
+    return facts.join(part, facts.l_partkey == part.p_partkey).drop("p_partkey")
+
 
+def _located(spark: SparkSession, sf_dir: str, facts: DataFrame) -> DataFrame:
+    geo = _geo(spark, sf_dir)
+    return facts.join(F.broadcast(geo), facts.c_nationkey == geo.n_nationkey).drop("c_nationkey")
+
+
+def _observations(rows: DataFrame, with_seq: bool) -> DataFrame:
+    """Facts with their nation as observations."""
     nk = F.col("n_nationkey")
     tier = F.floor(nk / 5)
     brand_no = F.expr("substr(p_brand, 7)")
@@ -95,7 +111,7 @@ def mapped_obt(spark: SparkSession, sf_dir: str, with_seq: bool = False) -> Data
     return rows.select(
         F.concat(F.lit("N"), F.lpad(nk.cast("string"), 2, "0")).alias("iso3"),
         F.when(nk == 24, F.lit(None)).otherwise(F.col("n_name")).alias("country_or_area"),
-        F.year("o_orderdate").cast("int").alias("year"),
+        F.col("o_year").alias("year"),
         F.when(F.col("p_brand") == "Brand#24", F.lit(None))
          .otherwise(F.concat(F.lit("IND."), F.col("p_type"), F.lit("."), brand_no))
          .alias("indicator_code"),
@@ -130,6 +146,12 @@ def mapped_obt(spark: SparkSession, sf_dir: str, with_seq: bool = False) -> Data
     )
 
 
+def mapped_obt(spark: SparkSession, sf_dir: str, with_seq: bool = False) -> DataFrame:
+    """Lazy observation table (columns ``OBT_COLUMNS + ORDER_COLUMNS``, and
+    ``ord_seq`` when ``with_seq``)."""
+    return _observations(_located(spark, sf_dir, _facts(spark, sf_dir, with_seq)), with_seq)
+
+
 def _signature(spark: SparkSession, sf_dir: str) -> str:
     """Short digest of name, size and time of every input file.
 
@@ -148,6 +170,23 @@ def _signature(spark: SparkSession, sf_dir: str) -> str:
 _MATERIALIZED: dict[tuple, str] = {}
 
 
+def _build_settings(spark: SparkSession, sf_dir: str) -> dict[str, str]:
+    """Shuffles of the build cut by the size of lineitem, so that a task's sort stays in memory at any size."""
+    files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+             .load(os.path.join(sf_dir, "lineitem.parquet")))
+    size = files.agg(F.sum("length")).first()[0] or 0
+    pieces = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BYTES_A_PIECE))
+    return {"spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(pieces),
+            "spark.sql.adaptive.advisoryPartitionSizeInBytes": PIECE_ADVISED}
+
+
+def dealt_obt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``mapped_obt`` dealt and sorted as ``write_obt`` wants it, the narrow facts before anything is derived."""
+    dealt = _facts(spark, sf_dir, True).hint("rebalance", "c_mktsegment", "o_orderpriority")
+    rows = _located(spark, sf_dir, dealt).sortWithinPartitions("c_mktsegment", "o_orderpriority", "p_brand")
+    return _observations(rows, True)
+
+
 def write_obt(spark: SparkSession, sf_dir: str, path: str) -> None:
     """Derive the observation table from ``sf_dir`` and write it to ``path``.
 
@@ -158,11 +197,12 @@ def write_obt(spark: SparkSession, sf_dir: str, path: str) -> None:
     advisory size, so a folder gets as many files as its data needs, a hot
     source more of them.  Inside each write task rows are clustered by
     (source, collection, indicator_label), so row-group statistics skip data
-    for the other filters.
+    for the other filters.  Facts are dealt and sorted; nations are named after the
+    deal and the other columns derived after the sort, on the way to the file.
     """
-    (mapped_obt(spark, sf_dir, with_seq=True).hint("rebalance", "source", "collection")
-     .sortWithinPartitions("source", "collection", "indicator_label")
-     .write.mode("errorifexists").partitionBy("source", "collection").parquet(path))
+    with session_settings(spark, _build_settings(spark, sf_dir)):
+        (dealt_obt(spark, sf_dir)
+         .write.mode("errorifexists").partitionBy("source", "collection").parquet(path))
 
 
 def _publish(spark: SparkSession, made: str, path: str) -> None:

@@ -91,3 +91,30 @@ def test_flagship_scans_the_table_three_times(spark, table):
     trees = [runs.apply(i).physicalPlanDescription().split("== Initial Plan ==")[0] for i in range(before, runs.size())]
     assert len(trees) >= 3
     assert sum(t.split("== Final Plan ==")[-1].count("Scan parquet") for t in trees) == 3
+
+
+def test_build_shuffles_facts_before_columns_are_derived(spark):
+    from indicata.sources.tpch import dealt_obt
+    lines = _plan(dealt_obt(spark, SF_SMALL)).split("== Initial Plan ==")[0].splitlines()
+    depth = [len(x) - len(x.lstrip(" :+-")) for x in lines]
+    top = next(i for i, x in enumerate(lines) if "REBALANCE_PARTITIONS_BY_COL" in x)
+    end = next((i for i in range(top + 1, len(lines)) if depth[i] <= depth[top]), len(lines))
+    below = "\n".join(lines[top:end])
+    assert "l_orderkey" in below and "p_brand" in below
+    # nations, regions and derived texts meet the rows above the last shuffle
+    assert "High income" not in below and "n_name" not in below and "IND." not in below
+
+
+def test_build_cuts_its_shuffles_by_the_size_of_lineitem(spark, tmp_path):
+    from indicata.session import session_settings
+    from indicata.sources import tpch
+    key = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    pieces = []
+    for mb in (1, 64, 640):
+        with open(tmp_path / "lineitem.parquet", "wb") as f:
+            f.truncate(mb << 20)   # listed, never read
+        pieces.append(int(tpch._build_settings(spark, str(tmp_path))[key]))
+    assert pieces == [4, 32, 320]
+    with session_settings(spark, {key: "7"}):
+        assert spark.conf.get(key) == "7"
+    assert spark.conf.get(key, None) is None
