@@ -20,6 +20,8 @@ BROADCAST_FILES = 20_000
 #: RFC 4180: quotes are doubled, nothing is trimmed, an empty text is quoted and a null is not.
 _CSV = {"header": True, "quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": False,
         "ignoreTrailingWhiteSpace": False}
+#: Rows of one CSV file: a file with line breaks in it cannot be split, so it is what one task reads.
+CSV_FILE_ROWS = 100_000
 #: What the reader takes an unquoted nothing for; an empty text, which is quoted, is not equal to it.
 _NOTHING = "\0\1null\1\0"
 
@@ -89,7 +91,7 @@ def _move(spark: SparkSession, made: str, path: str, replace: bool) -> None:
         fs.delete(old, True)
 
 
-def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
+def write_csv(df: DataFrame, path: str, mode: str = "overwrite", file_rows: int = CSV_FILE_ROWS) -> None:
     """CSV sink with a header row, written by the executors in parallel.
 
     Texts come back as they were, from ``read_csv`` and from other readers of
@@ -97,12 +99,13 @@ def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     and a null is told from an empty text.  The files are written beside
     ``path`` and renamed when all are done, so a reader sees the old folder or
     the new one, never a part.  ``mode`` is ``overwrite`` or ``errorifexists``.
+    A task begins a new file after ``file_rows`` rows (fewer suit very long rows).
     """
     if mode not in ("overwrite", "errorifexists"):
         raise ValueError("mode must be 'overwrite' or 'errorifexists'")
     path = path.rstrip("/")
     made = f"{path}-{uuid.uuid4().hex}"
-    df.write.options(**_CSV, nullValue="", emptyValue='""').csv(made)
+    df.write.options(**_CSV, nullValue="", emptyValue='""', maxRecordsPerFile=file_rows).csv(made)
     _move(df.sparkSession, made, path, mode == "overwrite")
 
 

@@ -218,3 +218,15 @@ def test_intermediate_folders_go_with_the_driver(tmp_path):
             break
         time.sleep(0.2)
     assert not made.exists()
+
+
+def test_csv_files_hold_a_bounded_number_of_rows(spark, tmp_path):
+    rows = spark.range(0, 250, 1, 1).selectExpr("id", "concat('a\nb', id) AS t")
+    path = str(tmp_path / "many")
+    write_csv(rows, path, file_rows=100)
+    assert len([f for f in os.listdir(path) if f.endswith(".csv")]) == 3
+    assert sorted(map(tuple, read_csv(spark, path, rows.schema).collect())) == sorted(map(tuple, rows.collect()))
+    long = spark.range(0, 250_000, 1, 1)   # one task's rows
+    write_csv(long, path)
+    assert len([f for f in os.listdir(path) if f.endswith(".csv")]) == 3
+    assert read_csv(spark, path, long.schema).count() == 250_000
