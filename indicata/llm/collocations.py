@@ -17,7 +17,8 @@ How it runs.
    words first, then pairs of frequent words, then longer ones all of whose
    pairs are frequent.  Each round goes through ``key_exchange``: shards name
    hashes with weights and get back one bit for each.  The bits only
-   rule out; what is left is counted exactly, by the phrase itself.
+   rule out; what is left is counted exactly, by the phrase itself: a shard
+   sends each bucket its phrases as one row, and the bucket adds them up.
 4. Cuts, containment and rank are joins and windows over frequent phrases.
 
 A whole corpus never meets in one task: a hot chunk, word or pair is one
@@ -70,6 +71,7 @@ _SALTS = 64
 #: Buffers as wanted: what ends a piece is a line feed, what separates words a blank.
 _BYTES = words.table(PIECE_END, b"\n", words.table(BLANK, b" "))
 _SHARDS = "shard long, langs string, words binary, word_lang binary, hashes binary, tokens binary, size binary, own binary, times binary"
+_NAMED = "bucket int, langs string, lang binary, size binary, a binary, phrase binary"
 #: Sequence lengths that each round counts.
 ROUNDS = ((1,), (2,), tuple(range(3, LONGEST + 1)))
 
@@ -244,29 +246,56 @@ def _count(rounds: int, buckets: int):
     return kx.per_shard(work)
 
 
-def _name(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Shards with all bits -> (lang, n, phrase, a) of what may be frequent."""
+def _name(buckets: int):
+    """Shards with all bits -> a row for each bucket with the (lang, n, phrase, a) of what may be frequent."""
 
     def work(row: dict) -> Iterator[pa.RecordBatch]:
         shard = _told(row, len(ROUNDS))
+        deal = {n: (shard.hashes(n) % np.uint64(buckets)).astype(np.int32) for n in shard.frequent}
         tokens, langs = shard.tokens, shard.langs
         held: list[tuple] = []
         for n, at, count in shard.phrases():
             ids = tokens[at:at + n].tolist()
-            held.append((langs[shard.word_lang[ids[0]]], n, " ".join([shard.words[i] for i in ids]), count))
+            held.append((int(deal[n][at]), int(shard.word_lang[ids[0]]), n, " ".join([shard.words[i] for i in ids]), count))
             if len(held) >= _BATCH:
-                yield _named(held)
+                yield _named(held, langs)
                 held = []
         if held:
-            yield _named(held)
+            yield _named(held, langs)
 
-    return kx.per_shard(work)(batches)
+    return kx.per_shard(work)
 
 
-def _named(rows: list[tuple]) -> pa.RecordBatch:
+def _named(rows: list[tuple], langs: list[str]) -> pa.RecordBatch:
+    """Phrases of a shard, those of a bucket as one row."""
+    rows.sort(key=lambda r: r[0])
+    bucket, lang, size, phrase, count = zip(*rows)
+    first = np.flatnonzero(np.diff(bucket, prepend=-1))
+    cuts = list(zip(first.tolist(), [*first[1:].tolist(), len(rows)]))
+    packed = [[kx.squeeze(np.array(column[s:e], t).tobytes()) for s, e in cuts]
+              for column, t in ((lang, "<u4"), (size, "u1"), (count, "<i8"))]
+    texts = [kx.squeeze("\n".join(phrase[s:e]).encode()) for s, e in cuts]
     return pa.RecordBatch.from_arrays(
-        [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.int32(), pa.string(), pa.int64()))],
-        names=["lang", "n", "phrase", "a"])
+        [pa.array([bucket[s] for s, _ in cuts], pa.int32()), pa.array([json.dumps(langs)] * len(cuts)),
+         *[pa.array(x, pa.binary()) for x in (*packed, texts)]],
+        names=["bucket", "langs", "lang", "size", "a", "phrase"])
+
+
+def _sum_named(min_count: int):
+    def run(rows: pa.Table) -> pa.Table:
+        parts = []
+        for row in rows.to_pylist():
+            read = lambda c, t: np.frombuffer(kx.unsqueeze(row[c]), t)
+            parts.append(pa.table({
+                "lang": pa.array(json.loads(row["langs"]), pa.string()).take(pa.array(read("lang", "<u4"))),
+                "size": pa.array(read("size", "u1").astype(np.int32)),
+                "phrase": pa.array(kx.unsqueeze(row["phrase"]).decode().split("\n"), pa.string()),
+                "a": pa.array(read("a", "<i8"))}))
+        found = pa.concat_tables(parts).group_by(["lang", "size", "phrase"]).aggregate([("a", "sum")]).rename_columns(
+            ["lang", "size", "phrase", "a"])
+        return found.filter(pc.greater_equal(found.column("a"), min_count))
+
+    return run
 
 
 def frequent_phrases(docs: DataFrame, min_count: int = MIN_COUNT, lang: str = "lang",
@@ -282,8 +311,8 @@ def frequent_phrases(docs: DataFrame, min_count: int = MIN_COUNT, lang: str = "l
         told = kx.answers(known.mapInArrow(_count(i, buckets), kx.DEALT), (min_count,))
         told = written(told.withColumnRenamed("bits", f"bits{i}"), f"phrase-bits{i}")
         known = known.join(told, "shard", "left")
-    named = known.mapInArrow(_name, "lang string, size int, phrase string, a long")
-    counts = named.groupBy("lang", "size", "phrase").agg(F.sum("a").alias("a")).where(F.col("a") >= min_count)
+    named = known.mapInArrow(_name(buckets), _NAMED)
+    counts = named.groupBy("bucket").applyInArrow(_sum_named(min_count), "lang string, size int, phrase string, a long")
     return written(counts, "phrase-counts"), totals
 
 

@@ -115,3 +115,34 @@ def test_oracle_and_edges(spark, odd_docs, no_docs):
     con.execute("create table documents (lang varchar, text varchar)")
     con.executemany("insert into documents values (?, ?)", made_rows)
     assert run(spark, made_rows, min_count=4) == sorted(con.execute(C.oracle(4)).fetchall())
+
+
+def test_a_shard_names_its_phrases_in_a_row_for_each_bucket(spark, monkeypatch):
+    """Rows that leave a shard do not grow with the phrases that it has; the counts stay those of each phrase."""
+    rows = [("en\n", text) for _, text in made(8, 120)] + made(9, 60)
+    sent = []
+    named = C._named
+    monkeypatch.setattr(C, "_named", lambda held, langs: sent.append((len(held), named(list(held), langs))) or sent[-1][1])
+    with mock.patch.object(C, "TaskContext") as context:
+        context.get().partitionId.return_value = 1
+        counts = Counter(tuple(r) for r in rows)
+        texts = pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows])], names=["lang", "text"])
+        folded = pa.Table.from_batches(list(C._parse([texts])))
+        shard = C.Shard(next(C._shards(folded.combine_chunks().to_batches())).to_pylist()[0])
+    shard.frequent = {n: shard.left >= n for n in range(1, 6)}
+    monkeypatch.setattr(C, "_told", lambda row, rounds: shard)
+    out = pa.Table.from_batches(list(C._name(5)([pa.RecordBatch.from_pydict({"shard": [1]})])))
+    assert out.num_rows == 5 and sent[0][0] > 100 and sum(counts.values()) == len(rows)
+    got = Counter()
+    for b in range(5):
+        part = C._sum_named(3)(out.filter(pa.compute.equal(out.column("bucket"), b)))
+        got.update({(r["lang"], tuple(r["phrase"].split(" "))): r["a"] for r in part.to_pylist()})
+        assert all(r["size"] == len(r["phrase"].split(" ")) for r in part.to_pylist())
+    want = Counter()
+    for lang, text in rows:
+        lowered = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text)
+        for piece in re.split("[.,;:!?\n-\r]", lowered):
+            words = re.findall("[^ \t]+", piece)
+            for n in range(1, 6):
+                want.update(("und" if lang is None else lang, tuple(words[i:i + n])) for i in range(len(words) - n + 1))
+    assert got == Counter({k: a for k, a in want.items() if a >= 3})
